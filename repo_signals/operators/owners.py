@@ -9,6 +9,7 @@ from repo_signals import schema
 from repo_signals.functions.columns import array_spread, flag, scalar, utc, whole_days
 from repo_signals.operators.prep import impute_median
 from repo_signals.operators.skew import left_join_spread
+from repo_signals.session import materialize
 
 
 def is_organisation(login: str, repo_count: str) -> Column:
@@ -16,36 +17,40 @@ def is_organisation(login: str, repo_count: str) -> Column:
     return flag(named | (F.col(repo_count) > schema.ORG_REPO_COUNT))
 
 
+def owner_totals(df: DataFrame, owner: str = "owner_login") -> DataFrame:
+    """One row per owner from a single grouped aggregation, rows without an owner included."""
+    stars, forks = F.col(schema.TARGET), F.col("forks_count")
+    created = utc("created_at")
+    return df.groupBy(owner).agg(
+        F.avg(stars).alias("owner_mean_stars"),
+        F.sum(stars).alias("owner_total_stars"),
+        F.count(stars).alias("owner_repo_count"),
+        F.stddev_samp(stars).alias("owner_std_stars"),
+        F.avg(forks).alias("owner_mean_forks"),
+        F.sum(forks).alias("owner_total_forks"),
+        F.min(created).alias("owner_first_repo"),
+        F.max(created).alias("owner_last_repo"),
+        F.avg(F.when(stars > schema.SUCCESS_STARS, F.lit(1.0)).otherwise(F.lit(0.0))).alias("owner_success_rate"),
+        F.max(utc("ingested_at")).alias("last_seen"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+
+
 def owner_reputation(df: DataFrame, owner: str = "owner_login", as_of: str | None = None) -> DataFrame:
-    """One row per owner, from a single grouped aggregation.
+    """One row per owner, from one pass over the rows.
 
     Tenure counts to ``as_of``; by default to the latest ``ingested_at``, so the
     result does not depend on the day it is computed. The row being predicted is
     part of its owner's figures, which for owners of one repository leaks the target.
+
+    The totals are written once as a small table: the latest ingestion, the heavy
+    owners and the medians are all taken from it, not from the rows again.
     """
-    until = (
-        F.lit(as_of).cast("timestamp")
-        if as_of
-        else scalar(df.agg(F.max(utc("ingested_at")).alias("t")))["t"]
-    )
-    stars, forks = F.col(schema.TARGET), F.col("forks_count")
-    created = utc("created_at")
+    totals = materialize(owner_totals(df, owner), "owners")
+    until = F.lit(as_of).cast("timestamp") if as_of else scalar(totals.agg(F.max("last_seen").alias("t")))["t"]
     return (
-        df.where(F.col(owner).isNotNull())
-        .groupBy(owner)
-        .agg(
-            F.avg(stars).alias("owner_mean_stars"),
-            F.sum(stars).alias("owner_total_stars"),
-            F.count(stars).alias("owner_repo_count"),
-            F.stddev_samp(stars).alias("owner_std_stars"),
-            F.avg(forks).alias("owner_mean_forks"),
-            F.sum(forks).alias("owner_total_forks"),
-            F.min(created).alias("owner_first_repo"),
-            F.max(created).alias("owner_last_repo"),
-            F.avg(F.when(stars > schema.SUCCESS_STARS, F.lit(1.0).cast("double")).otherwise(F.lit(0.0).cast("double"))).alias(
-                "owner_success_rate"
-            ),
-        )
+        totals.where(F.col(owner).isNotNull())
+        .drop("last_seen")
         .withColumns(
             {
                 "owner_tenure_days": whole_days(until, "owner_first_repo"),
@@ -59,10 +64,9 @@ def owner_reputation(df: DataFrame, owner: str = "owner_login", as_of: str | Non
 def owner_features(df: DataFrame, owner: str = "owner_login", row_id: str = "id", as_of: str | None = None) -> DataFrame:
     """Reputation joined back to the rows, gaps filled with row medians, skewed columns logged."""
     reputation = owner_reputation(df, owner, as_of)
-    joined = left_join_spread(df, reputation, owner, "owner_repo_count", row_id)
+    joined = left_join_spread(df, reputation, owner, "n_rows", row_id).drop("n_rows")
     # The median over rows equals the median over owners weighted by their row counts.
-    weighted = reputation.withColumn("_rows", F.col("owner_repo_count"))
-    filled = impute_median(joined, schema.OWNER_MEASURES, weighted, "_rows")
+    filled = impute_median(joined, schema.OWNER_MEASURES, reputation, "n_rows")
     return filled.withColumn("owner_is_org", F.coalesce("owner_is_org", F.lit(0))).withColumns(
         {f"log_{c}": F.log1p(c) for c in schema.OWNER_LOGGED}
     )
@@ -144,7 +148,7 @@ def owner_stats_or_default(df: DataFrame, stats: DataFrame, owner: str = "owner_
         owner,
         *[F.col(c).cast("double").alias(c) for c in schema.OWNER_DEFAULTS],
         F.lit(1).alias("_known"),
-        F.col("owner_repo_count").alias("_weight"),
+        F.col("n_rows").alias("_weight"),
     )
     joined = left_join_spread(df, wanted, owner, "_weight", row_id)
     known = F.col("_known").isNotNull()

@@ -93,7 +93,7 @@ def impute_median(df: DataFrame, columns: Sequence[str], source: DataFrame | Non
     ``weight`` gives the same median without reading the rows again.
     """
     middle = medians(df if source is None else source, columns, weight)
-    return df.withColumns({c: F.coalesce(present(c), middle[c]) for c in columns})
+    return df.withColumns({c: F.coalesce(present(c), F.lit(middle.get(c)).cast("double")) for c in columns})
 
 
 def align_columns(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (), fill: float = -1.0) -> DataFrame:

@@ -8,32 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repo_signals.functions.columns import present, scalar
+from repo_signals.functions.columns import present
+from repo_signals.session import materialize
 
 # Log-spaced buckets over the range of a column: at most ln(1e9 + 1) * 256 + 1, about 5,306.
 RANGE_UNITS = 1e9
 BUCKETS_PER_E = 256
 
+# Up to this many distinct values one task may hold them all.
+FEW_VALUES = 1_000_000
+
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], weight: str | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    weight: str | None = None,
+    few: int = FEW_VALUES,
 ) -> DataFrame:
     """Rows ``(column, prob, value)``; NULL and NaN are left out.
 
-    The built-in exact percentile keeps every distinct value of a column in the
-    memory of one task. Here equal values are counted first, the counts are summed
-    into a bounded number of buckets that follow value order, and only the bucket
-    that contains the wanted rank is sorted. ``weight`` counts a row several times.
-
-    The bucket is a fixed function of the value and of the column's minimum and
-    maximum, so a recomputed task always gives the same answer.
+    One pass over ``df`` counts equal values and writes the counts; ``weight``
+    counts a row several times. The built-in exact percentile keeps all distinct
+    values of a column in the memory of one task, so it is used for at most ``few``
+    of them. Beyond that, see ``ranked_quantiles``.
     """
     times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     pairs = df.select(times.alias("_w"), *[present(c).alias(c) for c in columns]).unpivot(
         ["_w"], list(columns), "column", "value"
     )
-    counted = pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("_w").alias("_w"))
-    # _w takes part so that this branch reads the same shuffled counts as the others.
+    counted = materialize(
+        pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("_w").alias("_w")), "counts"
+    )
+    if counted.count() > few:
+        return ranked_quantiles(counted, probs)
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    found = counted.groupBy("column").agg(F.percentile("value", wanted, F.col("_w")).alias("values"))
+    return found.select("column", F.inline(F.arrays_zip(wanted.alias("prob"), F.col("values").alias("value")))).toDF(
+        "column", "prob", "value"
+    )
+
+
+def ranked_quantiles(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of any number of distinct ``(column, value)`` with their counts ``_w``.
+
+    The counts are summed into a bounded number of buckets that follow value order,
+    and only the bucket that contains the wanted rank is sorted. The bucket is a
+    fixed function of the value and of the column's minimum and maximum, so a
+    recomputed task always gives the same answer.
+    """
     span = counted.groupBy("column").agg(
         F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_w").alias("_rows")
     )
@@ -88,7 +111,6 @@ def exact_quantiles(
     )
 
 
-def medians(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> Column:
-    """The medians of several columns as one struct-valued scalar."""
-    found = exact_quantiles(df, columns, [0.5], weight)
-    return scalar(found.agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]))
+def medians(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> dict[str, float]:
+    """The median of each column, computed now; one number per column reaches the driver."""
+    return {r["column"]: r["value"] for r in exact_quantiles(df, columns, [0.5], weight).collect()}

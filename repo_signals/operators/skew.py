@@ -7,36 +7,51 @@ from pyspark.sql import functions as F
 
 from repo_signals.functions.columns import scalar
 
-# No piece of a heavy key holds more than this part of all rows.
+# A piece of a heavy key holds at most 1/SLOTS of all rows, or LIGHT_ROWS if that is more.
 SLOTS = 4096
+LIGHT_ROWS = 100_000
 
 
 def left_join_spread(
-    rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread_on: str, slots: int = SLOTS
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    weight: str,
+    spread_on: str,
+    slots: int = SLOTS,
+    light_rows: int = LIGHT_ROWS,
 ) -> DataFrame:
     """``rows`` LEFT JOIN ``lookup`` on ``key``, for a lookup with one row per key.
 
-    ``lookup[weight]`` is the number of rows of the key. A key with more than
-    1/slots of all rows is cut into ``ceil(share * slots)`` pieces by a hash of
-    ``spread_on``, and its lookup row repeated once per piece. Fewer than ``slots``
-    keys can be that heavy, so their list is safe to broadcast, and the repeats
-    number at most ``2 * slots``. Rows without a key are spread the same way. When
-    the lookup is small AQE broadcasts it and the pieces cost nothing.
+    ``lookup[weight]`` is the number of rows of the key. A key with more rows than a
+    piece may hold is cut into as many pieces as it needs, by a hash of ``spread_on``,
+    and its lookup row repeated once per piece. As a piece is at least 1/slots of all
+    rows, fewer than ``slots`` keys can be that heavy and the repeats number at most
+    ``2 * slots``, so their list may be collected and broadcast. Rows without a key are spread the same
+    way. When the lookup is small AQE broadcasts it and the pieces cost nothing.
     """
     counts = lookup.select(key, F.col(weight).alias("_n"))
     total = scalar(counts.agg(F.sum("_n").alias("n")))["n"]
-    heavy = counts.where(F.col("_n") * F.lit(slots) > total).select(
-        key, F.ceil(F.col("_n") * F.lit(float(slots)) / total).cast("int").alias("_pieces")
+    piece_rows = F.greatest(total / F.lit(float(slots)), F.lit(float(light_rows)))
+    heavy = counts.where(F.col("_n") > piece_rows).select(
+        key, F.ceil(F.col("_n") / piece_rows).cast("int").alias("_pieces")
     )
-    pieces = F.when(F.col(key).isNull(), F.lit(slots)).otherwise(F.coalesce("_pieces", F.lit(1)))
+    found = heavy.collect()
+    nowhere = F.pmod(F.xxhash64(spread_on), F.lit(slots)).cast("int")
+    if not found:
+        left = rows.withColumn("_piece", F.when(F.col(key).isNull(), nowhere).otherwise(F.lit(0)))
+        return left.join(lookup.withColumn("_piece", F.lit(0)), [key, "_piece"], "left").drop("_piece")
+    listed = F.broadcast(rows.sparkSession.createDataFrame(found, heavy.schema))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    own_piece = F.pmod(F.xxhash64(spread_on), pieces).cast("int")
     left = (
-        rows.join(F.broadcast(heavy), key, "left")
-        .withColumn("_piece", F.pmod(F.xxhash64(spread_on), pieces).cast("int"))
+        rows.join(listed, key, "left")
+        .withColumn("_piece", F.when(F.col(key).isNull(), nowhere).otherwise(own_piece))
         .drop("_pieces")
     )
     right = (
-        lookup.join(F.broadcast(heavy), key, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)))
+        lookup.join(listed, key, "left")
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("_pieces")
     )
     return left.join(right, [key, "_piece"], "left").drop("_piece")

@@ -298,7 +298,7 @@ def apply_defaults(spark, sf):
 
 @query
 def owner_reputation(spark, sf):
-    out = owners.owner_reputation(repos(spark, sf))
+    out = owners.owner_reputation(repos(spark, sf)).drop("n_rows")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("owner_first_repo", "owner_last_repo")})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "repo_signals", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,3 +54,14 @@ def scratch_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the scratch folder, so that runs never overwrite each other."""
     return f"{scratch_dir(spark)}/repo_signals/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Compute a frame once, as a table in the shared scratch folder, and read it back.
+
+    For small summaries that several later steps need: they no longer recompute
+    the input, the planner knows the size, and a lost executor costs nothing.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

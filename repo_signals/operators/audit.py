@@ -114,27 +114,39 @@ def target_summary(df: DataFrame, column: str = schema.TARGET) -> DataFrame:
 # --- correlations ------------------------------------------------------------------------------
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Pearson correlation over the rows where both are known; NULL for a constant column.
-
-    The built-in ``corr`` divides by zero under ANSI when a column is constant.
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """Pearson correlation of column pairs, over the rows where both are known.
+
+    Rows ``(*by, _pair, correlation, n_equal)``, ``_pair`` being the position in
+    ``pairs``; a pair whose first column has no value at all is left out. Every row
+    of the table becomes one short row per pair and is summed in place, so the
+    query stays the same size for any number of columns and a single set of
+    moments per pair is shuffled. A constant column gives NULL: the built-in
+    ``corr`` would divide by zero under ANSI.
     """
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    cells = [
+        F.struct(F.lit(i).alias("_pair"), present(a).alias("_x"), present(b).alias("_y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    x, y = F.col("_x"), F.col("_y")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(y)
+    return (
+        df.select(*by, F.inline(F.array(*cells)))
+        .where(x.isNotNull())
+        .groupBy(*by, "_pair")
+        .agg(F.try_divide(F.covar_pop(x, y), spread).alias("correlation"), F.count_if(x == y).alias("n_equal"))
+    )
 
 
-def correlations(df: DataFrame, target: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(feature, correlation)`` for every column against the target, in one pass.
+def pick(names: Sequence[str]) -> Column:
+    """The name at the position of the pair."""
+    return F.get(F.array(*[F.lit(n) for n in names]), F.col("_pair"))
 
-    A column without any value is left out. ``by`` gives one set of rows per group.
-    """
-    moments = df.groupBy(*by).agg(
-        *[pearson(present(c), present(target)).alias(f"_r_{i}") for i, c in enumerate(columns)],
-        *[F.count(present(c)).alias(f"_n_{i}") for i, c in enumerate(columns)],
-    )
-    rows = [(c, {"correlation": F.col(f"_r_{i}"), "_n": F.col(f"_n_{i}")}) for i, c in enumerate(columns)]
-    return stacked(moments, rows, "feature", by).where(F.col("_n") > 0).drop("_n")
+
+def correlations(df: DataFrame, target: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(feature, correlation, n_equal)`` of every column against the target, in one pass."""
+    found = pair_correlations(df, [(c, target) for c in columns], by)
+    return found.select(*by, pick(columns).alias("feature"), "correlation", "n_equal")
 
 
 def leakage_correlations(df: DataFrame, target: str = schema.TARGET, columns: Sequence[str] | None = None) -> DataFrame:
@@ -143,6 +155,7 @@ def leakage_correlations(df: DataFrame, target: str = schema.TARGET, columns: Se
     size = F.abs("correlation")
     return (
         correlations(df, target, names)
+        .drop("n_equal")
         .withColumn("abs_correlation", size)
         .withColumn("risk", ladder_above(F.col("abs_correlation"), schema.RISK_BANDS, schema.RISK_FLOOR))
         .orderBy(F.desc_nulls_last("abs_correlation"), "feature")
@@ -151,26 +164,23 @@ def leakage_correlations(df: DataFrame, target: str = schema.TARGET, columns: Se
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The lower triangle, one row per pair, from one pass over the table."""
-    names = list(columns or numeric_columns(df))
-    pairs = [(b, a) for a, b in combinations(names, 2)]
-    row = df.agg(*[pearson(present(a), present(b)).alias(f"_r_{i}") for i, (a, b) in enumerate(pairs)])
-    items = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_r_{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return row.select(F.inline(F.array(*items)))
+    pairs = [(b, a) for a, b in combinations(columns or numeric_columns(df), 2)]
+    return pair_correlations(df, pairs).select(
+        pick([a for a, _ in pairs]).alias("feature_a"), pick([b for _, b in pairs]).alias("feature_b"), "correlation"
+    )
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str = schema.LOG_TARGET) -> DataFrame:
-    return correlations(df, target, columns).orderBy(F.desc_nulls_last("correlation"), "feature")
+    return correlations(df, target, columns).drop("n_equal").orderBy(F.desc_nulls_last("correlation"), "feature")
 
 
 def mirror_check(df: DataFrame, column: str = "watchers_count", target: str = schema.TARGET) -> DataFrame:
     """Whether a column merely repeats the target."""
     x, y = F.col(column), F.col(target)
     gap = F.abs(x - y)
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
     return df.agg(
-        pearson(present(column), present(target)).alias("correlation"),
+        F.try_divide(F.covar_pop(x, y), spread).alias("correlation"),
         (F.lit(100.0) * F.try_divide(F.count_if(x == y), F.count(F.lit(1)))).alias("exact_match_pct"),
         F.max(gap).cast("double").alias("max_difference"),
         F.avg(gap).alias("mean_difference"),
@@ -180,18 +190,21 @@ def mirror_check(df: DataFrame, column: str = "watchers_count", target: str = sc
     )
 
 
+def names_by_strength(threshold: float) -> Column:
+    """Aggregate: the features whose |r| exceeds the threshold, strongest first, as text."""
+    strong = F.when(F.col("abs_correlation") > threshold, F.struct((-F.col("abs_correlation")).alias("s"), F.col("feature").alias("f")))
+    return F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(strong)), lambda e: e["f"]))
+
+
 def risk_lists(ranked: DataFrame) -> DataFrame:
-    """Names of the features above each of the two upper risk thresholds, strongest first."""
-    upper = F.array(
-        *[F.struct(F.lit(label).alias("band"), F.lit(t).alias("threshold")) for t, label in schema.RISK_BANDS[:2]]
-    )
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("abs_correlation")).alias("s"), F.col("feature").alias("f"))))
-    return (
-        ranked.select("feature", "abs_correlation", F.inline(upper))
-        .where(F.col("abs_correlation") > F.col("threshold"))
-        .groupBy("band")
-        .agg(F.concat_ws(", ", F.transform(ordered, lambda e: e["f"])).alias("features"), F.count(F.lit(1)).alias("n"))
+    """Names of the features above each of the two upper risk thresholds. One row per column is gathered."""
+    bands = schema.RISK_BANDS[:2]
+    row = ranked.agg(
+        *[names_by_strength(t).alias(f"_names_{label}") for t, label in bands],
+        *[F.count_if(F.col("abs_correlation") > t).alias(f"_n_{label}") for t, label in bands],
     )
+    items = [(label, {"features": F.col(f"_names_{label}"), "n": F.col(f"_n_{label}")}) for _, label in bands]
+    return stacked(row, items, "band").where(F.col("n") > 0)
 
 
 # --- dates -------------------------------------------------------------------------------------
@@ -232,27 +245,26 @@ def name_verdict(column: str, parts: Sequence[str] = schema.LEAK_NAME_PARTS) ->
 def safe_features(df: DataFrame, target: str = schema.TARGET, parts: Sequence[str] = schema.LEAK_NAME_PARTS) -> DataFrame:
     """One row per candidate column: the verdict by name next to what the data say."""
     names = [c for c in df.columns if name_verdict(c, parts) != "skipped"]
-    numbers = [c for c in numeric_columns(df) if c in names]
-    row = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in names],
-        *[pearson(present(c), present(target)).alias(f"_r_{c}") for c in numbers],
-        *[F.count_if(F.col(c) == F.col(target)).alias(f"_same_{c}") for c in numbers],
+    counts = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)]
     )
-    unknown = F.lit(None).cast("double")
-    rows = [
-        (
-            c,
-            {
-                "verdict": F.lit(name_verdict(c, parts)),
-                "null_pct": F.round(F.lit(100.0) * F.col(f"_null_{c}") / F.col("_rows"), 2),
-                "abs_correlation": F.abs(F.col(f"_r_{c}")) if c in numbers else unknown,
-                "match_pct": F.round(F.lit(100.0) * F.col(f"_same_{c}") / F.col("_rows"), 2) if c in numbers else unknown,
-            },
-        )
-        for c in names
+    items = [
+        (c, {"verdict": F.lit(name_verdict(c, parts)), "_nulls": F.col(f"_null_{i}"), "_rows": F.col("_rows")})
+        for i, c in enumerate(names)
     ]
-    return stacked(row, rows, "feature")
+    strength = correlations(df, target, [c for c in numeric_columns(df) if c in names])
+    percent = F.lit(100.0) / F.col("_rows")
+    return (
+        stacked(counts, items, "feature")
+        .join(F.broadcast(strength), "feature", "left")
+        .select(
+            "feature",
+            "verdict",
+            F.round(percent * F.col("_nulls"), 2).alias("null_pct"),
+            F.abs("correlation").alias("abs_correlation"),
+            F.round(percent * F.col("n_equal"), 2).alias("match_pct"),
+        )
+    )
 
 
 def leak_guard(df: DataFrame, features: Sequence[str], target: str = schema.TARGET) -> DataFrame:
@@ -348,37 +360,32 @@ def scatter_sample(df: DataFrame, x: str = "watchers_count", y: str = schema.TAR
 def audit_report(df: DataFrame, target: str = schema.TARGET, mirror: str = "watchers_count") -> DataFrame:
     """Every section of the audit as ``(section, key, value)`` text.
 
-    All figures of the table come out of two aggregations: the latest ingestion
-    and one pass with counts, null counts and moments of every column.
+    Two passes: one with counts and dates, one with the moments of every column.
     """
-    numbers = [c for c in numeric_columns(df) if c != target]
     dates = [c for c in schema.DATE_COLUMNS if c in df.columns]
     row = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in df.columns],
-        *[pearson(present(c), present(target)).alias(f"_r_{c}") for c in numbers],
-        F.count_if(F.col(mirror) == F.col(target)).alias("_same"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
         F.max(parsed_date(df, "ingested_at")).alias("_latest"),
     )
-    strengths = F.array(
-        *[F.struct((-F.abs(F.col(f"_r_{c}"))).alias("s"), F.lit(c).alias("f")) for c in numbers]
+    mirrors = (F.col("feature") == mirror) & (F.col("correlation") > 0.99)
+    leaks = scalar(
+        leakage_correlations(df, target).agg(
+            names_by_strength(schema.RISK_BANDS[0][0]).alias("critical"),
+            names_by_strength(schema.RISK_BANDS[1][0]).alias("high"),
+            F.when(F.count_if(mirrors) > 0, "True").otherwise("False").alias("mirror"),
+        )
     )
-
-    def above(threshold: float) -> Column:
-        strong = F.array_sort(F.filter(strengths, lambda e: e["s"] < -threshold))
-        return F.concat_ws(", ", F.transform(strong, lambda e: e["f"]))
-
-    n_null = sum((flag(F.col(f"_null_{c}") > 0) for c in df.columns), F.lit(0))
-    mirrors = F.coalesce(F.col(f"_r_{mirror}") > 0.99, F.lit(False)) if mirror in numbers else F.lit(False)
+    n_null = sum((flag(F.col(f"_null_{i}") > 0) for i in range(len(df.columns))), F.lit(0))
     verdicts = {v: [c for c in df.columns if name_verdict(c) == v] for v in ("safe", "excluded")}
     entries = [
         ("data_quality", "total_rows", F.col("_rows").cast("string")),
         ("data_quality", "total_cols", F.lit(str(len(df.columns)))),
         ("data_quality", "categorical_cols", F.lit(str(len(text_columns(df))))),
         ("data_quality", "null_columns", n_null.cast("string")),
-        ("feature_leakage", "critical_features", above(schema.RISK_BANDS[0][0])),
-        ("feature_leakage", "high_risk_features", above(schema.RISK_BANDS[1][0])),
-        ("feature_leakage", "watchers_leakage", F.when(mirrors, "True").otherwise("False")),
+        ("feature_leakage", "critical_features", leaks["critical"]),
+        ("feature_leakage", "high_risk_features", leaks["high"]),
+        ("feature_leakage", "watchers_leakage", leaks["mirror"]),
         ("temporal_integrity", "date_columns", F.lit(", ".join(dates))),
         ("temporal_integrity", "ingestion_max", F.date_format("_latest", "yyyy-MM-dd HH:mm:ss")),
         ("safe_features", "safe_features", F.lit(", ".join(verdicts["safe"]))),

@@ -11,6 +11,9 @@ from repo_signals import schema
 from repo_signals.functions.columns import array_spread, at_least, flag, strip
 
 
+REGEX_SPECIAL = set(r".^$*+?{}[]\|()")
+
+
 def topic_text(df: DataFrame, columns: Sequence[str]) -> Column | None:
     """The existing text columns in lower case, joined by a blank; missing text counts as empty."""
     have = [c for c in columns if c in df.columns]
@@ -19,6 +22,21 @@ def topic_text(df: DataFrame, columns: Sequence[str]) -> Column | None:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in have]))
 
 
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return found
+
+
+def matches_any(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether any pattern is found. Patterns without special characters are searched as plain text, which is faster."""
+    special = [p for p in patterns if any(c in REGEX_SPECIAL for c in p)]
+    found = contains_any(text, [p for p in patterns if p not in special])
+    # (?d): a dot matches anything but a line feed.
+    return found | text.rlike("(?d)" + "|".join(special)) if special else found
+
+
 def topic_flags(
     df: DataFrame,
     columns: Sequence[str] = ("name", "full_name", "description"),
@@ -37,15 +55,9 @@ def topic_flags(
     if text is None:
         return df.withColumns({t: F.lit(0) for t in [*topics, count_name]})
     if mode == "regex":
-        # (?d): a dot matches anything but a line feed.
-        hits = {t: text.rlike("(?d)" + "|".join(words)) for t, words in topics.items()}
+        hits = {t: matches_any(text, words) for t, words in topics.items()}
     elif mode == "substring":
-        hits = {}
-        for topic, words in topics.items():
-            found = F.lit(False)
-            for word in words:
-                found = found | text.contains(word)
-            hits[topic] = found
+        hits = {t: contains_any(text, words) for t, words in topics.items()}
     else:
         raise ValueError(f"unknown mode {mode!r}")
     flagged = df.withColumns({t: flag(hit) for t, hit in hits.items()})

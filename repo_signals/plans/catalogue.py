@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repo_signals import schema
 from repo_signals.functions.columns import flag, rounded, scalar, utc, utc_lenient, whole_days
 from repo_signals.operators import audit, embed, encode, features, folds, metrics, model, ordering, owners, prep, scoring
+from repo_signals.operators.skew import left_join_spread
 from repo_signals.plans import stages
 from repo_signals.session import pin_utc, scratch_path
 from repo_signals.sources import cache, readers, writers
@@ -72,11 +73,21 @@ def strength_columns(clean: bool = True) -> list[str]:
     return [c for c in non_embedding(clean) if c != "language"]
 
 
+def coded(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose language text is replaced by its code."""
+    found = encode.apply_codes(rows, codes, "language", "language_code", "id")
+    return found.drop("language").withColumnRenamed("language_code", "language")
+
+
 def coded_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prep.preprocess(repos(spark, sf_dir))
-    codes = encode.fit_codes(rows, "language")
-    coded = encode.apply_codes(rows, codes, "language", "language_code", "id")
-    return coded.drop("language").withColumnRenamed("language_code", "language")
+    return coded(rows, encode.fit_codes(rows, "language"))
+
+
+def with_reputation(df: DataFrame, *measures: str) -> DataFrame:
+    """Rows with some of their owner's figures, gaps left open."""
+    found = owners.owner_reputation(df).select("owner_login", *measures, "n_rows")
+    return left_join_spread(df, found, "owner_login", "n_rows", "id").drop("n_rows")
 
 
 def latest(df: DataFrame):
@@ -274,11 +285,10 @@ def fill_sentinel(spark, sf):
 @query
 def median_impute(spark, sf):
     r = repos(spark, sf)
-    spread = owners.owner_reputation(r).select("owner_login", "owner_std_stars", "owner_mean_forks")
-    rows = r.select("id", "owner_login", F.when(F.col("size") > 100000, F.col("size")).alias("size")).join(
-        spread, "owner_login", "left"
-    )
-    return prep.impute_median(rows, ["owner_std_stars", "owner_mean_forks", "size"]).drop("owner_login")
+    gappy = r.withColumn("size", F.when(F.col("size") > 100000, F.col("size")))
+    rows = with_reputation(gappy, "owner_std_stars", "owner_mean_forks")
+    wanted = ["owner_std_stars", "owner_mean_forks", "size"]
+    return prep.impute_median(rows.select("id", *wanted), wanted)
 
 
 @query
@@ -489,9 +499,7 @@ def table_shape(spark, sf):
 
 @query
 def null_profile(spark, sf):
-    r = repos(spark, sf)
-    spread = owners.owner_reputation(r).select("owner_login", "owner_std_stars")
-    return audit.null_profile(r.join(spread, "owner_login", "left"))
+    return audit.null_profile(with_reputation(repos(spark, sf), "owner_std_stars"))
 
 
 @query
@@ -621,8 +629,7 @@ def ts_fold_stats(spark, sf):
 @query
 def rmsle(spark, sf):
     r = repos(spark, sf)
-    means = owners.owner_reputation(r).select("owner_login", "owner_mean_stars")
-    return metrics.rmsle(r.join(means, "owner_login"), "stargazers_count", "owner_mean_stars")
+    return metrics.rmsle(with_reputation(r, "owner_mean_stars"), "stargazers_count", "owner_mean_stars")
 
 
 @query
@@ -671,18 +678,18 @@ def gbt_importance(spark, sf):
     return metrics.importance_top(metrics.importance_mean(weights), 30)
 
 
-def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, model.Scorer]:
+def fitted(spark: SparkSession, sf: str, trees: int = TREES) -> tuple[DataFrame, model.Scorer]:
     rows = prep.preprocess(repos(spark, sf))
     codes = encode.fit_codes(rows, "language")
-    coded = encode.apply_codes(rows, codes, "language", "language_code", "id")
-    coded = coded.drop("language").withColumnRenamed("language_code", "language")
-    trained = model.refit(coded, MODEL_COLUMNS, "metadata", TREES, DEPTH)
+    trained = model.refit(coded(rows, codes), MODEL_COLUMNS, "metadata", trees, DEPTH)
     return rows, model.Scorer(trained, codes, MODEL_COLUMNS)
 
 
 @query
 def gbt_refit(spark, sf):
-    _, scorer = fitted(spark, sf)
+    rows = folds.with_blocks(coded_repos(spark, sf))
+    scores, _ = model.cross_validate(rows, MODEL_COLUMNS, trees=TREES, depth=DEPTH)
+    _, scorer = fitted(spark, sf, model.settled_trees(scores))
     trees = scorer.model.stages[-1]
     counts = model.split_counts(spark, trees, MODEL_COLUMNS)
     return counts.withColumn("trees", F.lit(trees.getNumTrees))

@@ -11,6 +11,7 @@ from repo_signals import schema
 from repo_signals.functions.columns import lookup
 from repo_signals.operators.ordering import with_row_index
 from repo_signals.operators.skew import left_join_spread
+from repo_signals.session import materialize
 
 
 def fit_codes(df: DataFrame, column: str) -> DataFrame:
@@ -20,7 +21,7 @@ def fit_codes(df: DataFrame, column: str) -> DataFrame:
     aggregation and ranked across tasks.
     """
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n_rows"))
-    return with_row_index(values, [column], "code")
+    return materialize(with_row_index(values, [column], "code"), "codes")
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str, row_id: str, unseen: int = -1) -> DataFrame:

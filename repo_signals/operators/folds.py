@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from repo_signals import schema
 from repo_signals.functions.columns import flag, scalar
 from repo_signals.operators.ordering import with_row_index
+from repo_signals.session import materialize
 
 
 def fold_bounds(df: DataFrame, folds: int = 3) -> DataFrame:
@@ -39,7 +40,7 @@ def with_blocks(df: DataFrame, order: Sequence[str] = ("ingested_at", "id"), fol
     firsts = indexed.join(F.broadcast(bounds), F.col("row_idx") == F.col("test_start")).agg(
         *[F.max(F.when(F.col("fold") == i, F.struct(*order))).alias(f"first_{i}") for i in range(1, folds + 1)]
     )
-    keys = scalar(firsts)
+    keys = scalar(materialize(firsts, "folds"))
     own = F.struct(*order)
     block = F.lit(0)
     for i in range(1, folds + 1):

@@ -20,6 +20,7 @@ def left_join_spread(
     spread_on: str,
     slots: int = SLOTS,
     light_rows: int = LIGHT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` LEFT JOIN ``lookup`` on ``key``, for a lookup with one row per key.
 
@@ -30,10 +31,10 @@ def left_join_spread(
     ``2 * slots``, so their list may be collected and broadcast. Rows without a key are spread the same
     way. When the lookup is small AQE broadcasts it and the pieces cost nothing.
     """
-    counts = lookup.select(key, F.col(weight).alias("_n"))
-    total = scalar(counts.agg(F.sum("_n").alias("n")))["n"]
+    sizes = (lookup if counts is None else counts).select(key, F.col(weight).alias("_n"))
+    total = scalar(sizes.agg(F.sum("_n").alias("n")))["n"]
     piece_rows = F.greatest(total / F.lit(float(slots)), F.lit(float(light_rows)))
-    heavy = counts.where(F.col("_n") > piece_rows).select(
+    heavy = sizes.where(F.col("_n") > piece_rows).select(
         key, F.ceil(F.col("_n") / piece_rows).cast("int").alias("_pieces")
     )
     found = heavy.collect()

@@ -27,7 +27,7 @@ PART_TOPICS = {
     "topic_pattern": ["s.all", "wid.et"],
 }
 MODEL_COLUMNS = ["age_days", "forks_count", "open_issues_count", "size", "language"]
-TREES, DEPTH = 8, 4
+TREES, DEPTH, SMALL_DIM = 8, 4, 32
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 QUERIES: dict[str, Query] = {}
@@ -404,7 +404,11 @@ def topic_flags_substring(spark, sf):
 
 @query
 def embedding_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", features.embedding_text("text", "source").alias("embedding_text"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        features.embedding_text("text", "source").alias("embedding_text"),
+        F.length(features.embedding_text("text", "source", limit=None)).alias("whole_length"),
+    )
 
 
 @query
@@ -671,6 +675,15 @@ def gbt_cv(spark, sf):
     return scores
 
 
+@query
+def gbt_cv_embeddings(spark, sf):
+    rows = embed.hashed_embedding(folds.with_blocks(coded_repos(spark, sf)), "full_name", dim=SMALL_DIM)
+    scores, _ = model.cross_validate(
+        rows, MODEL_COLUMNS, preset="embeddings", trees=TREES, depth=DEPTH, embedding="embedding", dim=SMALL_DIM
+    )
+    return scores
+
+
 @query
 def gbt_importance(spark, sf):
     rows = folds.with_blocks(coded_repos(spark, sf))

@@ -490,7 +490,8 @@ select *, {topic_sum(PART_TOPICS)} from t""",
 select *, {topic_sum(schema.TOPIC_SUBSTRINGS)} from t""",
         "embedding_text": f"""with b as (select doc_id, trim(text, {blank}) as body, trim(source, {blank}) as name from documents),
 c as (select doc_id, case when length(body) > 0 then body else coalesce(name, '{schema.NO_TEXT}') end as chosen from b)
-select doc_id, case when length(chosen) > 2000 then substring(chosen, 1, 2000) || '...' else chosen end as embedding_text from c""",
+select doc_id, case when length(chosen) > 2000 then substring(chosen, 1, 2000) || '...' else chosen end as embedding_text,
+ cast(length(chosen) as integer) as whole_length from c""",
         "embedding_wide": "select vec_id, " + ", ".join(f"embedding[{i + 1}] as emb_{i}" for i in range(64)) + " from embeddings",
         "embedding_validation": f"""select count(*) as n_rows, cast(min(len(embedding)) as integer) as min_dim, cast(max(len(embedding)) as integer) as max_dim,
  cast(coalesce(sum(len(list_filter(embedding, lambda x: x is null))), 0) as bigint) as null_elements,

@@ -41,7 +41,9 @@ def left_join_spread(
     nowhere = F.pmod(F.xxhash64(spread_on), F.lit(slots)).cast("int")
     if not found:
         left = rows.withColumn("_piece", F.when(F.col(key).isNull(), nowhere).otherwise(F.lit(0)))
-        return left.join(lookup.withColumn("_piece", F.lit(0)), [key, "_piece"], "left").drop("_piece")
+        # Always 0, but not a literal: a literal would be folded out of the join key, and with it the spreading.
+        zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+        return left.join(lookup.withColumn("_piece", zero), [key, "_piece"], "left").drop("_piece")
     listed = F.broadcast(rows.sparkSession.createDataFrame(found, heavy.schema))
     pieces = F.coalesce("_pieces", F.lit(1))
     own_piece = F.pmod(F.xxhash64(spread_on), pieces).cast("int")

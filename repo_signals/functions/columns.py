@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ WHITESPACE = "".join(
     + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
 
+REGEX_SPECIAL = set(r".^$*+?{}[]\|()")
+
 
 def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -85,6 +87,21 @@ def lookup(value: str | Column, table: Mapping[str, int], default: int) -> Colum
     return F.coalesce(F.try_element_at(F.create_map(*pairs), as_column(value)), F.lit(default))
 
 
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return found
+
+
+def matches_any(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether any pattern is found. Patterns without special characters are searched as plain text, which is faster."""
+    special = [p for p in patterns if any(c in REGEX_SPECIAL for c in p)]
+    found = contains_any(text, [p for p in patterns if p not in special])
+    # (?d): a dot matches anything but a line feed.
+    return found | text.rlike("(?d)" + "|".join(special)) if special else found
+
+
 def array_spread(values: Column) -> Column:
     """Population standard deviation of an array of doubles, in one running pass."""
     zero = F.lit(0.0).cast("double")

@@ -284,7 +284,7 @@ def leak_guard(df: DataFrame, features: Sequence[str], target: str = schema.TARG
 
 
 def drop_leaks(df: DataFrame, features: Sequence[str], target: str = schema.TARGET) -> list[str]:
-    """The features that survive the guard. One row per column reaches the driver."""
+    """The features that survive the guard, text columns included. One row per column reaches the driver."""
     dropped = {r.feature for r in leak_guard(df, features, target).where("kept = 0").collect()}
     return [f for f in features if f in df.columns and f not in dropped and f != target]
 

@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repo_signals import schema
-from repo_signals.functions.columns import array_spread, at_least, flag, strip
-
-
-REGEX_SPECIAL = set(r".^$*+?{}[]\|()")
+from repo_signals.functions.columns import array_spread, at_least, contains_any, flag, matches_any, strip
 
 
 def topic_text(df: DataFrame, columns: Sequence[str]) -> Column | None:
@@ -22,21 +19,6 @@ def topic_text(df: DataFrame, columns: Sequence[str]) -> Column | None:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in have]))
 
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
-
-
-def matches_any(text: Column, patterns: Sequence[str]) -> Column:
-    """Whether any pattern is found. Patterns without special characters are searched as plain text, which is faster."""
-    special = [p for p in patterns if any(c in REGEX_SPECIAL for c in p)]
-    found = contains_any(text, [p for p in patterns if p not in special])
-    # (?d): a dot matches anything but a line feed.
-    return found | text.rlike("(?d)" + "|".join(special)) if special else found
-
-
 def topic_flags(
     df: DataFrame,
     columns: Sequence[str] = ("name", "full_name", "description"),
@@ -54,13 +36,13 @@ def topic_flags(
     text = topic_text(df, columns)
     if text is None:
         return df.withColumns({t: F.lit(0) for t in [*topics, count_name]})
-    if mode == "regex":
-        hits = {t: matches_any(text, words) for t, words in topics.items()}
-    elif mode == "substring":
-        hits = {t: contains_any(text, words) for t, words in topics.items()}
-    else:
+    finders = {"regex": matches_any, "substring": contains_any}
+    if mode not in finders:
         raise ValueError(f"unknown mode {mode!r}")
-    flagged = df.withColumns({t: flag(hit) for t, hit in hits.items()})
+    # A column of its own, so that the joined lower-case text is built once per row.
+    searched = df.withColumn("_text", text)
+    hits = {t: flag(finders[mode](F.col("_text"), words)) for t, words in topics.items()}
+    flagged = searched.withColumns(hits).drop("_text")
     total = F.lit(0)
     for topic in topics:
         total = total + F.col(topic)

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repo_signals import schema
-from repo_signals.functions.columns import array_spread, flag, scalar, utc, whole_days
+from repo_signals.functions.columns import array_spread, contains_any, flag, scalar, utc, whole_days
 from repo_signals.operators.prep import impute_median
 from repo_signals.operators.skew import left_join_spread
 from repo_signals.session import materialize
 
 
 def is_organisation(login: str, repo_count: str) -> Column:
-    named = F.lower(F.col(login)).rlike("|".join(schema.ORG_KEYWORDS))
+    named = contains_any(F.lower(F.col(login)), schema.ORG_KEYWORDS)
     return flag(named | (F.col(repo_count) > schema.ORG_REPO_COUNT))
 
 
@@ -46,18 +46,20 @@ def owner_reputation(df: DataFrame, owner: str = "owner_login", as_of: str | Non
     The totals are written once as a small table: the latest ingestion, the heavy
     owners and the medians are all taken from it, not from the rows again.
     """
-    totals = materialize(owner_totals(df, owner), "owners")
-    until = F.lit(as_of).cast("timestamp") if as_of else scalar(totals.agg(F.max("last_seen").alias("t")))["t"]
-    return (
-        totals.where(F.col(owner).isNotNull())
-        .drop("last_seen")
-        .withColumns(
+    totals = materialize(
+        owner_totals(df, owner).withColumns(
             {
-                "owner_tenure_days": whole_days(until, "owner_first_repo"),
                 "owner_active_days": whole_days("owner_last_repo", "owner_first_repo"),
                 "owner_is_org": is_organisation(owner, "owner_repo_count"),
             }
-        )
+        ),
+        "owners",
+    )
+    until = F.lit(as_of).cast("timestamp") if as_of else scalar(totals.agg(F.max("last_seen").alias("t")))["t"]
+    return (
+        totals.where(F.col(owner).isNotNull())
+        .drop("last_seen")
+        .withColumn("owner_tenure_days", whole_days(until, "owner_first_repo"))
     )
 
 

@@ -73,15 +73,9 @@ def strength_columns(clean: bool = True) -> list[str]:
     return [c for c in non_embedding(clean) if c != "language"]
 
 
-def coded(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Rows whose language text is replaced by its code."""
-    found = encode.apply_codes(rows, codes, "language", "language_code", "id")
-    return found.drop("language").withColumnRenamed("language_code", "language")
-
-
 def coded_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prep.preprocess(repos(spark, sf_dir))
-    return coded(rows, encode.fit_codes(rows, "language"))
+    return model.coded_language(rows, encode.fit_codes(rows, "language"))
 
 
 def with_reputation(df: DataFrame, *measures: str) -> DataFrame:
@@ -590,6 +584,13 @@ def audit_report(spark, sf):
     return audit.audit_report(dated_repos(spark, sf))
 
 
+@query
+def audit_report_text(spark, sf):
+    path = scratch_path(spark, "report")
+    writers.write_text(audit.report_lines(audit.audit_report(dated_repos(spark, sf))), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 # --- order and samples -------------------------------------------------------------------------
 
 
@@ -694,7 +695,7 @@ def gbt_importance(spark, sf):
 def fitted(spark: SparkSession, sf: str, trees: int = TREES) -> tuple[DataFrame, model.Scorer]:
     rows = prep.preprocess(repos(spark, sf))
     codes = encode.fit_codes(rows, "language")
-    trained = model.refit(coded(rows, codes), MODEL_COLUMNS, "metadata", trees, DEPTH)
+    trained = model.refit(model.coded_language(rows, codes), MODEL_COLUMNS, "metadata", trees, DEPTH)
     return rows, model.Scorer(trained, codes, MODEL_COLUMNS)
 
 
@@ -708,6 +709,16 @@ def gbt_refit(spark, sf):
     return counts.withColumn("trees", F.lit(trees.getNumTrees))
 
 
+@query
+def final_training(spark, sf):
+    enriched = scratch_path(spark, "enriched")
+    writers.write_parquet_chunks(stages.enrich(repos(spark, sf)), enriched)
+    run = stages.train(readers.read_parquet_dir(spark, enriched), trees=TREES, depth=DEPTH)
+    path = scratch_path(spark, "importance")
+    writers.write_csv(run.importance.select("feature", "importance", "pct"), path)
+    return readers.read_csv(spark, path, schema.IMPORTANCE)
+
+
 @query
 def model_roundtrip(spark, sf):
     rows, scorer = fitted(spark, sf)

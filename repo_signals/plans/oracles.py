@@ -294,7 +294,7 @@ select feature, {r6('a')} as abs_correlation, named, critical, 1 - greatest(name
     )
 
 
-def report_sql() -> str:
+def report_sql(lines: bool = False) -> str:
     names = DATED_COLUMNS
     safe = ", ".join(c for c in names if c not in schema.NOT_FEATURES and not any(p in c for p in schema.LEAK_NAME_PARTS))
     excluded = ", ".join(c for c in names if c not in schema.NOT_FEATURES and any(p in c for p in schema.LEAK_NAME_PARTS))
@@ -321,6 +321,8 @@ def report_sql() -> str:
         ("safe_features", "excluded_features", f"'{excluded}'"),
     ]
     dated = CORRS + ", dated as (select *, ingested_at + to_days(cast(open_issues_count as integer) * 30) as updated_at from repos) "
+    if lines:
+        return dated + " union all ".join(f"select '[{s}] {k}: ' || {v} as line" for s, k, v in entries)
     return dated + " union all ".join(
         f"select '{s}' as section, '{k}' as key, {v} as value" for s, k, v in entries
     )
@@ -589,6 +591,7 @@ from g, c, s group by point""",
         + """, k as (select id, watchers_count, stargazers_count from repos order by md5(concat(id, ':', 42)), id limit 10000)
 select *, (select greatest(max(watchers_count), max(stargazers_count)) from k) as line_end from k""",
         "audit_report": report_sql(),
+        "audit_report_text": report_sql(lines=True),
         "time_row_index": REPOS + "select id, row_number() over (order by ingested_at, id) - 1 as row_idx from repos",
         "topn_share": """with w as (select l_returnflag, l_partkey, sum(l_quantity) as weight from lineitem group by all),
 r as (select *, row_number() over (partition by l_returnflag order by weight desc, l_partkey) as rank from w)

@@ -17,6 +17,8 @@ def build_session(app: str = "repo_signals", master: str | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Hash instead of sort where AQE has seen that every build partition is small.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }

@@ -104,7 +104,7 @@ def matches_any(text: Column, patterns: Sequence[str]) -> Column:
 
 def array_spread(values: Column) -> Column:
     """Population standard deviation of an array of doubles, in one running pass."""
-    zero = F.lit(0.0).cast("double")
+    zero = F.lit(0.0)
     start = F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("m2"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -128,9 +128,5 @@ def scalar(one_row: DataFrame) -> Column:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, for comparison across engines."""
-    return df.select(
-        *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in doubles}) if doubles else df

@@ -51,10 +51,11 @@ def null_profile(df: DataFrame) -> DataFrame:
         *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
     )
     rows = [
-        (c, {"null_count": F.col(f"_null_{i}"), "null_pct": F.round(F.lit(100.0) * F.col(f"_null_{i}") / F.col("_rows"), 2)})
-        for i, c in enumerate(df.columns)
+        (c, {"null_count": F.col(f"_null_{i}"), "_rows": F.col("_rows")}) for i, c in enumerate(df.columns)
     ]
-    return stacked(counts, rows, "column").where(F.col("null_count") > 0)
+    percent = F.round(F.lit(100.0) * F.col("null_count") / F.col("_rows"), 2)
+    found = stacked(counts, rows, "column").where(F.col("null_count") > 0)
+    return found.select("column", "null_count", percent.alias("null_pct"))
 
 
 def category_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5) -> DataFrame:
@@ -192,7 +193,8 @@ def mirror_check(df: DataFrame, column: str = "watchers_count", target: str = sc
 
 def names_by_strength(threshold: float) -> Column:
     """Aggregate: the features whose |r| exceeds the threshold, strongest first, as text."""
-    strong = F.when(F.col("abs_correlation") > threshold, F.struct((-F.col("abs_correlation")).alias("s"), F.col("feature").alias("f")))
+    ranked = F.struct((-F.col("abs_correlation")).alias("s"), F.col("feature").alias("f"))
+    strong = F.when(F.col("abs_correlation") > threshold, ranked)
     return F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(strong)), lambda e: e["f"]))
 
 
@@ -242,11 +244,16 @@ def name_verdict(column: str, parts: Sequence[str] = schema.LEAK_NAME_PARTS) ->
     return "excluded" if any(p in column.lower() for p in parts) else "safe"
 
 
-def safe_features(df: DataFrame, target: str = schema.TARGET, parts: Sequence[str] = schema.LEAK_NAME_PARTS) -> DataFrame:
+def safe_features(
+    df: DataFrame,
+    target: str = schema.TARGET,
+    parts: Sequence[str] = schema.LEAK_NAME_PARTS,
+) -> DataFrame:
     """One row per candidate column: the verdict by name next to what the data say."""
     names = [c for c in df.columns if name_verdict(c, parts) != "skipped"]
     counts = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)]
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)],
     )
     items = [
         (c, {"verdict": F.lit(name_verdict(c, parts)), "_nulls": F.col(f"_null_{i}"), "_rows": F.col("_rows")})
@@ -316,7 +323,12 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     )
 
 
-def target_histogram(df: DataFrame, column: str = schema.TARGET, bins: int = HISTOGRAM_BINS, view: float = 0.99) -> DataFrame:
+def target_histogram(
+    df: DataFrame,
+    column: str = schema.TARGET,
+    bins: int = HISTOGRAM_BINS,
+    view: float = 0.99,
+) -> DataFrame:
     """The histogram over the full range, with a mark on the bins that start within the viewed quantile."""
     edge = scalar(exact_quantiles(df, [column], [view]).select("value"))["value"]
     return histogram(df, column, bins).withColumn("in_view", flag(F.col("low") <= edge))
@@ -347,7 +359,14 @@ def density_curve(df: DataFrame, column: str, grid: int = KDE_GRID) -> DataFrame
     )
 
 
-def scatter_sample(df: DataFrame, x: str = "watchers_count", y: str = schema.TARGET, key: str = "id", rows: int = 10000, seed: int = 42) -> DataFrame:
+def scatter_sample(
+    df: DataFrame,
+    x: str = "watchers_count",
+    y: str = schema.TARGET,
+    key: str = "id",
+    rows: int = 10000,
+    seed: int = 42,
+) -> DataFrame:
     """A sample of points and the end of the identity line through them."""
     sample = hash_sample(df.select(key, x, y), key, rows=rows, seed=seed)
     top = scalar(sample.agg(F.greatest(F.max(x), F.max(y)).alias("t")))["t"]

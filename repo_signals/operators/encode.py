@@ -30,6 +30,11 @@ def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str, row_id:
     return found.withColumn(out, F.coalesce(F.col(out), F.lit(unseen))).drop("n_rows")
 
 
-def fixed_language_code(df: DataFrame, column: str = "language", out: str = "language_code", codes: Mapping[str, int] = schema.LANGUAGE_CODES) -> DataFrame:
+def fixed_language_code(
+    df: DataFrame,
+    column: str = "language",
+    out: str = "language_code",
+    codes: Mapping[str, int] = schema.LANGUAGE_CODES,
+) -> DataFrame:
     """Codes of the fixed serving map; anything else, or nothing, gets the unknown code."""
     return df.withColumn(out, lookup(column, codes, schema.UNKNOWN_LANGUAGE_CODE))

@@ -93,7 +93,13 @@ def embedding_text(
     return F.when(F.length(chosen) > limit, F.concat(F.substring(chosen, 1, limit), F.lit("..."))).otherwise(chosen)
 
 
-def embedding_wide(df: DataFrame, column: str, dim: int, prefix: str = "readme_emb", keep: Sequence[str] = ()) -> DataFrame:
+def embedding_wide(
+    df: DataFrame,
+    column: str,
+    dim: int,
+    prefix: str = "readme_emb",
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """One column per vector element, for consumers that need a flat table."""
     names = schema.embedding_columns(dim, prefix)
     return df.select(*keep, *[F.get(F.col(column), i).alias(n) for i, n in enumerate(names)])
@@ -102,7 +108,7 @@ def embedding_wide(df: DataFrame, column: str, dim: int, prefix: str = "readme_e
 def embedding_validation(df: DataFrame, column: str) -> DataFrame:
     """Row count, dimension range, missing elements and mean length of a vector column."""
     v = F.col(column)
-    squares = F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
+    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(F.size(v)).alias("min_dim"),
@@ -117,7 +123,7 @@ def array_stats(column: str | Column, threshold: float) -> dict[str, Column]:
     """Sum, mean, population spread and count above a threshold of an array."""
     v = F.transform(F.col(column) if isinstance(column, str) else column, lambda x: x.cast("double"))
     n = F.size(v)
-    zero = F.lit(0.0).cast("double")
+    zero = F.lit(0.0)
     total = F.aggregate(v, zero, lambda a, x: a + x)
     return {
         "total": total,

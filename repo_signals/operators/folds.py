@@ -28,7 +28,12 @@ def fold_bounds(df: DataFrame, folds: int = 3) -> DataFrame:
     )
 
 
-def with_blocks(df: DataFrame, order: Sequence[str] = ("ingested_at", "id"), folds: int = 3, name: str = "block") -> DataFrame:
+def with_blocks(
+    df: DataFrame,
+    order: Sequence[str] = ("ingested_at", "id"),
+    folds: int = 3,
+    name: str = "block",
+) -> DataFrame:
     """Add the time block of each row: 0 for the first train range, ``i`` for the test of fold ``i``.
 
     Fold ``i`` trains on ``block < i`` and tests on ``block == i``. Only the order

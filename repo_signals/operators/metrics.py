@@ -88,8 +88,9 @@ def importance_top(importance: DataFrame, n: int) -> DataFrame:
 
 def ranked_share(shown: DataFrame, item: str, weight: str) -> DataFrame:
     """Rank and percentage within a list that is already cut to its length."""
-    listed = shown.agg(F.array_sort(F.collect_list(F.struct((-F.col(weight)).alias("s"), F.col(item).alias("i")))).alias("l"))
-    total = F.aggregate("l", F.lit(0.0).cast("double"), lambda a, e: a - e["s"])
+    entry = F.struct((-F.col(weight)).alias("s"), F.col(item).alias("i"))
+    listed = shown.agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    total = F.aggregate("l", F.lit(0.0), lambda a, e: a - e["s"])
     return listed.select(total.alias("t"), F.posexplode("l")).select(
         (F.col("pos") + 1).alias("rank"),
         F.col("col.i").alias(item),
@@ -123,11 +124,12 @@ def family_share(importance: DataFrame, rules: Mapping[str, Column], top: int |
     """Importance per family over the ``top`` features, with its share of all families and its member count."""
     shown = importance if top is None else top_n(importance, [F.desc("importance"), F.asc("feature")], top)
     hit = [(name, F.coalesce(rule, F.lit(False))) for name, rule in rules.items()]
+    weight = F.col("importance")
     row = shown.agg(
-        *[F.coalesce(F.sum(F.when(h, F.col("importance"))), F.lit(0.0)).alias(f"_w_{i}") for i, (_, h) in enumerate(hit)],
+        *[F.coalesce(F.sum(F.when(h, weight)), F.lit(0.0)).alias(f"_w_{i}") for i, (_, h) in enumerate(hit)],
         *[F.count_if(h).alias(f"_n_{i}") for i, (_, h) in enumerate(hit)],
     )
-    total = sum((F.col(f"_w_{i}") for i in range(len(hit))), F.lit(0.0).cast("double"))
+    total = sum((F.col(f"_w_{i}") for i in range(len(hit))), F.lit(0.0))
     items = [
         F.struct(
             F.lit(name).alias("family"),

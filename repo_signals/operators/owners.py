@@ -63,7 +63,12 @@ def owner_reputation(df: DataFrame, owner: str = "owner_login", as_of: str | Non
     )
 
 
-def owner_features(df: DataFrame, owner: str = "owner_login", row_id: str = "id", as_of: str | None = None) -> DataFrame:
+def owner_features(
+    df: DataFrame,
+    owner: str = "owner_login",
+    row_id: str = "id",
+    as_of: str | None = None,
+) -> DataFrame:
     """Reputation joined back to the rows, gaps filled with row medians, skewed columns logged."""
     reputation = owner_reputation(df, owner, as_of)
     joined = left_join_spread(df, reputation, owner, "n_rows", row_id).drop("n_rows")
@@ -86,7 +91,7 @@ def listed_stats(repos: Column) -> dict[str, Column]:
     stars = F.transform(listed, lambda r: F.coalesce(r["stargazers_count"], F.lit(0)).cast("double"))
     forks = F.transform(listed, lambda r: F.coalesce(r["forks_count"], F.lit(0)).cast("double"))
     n = F.size(listed)
-    zero = F.lit(0.0).cast("double")
+    zero = F.lit(0.0)
     total_stars = F.aggregate(stars, zero, lambda a, x: a + x)
     total_forks = F.aggregate(forks, zero, lambda a, x: a + x)
     return {
@@ -144,7 +149,12 @@ def with_owner_logs(df: DataFrame) -> DataFrame:
     )
 
 
-def owner_stats_or_default(df: DataFrame, stats: DataFrame, owner: str = "owner_login", row_id: str = "id") -> DataFrame:
+def owner_stats_or_default(
+    df: DataFrame,
+    stats: DataFrame,
+    owner: str = "owner_login",
+    row_id: str = "id",
+) -> DataFrame:
     """Known owner figures where there are any, else the default profile as a whole."""
     wanted = stats.select(
         owner,

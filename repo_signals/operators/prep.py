@@ -85,7 +85,12 @@ def fill_sentinel(df: DataFrame, columns: Sequence[str] | None = None, value: fl
     return df.fillna(value, subset=list(columns) if columns else None)
 
 
-def impute_median(df: DataFrame, columns: Sequence[str], source: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+def impute_median(
+    df: DataFrame,
+    columns: Sequence[str],
+    source: DataFrame | None = None,
+    weight: str | None = None,
+) -> DataFrame:
     """Fill gaps with the exact median.
 
     The median is taken over the rows of ``df``. Where a column holds one value

@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 
 from repo_signals import schema
 from repo_signals.functions.columns import flag, rounded, scalar, utc, utc_lenient, whole_days
-from repo_signals.operators import audit, embed, encode, features, folds, metrics, model, ordering, owners, prep, scoring
+from repo_signals.operators import (
+    audit,
+    embed,
+    encode,
+    features,
+    folds,
+    metrics,
+    model,
+    ordering,
+    owners,
+    prep,
+    scoring,
+)
 from repo_signals.operators.skew import left_join_spread
 from repo_signals.plans import stages
 from repo_signals.session import pin_utc, scratch_path
@@ -169,11 +181,11 @@ def json_props(spark, sf):
 
 @query
 def csv_roundtrip(spark, sf):
+    per_part = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"))
     weights = (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+        per_part.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .groupBy(F.col("p_name").alias("feature"))
-        .agg(F.sum("l_quantity").alias("importance"))
+        .agg(F.sum("quantity").alias("importance"))
     )
     path = scratch_path(spark, "importance")
     writers.write_csv(metrics.importance_top(weights, 20).select("feature", "importance", "pct"), path)
@@ -315,13 +327,12 @@ def owner_features_joined(spark, sf):
 
 @query
 def owner_is_org(spark, sf):
+    per_customer = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     groups = (
-        table(spark, sf, "orders")
-        .join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+        per_customer.join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-        .select(F.concat_ws("-", "n_name", "c_mktsegment").alias("owner_login"))
-        .groupBy("owner_login")
-        .agg(F.count(F.lit(1)).alias("owner_repo_count"))
+        .groupBy(F.concat_ws("-", "n_name", "c_mktsegment").alias("owner_login"))
+        .agg(F.sum("n").alias("owner_repo_count"))
     )
     return groups.withColumn("owner_is_org", owners.is_organisation("owner_login", "owner_repo_count"))
 
@@ -350,7 +361,9 @@ def owner_stats_serving(spark, sf):
         .select(
             F.col("c_name").alias("owner_login"),
             F.when(segment == "BUILDING", "Organization").otherwise("User").alias("owner_type"),
-            F.when(segment == "FURNITURE", F.lit(0)).when(segment != "HOUSEHOLD", F.col("c_nationkey")).alias("public_repos"),
+            F.when(segment == "FURNITURE", F.lit(0))
+            .when(segment != "HOUSEHOLD", F.col("c_nationkey"))
+            .alias("public_repos"),
             "owner_created_at",
         )
     )
@@ -596,7 +609,8 @@ def audit_report_text(spark, sf):
 
 @query
 def time_row_index(spark, sf):
-    return ordering.with_row_index(repos(spark, sf).select("ingested_at", "id"), ["ingested_at", "id"]).select("id", "row_idx")
+    order = ["ingested_at", "id"]
+    return ordering.with_row_index(repos(spark, sf).select(order), order).select("id", "row_idx")
 
 
 @query
@@ -607,14 +621,15 @@ def topn_share(spark, sf):
 
 @query
 def sample_n(spark, sf):
-    return ordering.hash_sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", rows=10000)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return ordering.hash_sample(orders, "o_orderkey", rows=10000)
 
 
 @query
 def sample_fraction(spark, sf):
-    return ordering.hash_sample(table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("line"), "l_quantity"
-    ), "line", fraction=0.2)
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf, "lineitem").select(key.alias("line"), "l_quantity")
+    return ordering.hash_sample(lines, "line", fraction=0.2)
 
 
 # --- folds, scores, importance -----------------------------------------------------------------

@@ -20,7 +20,8 @@ REGEX_SPECIAL = set(r".^$*+?{}[]\|()")
 
 
 def as_column(value: str | Column) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+    """A column by its exact name, which may contain dots, or the expression itself."""
+    return F.col(f"`{value}`") if isinstance(value, str) else value
 
 
 def utc(value: str | Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repo_signals import schema
-from repo_signals.functions.columns import flag, ladder_above, present, scalar, utc, utc_lenient
+from repo_signals.functions.columns import as_column, flag, ladder_above, present, scalar, utc, utc_lenient
 from repo_signals.operators.ordering import hash_sample
 from repo_signals.operators.quantiles import exact_quantiles
 
@@ -48,7 +48,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     """Columns with missing values, their count and percentage, from one pass."""
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(as_column(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
     )
     rows = [
         (c, {"null_count": F.col(f"_null_{i}"), "_rows": F.col("_rows")}) for i, c in enumerate(df.columns)
@@ -66,9 +66,9 @@ def category_profile(df: DataFrame, columns: Sequence[str] | None = None, top: i
     """
     names = list(columns or text_columns(df))
     n_rows = scalar(df.agg(F.count(F.lit(1)).alias("n")))["n"]
+    cells = [F.struct(F.lit(c).alias("column"), as_column(c).alias("value")) for c in names]
     counts = (
-        df.select(names)
-        .unpivot([], names, "column", "value")
+        df.select(F.inline(F.array(*cells)))
         .where(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -177,7 +177,7 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: str = sche
 
 def mirror_check(df: DataFrame, column: str = "watchers_count", target: str = schema.TARGET) -> DataFrame:
     """Whether a column merely repeats the target."""
-    x, y = F.col(column), F.col(target)
+    x, y = as_column(column), as_column(target)
     gap = F.abs(x - y)
     spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
     return df.agg(
@@ -253,7 +253,7 @@ def safe_features(
     names = [c for c in df.columns if name_verdict(c, parts) != "skipped"]
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)],
+        *[F.count_if(as_column(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)],
     )
     items = [
         (c, {"verdict": F.lit(name_verdict(c, parts)), "_nulls": F.col(f"_null_{i}"), "_rows": F.col("_rows")})
@@ -382,10 +382,11 @@ def audit_report(df: DataFrame, target: str = schema.TARGET, mirror: str = "watc
     Two passes: one with counts and dates, one with the moments of every column.
     """
     dates = [c for c in schema.DATE_COLUMNS if c in df.columns]
+    latest = parsed_date(df, "ingested_at") if "ingested_at" in dates else F.lit(None).cast("timestamp")
     row = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
-        F.max(parsed_date(df, "ingested_at")).alias("_latest"),
+        *[F.count_if(as_column(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
+        F.max(latest).alias("_latest"),
     )
     mirrors = (F.col("feature") == mirror) & (F.col("correlation") > 0.99)
     leaks = scalar(
@@ -404,9 +405,9 @@ def audit_report(df: DataFrame, target: str = schema.TARGET, mirror: str = "watc
         ("data_quality", "null_columns", n_null.cast("string")),
         ("feature_leakage", "critical_features", leaks["critical"]),
         ("feature_leakage", "high_risk_features", leaks["high"]),
-        ("feature_leakage", "watchers_leakage", leaks["mirror"]),
+        ("feature_leakage", "watchers_leakage", leaks["mirror"] if mirror in df.columns else F.lit("None")),
         ("temporal_integrity", "date_columns", F.lit(", ".join(dates))),
-        ("temporal_integrity", "ingestion_max", F.date_format("_latest", "yyyy-MM-dd HH:mm:ss")),
+        ("temporal_integrity", "ingestion_max", F.coalesce(F.date_format("_latest", "yyyy-MM-dd HH:mm:ss"), F.lit("None"))),
         ("safe_features", "safe_features", F.lit(", ".join(verdicts["safe"]))),
         ("safe_features", "excluded_features", F.lit(", ".join(verdicts["excluded"]))),
     ]

@@ -18,22 +18,30 @@ def is_organisation(login: str, repo_count: str) -> Column:
 
 
 def owner_totals(df: DataFrame, owner: str = "owner_login") -> DataFrame:
-    """One row per owner from a single grouped aggregation, rows without an owner included."""
+    """One row per owner from a single grouped aggregation, rows without an owner included.
+
+    Date figures need ``created_at``, the latest ingestion needs ``ingested_at``.
+    """
     stars, forks = F.col(schema.TARGET), F.col("forks_count")
-    created = utc("created_at")
-    return df.groupBy(owner).agg(
+    measures = [
         F.avg(stars).alias("owner_mean_stars"),
         F.sum(stars).alias("owner_total_stars"),
         F.count(stars).alias("owner_repo_count"),
         F.stddev_samp(stars).alias("owner_std_stars"),
         F.avg(forks).alias("owner_mean_forks"),
         F.sum(forks).alias("owner_total_forks"),
-        F.min(created).alias("owner_first_repo"),
-        F.max(created).alias("owner_last_repo"),
         F.avg(F.when(stars > schema.SUCCESS_STARS, F.lit(1.0)).otherwise(F.lit(0.0))).alias("owner_success_rate"),
-        F.max(utc("ingested_at")).alias("last_seen"),
         F.count(F.lit(1)).alias("n_rows"),
-    )
+    ]
+    if "created_at" in df.columns:
+        created = utc("created_at")
+        measures += [F.min(created).alias("owner_first_repo"), F.max(created).alias("owner_last_repo")]
+    if "ingested_at" in df.columns:
+        measures.append(F.max(utc("ingested_at")).alias("last_seen"))
+    totals = df.groupBy(owner).agg(*measures).withColumn("owner_is_org", is_organisation(owner, "owner_repo_count"))
+    if "created_at" in df.columns:
+        totals = totals.withColumn("owner_active_days", whole_days("owner_last_repo", "owner_first_repo"))
+    return totals
 
 
 def owner_reputation(df: DataFrame, owner: str = "owner_login", as_of: str | None = None) -> DataFrame:
@@ -46,21 +54,12 @@ def owner_reputation(df: DataFrame, owner: str = "owner_login", as_of: str | Non
     The totals are written once as a small table: the latest ingestion, the heavy
     owners and the medians are all taken from it, not from the rows again.
     """
-    totals = materialize(
-        owner_totals(df, owner).withColumns(
-            {
-                "owner_active_days": whole_days("owner_last_repo", "owner_first_repo"),
-                "owner_is_org": is_organisation(owner, "owner_repo_count"),
-            }
-        ),
-        "owners",
-    )
+    totals = materialize(owner_totals(df, owner), "owners")
+    known = totals.where(F.col(owner).isNotNull()).drop("last_seen")
+    if "owner_first_repo" not in known.columns:
+        return known
     until = F.lit(as_of).cast("timestamp") if as_of else scalar(totals.agg(F.max("last_seen").alias("t")))["t"]
-    return (
-        totals.where(F.col(owner).isNotNull())
-        .drop("last_seen")
-        .withColumn("owner_tenure_days", whole_days(until, "owner_first_repo"))
-    )
+    return known.withColumn("owner_tenure_days", whole_days(until, "owner_first_repo"))
 
 
 def owner_features(
@@ -69,13 +68,19 @@ def owner_features(
     row_id: str = "id",
     as_of: str | None = None,
 ) -> DataFrame:
-    """Reputation joined back to the rows, gaps filled with row medians, skewed columns logged."""
+    """Reputation joined back to the rows, gaps filled with row medians, skewed columns logged.
+
+    A table without an owner column is returned as it is.
+    """
+    if owner not in df.columns:
+        return df
     reputation = owner_reputation(df, owner, as_of)
+    measures = [c for c in schema.OWNER_MEASURES if c in reputation.columns]
     joined = left_join_spread(df, reputation, owner, "n_rows", row_id).drop("n_rows")
     # The median over rows equals the median over owners weighted by their row counts.
-    filled = impute_median(joined, schema.OWNER_MEASURES, reputation, "n_rows")
+    filled = impute_median(joined, measures, reputation, "n_rows")
     return filled.withColumn("owner_is_org", F.coalesce("owner_is_org", F.lit(0))).withColumns(
-        {f"log_{c}": F.log1p(c) for c in schema.OWNER_LOGGED}
+        {f"log_{c}": F.log1p(c) for c in schema.OWNER_LOGGED if c in measures}
     )
 
 

@@ -122,6 +122,24 @@ def test_scatter_sample(table):
     assert {r.line_end for r in rows} == {max(r.stargazers_count for r in rows)}
 
 
+def test_audit_of_a_raw_table_with_dotted_names(spark):
+    raw = spark.createDataFrame(
+        [(1, "a", 5, 5, 1.0), (2, None, 7, 7, 1.0), (3, "a", 9, 9, 1.0)],
+        "id int, `owner.login` string, stargazers_count int, watchers_count int, score double",
+    )
+    assert {r["column"]: r.null_count for r in audit.null_profile(raw).collect()} == {"owner.login": 1}
+    assert [(r["column"], r.value, r.n) for r in audit.category_profile(raw).collect()] == [("owner.login", "a", 2)]
+    assert {r.feature: r.verdict for r in audit.safe_features(raw).collect()} == {
+        "owner.login": "safe",
+        "watchers_count": "excluded",
+        "score": "safe",
+    }
+    got = {r.key: r.value for r in audit.audit_report(raw).collect()}
+    assert got["safe_features"] == "owner.login, score" and got["ingestion_max"] == "None"
+    assert got["null_columns"] == "1" and got["watchers_leakage"] == "True"
+    assert {r.key: r.value for r in audit.audit_report(raw.drop("watchers_count")).collect()}["watchers_leakage"] == "None"
+
+
 def test_report(table):
     _, df = table
     got = {(r.section, r.key): r.value for r in audit.audit_report(df).collect()}

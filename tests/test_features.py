@@ -39,6 +39,14 @@ def test_owner_features_fill_with_row_medians(small_repos):
     assert rows[1].log_owner_total_stars == pytest.approx(np.log1p(311))
 
 
+def test_owner_features_without_owner_or_dates(small_repos):
+    bare = small_repos.drop("owner_login")
+    assert owners.owner_features(bare).columns == bare.columns
+    undated = owners.owner_features(small_repos.drop("created_at", "ingested_at"))
+    assert "owner_tenure_days" not in undated.columns and "log_owner_total_stars" in undated.columns
+    assert undated.count() == 5
+
+
 def test_org_by_size(spark):
     df = spark.createDataFrame([("someone", 100), ("someone", 101), ("MicroSoft-x", 1), (None, 1)], "o string, n int")
     assert [r.f for r in df.select(owners.is_organisation("o", "n").alias("f")).collect()] == [0, 1, 1, 0]

@@ -73,7 +73,8 @@ def category_profile(df: DataFrame, columns: Sequence[str] | None = None, top: i
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    distinct = counts.groupBy("column").agg(F.count("n").alias("n_unique"))
+    # Looking at n keeps the counts of this branch identical, so that their shuffle is done once for both.
+    distinct = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n_unique"))
     frequent = W.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     shown = counts.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= top)
     return shown.join(F.broadcast(distinct), "column").select(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repo_signals.functions.columns import present
 from repo_signals.session import materialize
 
-# Log-spaced buckets over the range of a column: at most ln(1e9 + 1) * 256 + 1, about 5,306.
+# Log-spaced buckets over an interval: at most ln(1e9 + 1) * 256 + 1, about 5,306.
 RANGE_UNITS = 1e9
 BUCKETS_PER_E = 256
 
@@ -52,63 +53,45 @@ def exact_quantiles(
 def ranked_quantiles(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles of any number of distinct ``(column, value)`` with their counts ``_w``.
 
-    The counts are summed into a bounded number of buckets that follow value order,
-    and only the bucket that contains the wanted rank is sorted. The bucket is a
-    fixed function of the value and of the column's minimum and maximum, so a
-    recomputed task always gives the same answer.
+    Each wanted rank is closed in on: the values of its interval are counted into
+    log-spaced buckets, and the bucket that holds the rank becomes the next
+    interval, until one value is left. Minimum and maximum never share a bucket,
+    so every round narrows; a few rounds are enough. Nothing is sorted and no
+    group is gathered: a round shuffles one sum per bucket and returns one row
+    per rank, with two ranks per column and probability.
     """
-    span = counted.groupBy("column").agg(
+    spark = counted.sparkSession
+    value, low, high = F.col("value"), F.col("_lo"), F.col("_hi")
+    spans = counted.groupBy("column").agg(
         F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_w").alias("_rows")
     )
-    place = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bucket = F.when(
-        F.col("_hi") > F.col("_lo"), F.floor(F.log1p(place * RANGE_UNITS) * BUCKETS_PER_E).cast("int")
-    ).otherwise(F.lit(0))
-    bucketed = counted.join(F.broadcast(span), "column").withColumn("_bucket", bucket)
-
-    totals = bucketed.groupBy("column", "_bucket").agg(
-        F.sum("_w").alias("_in"), F.first("_rows").alias("_rows")
-    )
-    running = W.partitionBy("column").orderBy("_bucket")
-    ranks = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("prob"),
-                    F.floor(F.lit(float(p)) * (F.col("_rows") - 1)).alias("low"),
-                    F.ceil(F.lit(float(p)) * (F.col("_rows") - 1)).alias("high"),
-                    (F.lit(float(p)) * (F.col("_rows") - 1)).alias("at"),
-                )
-                for p in probs
-            ]
+    open_ranks, wanted = {}, []
+    for r in spans.collect():
+        for p in probs:
+            at = p * (r["_rows"] - 1)
+            wanted.append((r["column"], p, math.floor(at), math.ceil(at), at - math.floor(at)))
+            for rank in (math.floor(at), math.ceil(at)):
+                open_ranks[r["column"], rank] = (r["_lo"], r["_hi"], 0)
+    found = {key: lo for key, (lo, hi, _) in open_ranks.items() if lo == hi}
+    while len(found) < len(open_ranks):
+        state = [(*key, *at) for key, at in open_ranks.items() if key not in found]
+        listed = spark.createDataFrame(state, "column string, _rank bigint, _lo double, _hi double, _before bigint")
+        bucket = F.floor(F.log1p((value - low) / (high - low) * RANGE_UNITS) * BUCKETS_PER_E).cast("int")
+        inside = counted.join(F.broadcast(listed), "column").where(value.between(low, high))
+        sums = inside.groupBy("column", "_rank", "_before", bucket.alias("_bucket")).agg(
+            F.sum("_w").alias("_in"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
         )
-    )
-    hits = (
-        totals.withColumn("_before", F.sum("_in").over(running) - F.col("_in"))
-        .withColumn("_rank", ranks)
-        .where((F.col("_before") <= F.col("_rank.high")) & (F.col("_before") + F.col("_in") > F.col("_rank.low")))
-        .groupBy("column", "_bucket", "_before")
-        .agg(F.collect_list("_rank").alias("_ranks"))
-    )
-    upto = F.col("_before") + F.sum("_w").over(W.partitionBy("column", "_bucket").orderBy("value"))
-    located = (
-        bucketed.join(F.broadcast(hits), ["column", "_bucket"])
-        .withColumn("_upto", upto)
-        .withColumn("_rank", F.explode("_ranks"))
-    )
-
-    def at(rank: str) -> Column:
-        inside = (F.col("_upto") > F.col(f"_rank.{rank}")) & (F.col("_upto") - F.col("_w") <= F.col(f"_rank.{rank}"))
-        return F.max(F.when(inside, F.col("value")))
-
-    ends = located.groupBy("column", F.col("_rank.prob").alias("prob")).agg(
-        at("low").alias("_a"),
-        at("high").alias("_b"),
-        F.max(F.col("_rank.at") - F.col("_rank.low")).alias("_part"),
-    )
-    return ends.select(
-        "column", "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("value")
-    )
+        running = F.sum("_in").over(W.partitionBy("column", "_rank").orderBy("_bucket"))
+        hit = sums.withColumn("_upto", F.col("_before") + running).where(
+            (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_in") <= F.col("_rank"))
+        )
+        for r in hit.collect():
+            key = (r["column"], r["_rank"])
+            open_ranks[key] = (r["_lo"], r["_hi"], r["_upto"] - r["_in"])
+            if r["_lo"] == r["_hi"]:
+                found[key] = r["_lo"]
+    rows = [(c, p, found[c, a] + (found[c, b] - found[c, a]) * part) for c, p, a, b, part in wanted]
+    return spark.createDataFrame(rows, "column string, prob double, value double")
 
 
 def medians(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> dict[str, float]:

@@ -28,8 +28,9 @@ def left_join_spread(
     piece may hold is cut into as many pieces as it needs, by a hash of ``spread_on``,
     and its lookup row repeated once per piece. As a piece is at least 1/slots of all
     rows, fewer than ``slots`` keys can be that heavy and the repeats number at most
-    ``2 * slots``, so their list may be collected and broadcast. Rows without a key are spread the same
-    way. When the lookup is small AQE broadcasts it and the pieces cost nothing.
+    ``2 * slots``, so their list may be collected and broadcast. Rows without a key
+    are spread the same way. When the lookup is small AQE broadcasts it and the
+    pieces cost nothing.
     """
     sizes = (lookup if counts is None else counts).select(key, F.col(weight).alias("_n"))
     total = scalar(sizes.agg(F.sum("_n").alias("n")))["n"]

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from repo_signals import schema
@@ -152,6 +155,16 @@ def test_hashed_embedding(spark):
     assert (rows[1] == rows[4]).all()
 
 
+def test_hashed_embedding_counts_every_term_of_the_text(spark):
+    text = "Alpha beta BETA " * 3000 + "omega"
+    got = np.array(embed.hashed_embedding(spark.createDataFrame([(text,)], "t string"), "t").first().embedding)
+    want = np.zeros(384)
+    hashing = HashingTF(numFeatures=384)
+    for term, n in Counter(text.lower().split()).items():
+        want[hashing.indexOf(term)] += n
+    assert got == pytest.approx(want / np.linalg.norm(want), abs=1e-6)
+
+
 def test_pluggable_encoder(spark):
     def make():
         def encode(texts):

@@ -19,6 +19,8 @@ def frames(rng):
         "constant": np.full(3000, 4.0),
         "narrow": 1.7e9 + rng.uniform(0, 1e-3, 3000),
         "few": rng.integers(0, 3, 3000).astype(float),
+        "outlier": np.append(rng.uniform(0, 1, 2999), 1e15),
+        "negative": -np.exp(rng.normal(0, 8, 3000)),
     }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from repo_signals import schema
 from repo_signals.functions.columns import as_column, flag, ladder_above, present, scalar, utc, utc_lenient
 from repo_signals.operators.ordering import hash_sample
-from repo_signals.operators.quantiles import exact_quantiles
+from repo_signals.operators.quantiles import count_values, quantiles_of
 
 HISTOGRAM_BINS = 100
 KDE_GRID = 200
@@ -98,16 +98,19 @@ def parsed_date(df: DataFrame, name: str) -> Column:
 
 
 def target_summary(df: DataFrame, column: str = schema.TARGET) -> DataFrame:
-    basic = df.agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.min(column).cast("double").alias("min"),
-        F.max(column).cast("double").alias("max"),
+    """Count, mean, extremes, median and 99th percentile, all from the value counts of one pass."""
+    counted = count_values(df, [column])
+    value, times = F.col("value"), F.col("_w")
+    basic = counted.agg(
+        F.coalesce(F.sum(times), F.lit(0)).alias("n"),
+        F.try_divide(F.sum(value * times), F.sum(times)).alias("mean"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
     )
     quantiles = scalar(
-        exact_quantiles(df, [column], [0.5, 0.99]).agg(
-            F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
-            F.max(F.when(F.col("prob") == 0.99, F.col("value"))).alias("q99"),
+        quantiles_of(counted, [0.5, 0.99]).agg(
+            F.max(F.when(F.col("prob") == 0.5, value)).alias("median"),
+            F.max(F.when(F.col("prob") == 0.99, value)).alias("q99"),
         )
     )
     return basic.withColumns({"median": quantiles["median"], "q99": quantiles["q99"]})
@@ -300,21 +303,19 @@ def drop_leaks(df: DataFrame, features: Sequence[str], target: str = schema.TARG
 # --- distributions -----------------------------------------------------------------------------
 
 
-def value_span(df: DataFrame, column: str) -> Column:
-    """Range of a column as histograms use it: a constant column gets a unit-wide range."""
+def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, weight: str | None = None) -> DataFrame:
+    """Equal-width bins over the whole range, empty ones included; the top edge belongs to the last bin.
+
+    A constant column gets a range one unit wide. ``weight`` counts a row several times.
+    """
     x = present(column)
-    ends = df.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.count(x).alias("n"), F.stddev_samp(x).alias("sd"))
     half = F.when(F.col("a") == F.col("b"), F.lit(0.5)).otherwise(F.lit(0.0))
-    return scalar(ends.select((F.col("a") - half).alias("lo"), (F.col("b") + half).alias("hi"), "n", "sd"))
-
-
-def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins over the whole range, empty ones included; the top edge belongs to the last bin."""
-    span = value_span(df, column)
+    ends = df.agg(F.min(x).alias("a"), F.max(x).alias("b"))
+    span = scalar(ends.select((F.col("a") - half).alias("lo"), (F.col("b") + half).alias("hi")))
     width = (span["hi"] - span["lo"]) / bins
-    x = present(column)
     index = F.least(F.lit(bins - 1), F.floor((x - span["lo"]) / (span["hi"] - span["lo"]) * bins)).cast("int")
-    filled = df.where(x.isNotNull()).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    filled = df.where(x.isNotNull()).groupBy(index.alias("bin")).agg(times.alias("n"))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return grid.join(F.broadcast(filled), "bin", "left").select(
         "bin",
@@ -331,32 +332,37 @@ def target_histogram(
     view: float = 0.99,
 ) -> DataFrame:
     """The histogram over the full range, with a mark on the bins that start within the viewed quantile."""
-    edge = scalar(exact_quantiles(df, [column], [view]).select("value"))["value"]
-    return histogram(df, column, bins).withColumn("in_view", flag(F.col("low") <= edge))
+    counted = count_values(df, [column])
+    edge = scalar(quantiles_of(counted, [view]).select("value"))["value"]
+    return histogram(counted, "value", bins, "_w").withColumn("in_view", flag(F.col("low") <= edge))
 
 
 def density_curve(df: DataFrame, column: str, grid: int = KDE_GRID) -> DataFrame:
     """Gaussian kernel density at ``grid`` points between the extremes, Scott's bandwidth.
 
-    Equal values are counted first; every distinct value then adds its kernel to
-    all grid points inside its own task, so only ``grid`` partial sums per task
-    are shuffled and no value is approximated.
+    One pass counts equal values; every distinct value then adds its kernel to all
+    grid points inside its own task, so only ``grid`` partial sums per task are
+    shuffled and no value is approximated. A constant column has no density.
     """
-    x = present(column)
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.stddev_samp(x).alias("sd"))
-    span = scalar(ends)
-    n = span["n"].cast("double")
-    bandwidth = span["sd"] * F.pow(n, F.lit(-0.2))
-    step = (span["hi"] - span["lo"]) / (grid - 1)
-    counts = df.select(x.alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    z = (F.col("grid_x") - F.col("x")) / F.col("h")
+    counted = count_values(df, [column])
+    x, w = F.col("value"), F.col("_w")
+    ends = scalar(
+        counted.agg(
+            F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(w).alias("n"), (F.sum(x * w) / F.sum(w)).alias("mean")
+        )
+    )
+    n = ends["n"].cast("double")
+    squares = scalar(counted.agg(F.sum(w * F.pow(x - ends["mean"], F.lit(2.0))).alias("sum")))["sum"]
+    bandwidth = F.sqrt(F.try_divide(squares, n - 1)) * F.pow(n, F.lit(-0.2))
+    step = (ends["hi"] - ends["lo"]) / (grid - 1)
+    z = F.try_divide(F.col("grid_x") - x, F.col("h"))
     return (
-        counts.select("x", "w", bandwidth.alias("h"), span["lo"].alias("lo"), step.alias("step"))
-        .select("x", "w", "h", "lo", "step", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+        counted.select("value", "_w", bandwidth.alias("h"), ends["lo"].alias("lo"), step.alias("step"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
         .withColumn("grid_x", F.col("lo") + F.col("point") * F.col("step"))
         .groupBy("point")
-        .agg(F.first("grid_x").alias("grid_x"), F.sum(F.col("w") * F.exp(-z * z / 2)).alias("mass"))
-        .select("point", "grid_x", (F.col("mass") / (n * bandwidth * F.sqrt(2 * F.pi()))).alias("density"))
+        .agg(F.first("grid_x").alias("grid_x"), F.sum(F.try_divide(w * F.exp(-z * z / 2), F.col("h"))).alias("mass"))
+        .select("point", "grid_x", (F.col("mass") / (n * F.sqrt(2 * F.pi()))).alias("density"))
     )
 
 
@@ -370,8 +376,8 @@ def scatter_sample(
 ) -> DataFrame:
     """A sample of points and the end of the identity line through them."""
     sample = hash_sample(df.select(key, x, y), key, rows=rows, seed=seed)
-    top = scalar(sample.agg(F.greatest(F.max(x), F.max(y)).alias("t")))["t"]
-    return sample.withColumn("line_end", top)
+    whole_sample = W.partitionBy()
+    return sample.withColumn("line_end", F.greatest(F.max(x).over(whole_sample), F.max(y).over(whole_sample)))
 
 
 # --- the whole audit ---------------------------------------------------------------------------

@@ -20,34 +20,46 @@ BUCKETS_PER_E = 256
 FEW_VALUES = 1_000_000
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    weight: str | None = None,
-    few: int = FEW_VALUES,
-) -> DataFrame:
-    """Rows ``(column, prob, value)``; NULL and NaN are left out.
+def count_values(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """How often each value of each column occurs: a written table ``(column, value, _w)``, from one pass.
 
-    One pass over ``df`` counts equal values and writes the counts; ``weight``
-    counts a row several times. The built-in exact percentile keeps all distinct
-    values of a column in the memory of one task, so it is used for at most ``few``
-    of them. Beyond that, see ``ranked_quantiles``.
+    NULL and NaN are left out; ``weight`` counts a row several times.
     """
     times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    pairs = df.select(times.alias("_w"), *[present(c).alias(c) for c in columns]).unpivot(
-        ["_w"], list(columns), "column", "value"
-    )
-    counted = materialize(
-        pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("_w").alias("_w")), "counts"
+    cells = [F.struct(F.lit(c).alias("column"), present(c).alias("value")) for c in columns]
+    counted = (
+        df.select(times.alias("_w"), F.inline(F.array(*cells)))
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.sum("_w").alias("_w"))
     )
+    return materialize(counted, "counts")
+
+
+def quantiles_of(counted: DataFrame, probs: Sequence[float], few: int = FEW_VALUES) -> DataFrame:
+    """Rows ``(column, prob, value)`` from value counts.
+
+    The built-in exact percentile keeps all distinct values of a column in the
+    memory of one task, so it is used for at most ``few`` of them. Beyond that,
+    see ``ranked_quantiles``.
+    """
     if counted.count() > few:
         return ranked_quantiles(counted, probs)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     found = counted.groupBy("column").agg(F.percentile("value", wanted, F.col("_w")).alias("values"))
-    return found.select("column", F.inline(F.arrays_zip(wanted.alias("prob"), F.col("values").alias("value")))).toDF(
-        "column", "prob", "value"
-    )
+    pairs = F.arrays_zip(wanted.alias("prob"), F.col("values").alias("value"))
+    return found.select("column", F.inline(pairs)).toDF("column", "prob", "value")
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    weight: str | None = None,
+    few: int = FEW_VALUES,
+) -> DataFrame:
+    """Rows ``(column, prob, value)``, from one pass over ``df``."""
+    return quantiles_of(count_values(df, columns, weight), probs, few)
 
 
 def ranked_quantiles(counted: DataFrame, probs: Sequence[float]) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repo_signals.functions.columns import scalar
-
 # A piece of a heavy key holds at most 1/SLOTS of all rows, or LIGHT_ROWS if that is more.
 SLOTS = 4096
 LIGHT_ROWS = 100_000
@@ -33,12 +31,13 @@ def left_join_spread(
     pieces cost nothing.
     """
     sizes = (lookup if counts is None else counts).select(key, F.col(weight).alias("_n"))
-    total = scalar(sizes.agg(F.sum("_n").alias("n")))["n"]
-    piece_rows = F.greatest(total / F.lit(float(slots)), F.lit(float(light_rows)))
-    heavy = sizes.where(F.col("_n") > piece_rows).select(
-        key, F.ceil(F.col("_n") / piece_rows).cast("int").alias("_pieces")
-    )
-    found = heavy.collect()
+    most = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
+    piece_rows = max((most.total or 0) / slots, light_rows)
+    found = []
+    if (most.largest or 0) > piece_rows:
+        heavy = sizes.where(F.col("_n") > piece_rows)
+        heavy = heavy.select(key, F.ceil(F.col("_n") / F.lit(float(piece_rows))).cast("int").alias("_pieces"))
+        found = heavy.collect()
     nowhere = F.pmod(F.xxhash64(spread_on), F.lit(slots)).cast("int")
     if not found:
         left = rows.withColumn("_piece", F.when(F.col(key).isNull(), nowhere).otherwise(F.lit(0)))

@@ -105,6 +105,14 @@ def test_density_matches_the_formula(table):
     assert [r.density for r in rows] == pytest.approx(want.tolist())
 
 
+def test_distributions_of_odd_columns(table):
+    _, df = table
+    assert {r.density for r in audit.density_curve(df, "flat").collect()} == {None}
+    assert {r.n for r in audit.histogram(df, "empty").collect()} == {0}
+    row = audit.target_summary(df, "empty").first()
+    assert row.n == 0 and row["mean"] is None and row["median"] is None
+
+
 def test_safe_features_and_guard(table):
     _, df = table
     rows = {r.feature: r for r in audit.safe_features(df).collect()}

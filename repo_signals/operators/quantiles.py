@@ -36,14 +36,14 @@ def count_values(df: DataFrame, columns: Sequence[str], weight: str | None = Non
     return materialize(counted, "counts")
 
 
-def quantiles_of(counted: DataFrame, probs: Sequence[float], few: int = FEW_VALUES) -> DataFrame:
+def quantiles_of(counted: DataFrame, probs: Sequence[float], few: int | None = None) -> DataFrame:
     """Rows ``(column, prob, value)`` from value counts.
 
     The built-in exact percentile keeps all distinct values of a column in the
     memory of one task, so it is used for at most ``few`` of them. Beyond that,
     see ``ranked_quantiles``.
     """
-    if counted.count() > few:
+    if counted.count() > (FEW_VALUES if few is None else few):
         return ranked_quantiles(counted, probs)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     found = counted.groupBy("column").agg(F.percentile("value", wanted, F.col("_w")).alias("values"))
@@ -56,7 +56,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     weight: str | None = None,
-    few: int = FEW_VALUES,
+    few: int | None = None,
 ) -> DataFrame:
     """Rows ``(column, prob, value)``, from one pass over ``df``."""
     return quantiles_of(count_values(df, columns, weight), probs, few)

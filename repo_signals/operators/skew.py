@@ -16,8 +16,8 @@ def left_join_spread(
     key: str,
     weight: str,
     spread_on: str,
-    slots: int = SLOTS,
-    light_rows: int = LIGHT_ROWS,
+    slots: int | None = None,
+    light_rows: int | None = None,
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` LEFT JOIN ``lookup`` on ``key``, for a lookup with one row per key.
@@ -30,6 +30,7 @@ def left_join_spread(
     are spread the same way. When the lookup is small AQE broadcasts it and the
     pieces cost nothing.
     """
+    slots, light_rows = slots or SLOTS, light_rows or LIGHT_ROWS
     sizes = (lookup if counts is None else counts).select(key, F.col(weight).alias("_n"))
     most = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
     piece_rows = max((most.total or 0) / slots, light_rows)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repo_signals.functions.columns import scalar
 from repo_signals.session import scratch_dir
 
 # monotonically_increasing_id keeps the row position in its low 33 bits.
@@ -49,7 +48,8 @@ def hash_sample(
     A global ``orderBy().limit(n)`` would gather ``n`` rows per partition in one
     task. Here the digest's first 32 bits are histogrammed in two steps of 65,536
     buckets, which gives the bucket the cut falls into; all rows before it are
-    kept where they are, and only the rows of that one bucket are ranked.
+    kept where they are, and only the rows of that one bucket are ranked. One row
+    per step reaches the driver.
     """
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     tagged = df.withColumn("_digest", digest).withColumns(
@@ -65,19 +65,19 @@ def hash_sample(
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_rows") < F.col("_want")))
         .select("_lead", (F.col("_want") - F.col("_upto") + F.col("_rows")).alias("_need"))
     )
-    lead = scalar(lead_cut)
+    lead = lead_cut.first()
+    if lead is None:
+        return df.limit(0)
 
-    next_counts = (
-        tagged.where(F.col("_lead") == lead["_lead"]).groupBy("_next").agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    next_cut = (
+    on_lead = F.col("_lead") == lead["_lead"]
+    next_counts = tagged.where(on_lead).groupBy("_next").agg(F.count(F.lit(1)).alias("_rows"))
+    leaf = (
         next_counts.withColumn("_upto", F.sum("_rows").over(W.orderBy("_next")))
         .where((F.col("_upto") >= lead["_need"]) & (F.col("_upto") - F.col("_rows") < lead["_need"]))
-        .select("_next", (lead["_need"] - F.col("_upto") + F.col("_rows")).alias("_need"))
+        .select("_next", (F.lit(lead["_need"]) - F.col("_upto") + F.col("_rows")).alias("_need"))
+        .first()
     )
-    leaf = scalar(next_cut)
 
-    on_lead = F.col("_lead") == lead["_lead"]
     before = tagged.where((F.col("_lead") < lead["_lead"]) | (on_lead & (F.col("_next") < leaf["_next"])))
     ranked = W.partitionBy("_lead", "_next").orderBy("_digest", key)
     edge = (

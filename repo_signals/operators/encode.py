@@ -24,9 +24,22 @@ def fit_codes(df: DataFrame, column: str) -> DataFrame:
     return materialize(with_row_index(values, [column], "code"), "codes")
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str, row_id: str, unseen: int = -1) -> DataFrame:
-    """Add the code of each row's category; a category the fit did not see gets ``unseen``."""
-    found = left_join_spread(df, codes.select(column, F.col("code").alias(out), "n_rows"), column, "n_rows", row_id)
+def apply_codes(
+    df: DataFrame,
+    codes: DataFrame,
+    column: str,
+    out: str,
+    row_id: str,
+    unseen: int = -1,
+    same_rows: bool = True,
+) -> DataFrame:
+    """Add the code of each row's category; a category the fit did not see gets ``unseen``.
+
+    Heavy categories are known from the fit. For other rows than those of the fit,
+    ``same_rows=False`` counts them anew.
+    """
+    wanted = codes.select(column, F.col("code").alias(out), *(["n_rows"] if same_rows else []))
+    found = left_join_spread(df, wanted, column, "n_rows" if same_rows else None, row_id)
     return found.withColumn(out, F.coalesce(F.col(out), F.lit(unseen))).drop("n_rows")
 
 

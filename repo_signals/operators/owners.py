@@ -160,17 +160,17 @@ def owner_stats_or_default(
     owner: str = "owner_login",
     row_id: str = "id",
 ) -> DataFrame:
-    """Known owner figures where there are any, else the default profile as a whole."""
-    wanted = stats.select(
-        owner,
-        *[F.col(c).cast("double").alias(c) for c in schema.OWNER_DEFAULTS],
-        F.lit(1).alias("_known"),
-        F.col("n_rows").alias("_weight"),
-    )
-    joined = left_join_spread(df, wanted, owner, "_weight", row_id)
+    """Known owner figures where there are any, else the default profile as a whole.
+
+    ``stats`` has one row per owner; its ``n_rows``, if any, tells the heavy owners.
+    """
+    weight = "n_rows" if "n_rows" in stats.columns else None
+    figures = [F.col(c).cast("double").alias(c) for c in schema.OWNER_DEFAULTS]
+    wanted = stats.select(owner, *figures, F.lit(1).alias("_known"), *([weight] if weight else []))
+    joined = left_join_spread(df, wanted, owner, weight, row_id)
     known = F.col("_known").isNotNull()
     return with_owner_logs(
         joined.withColumns(
             {c: F.when(known, F.col(c)).otherwise(F.lit(v)) for c, v in schema.OWNER_DEFAULTS.items()}
-        ).drop("_known", "_weight")
+        ).drop("_known", "n_rows")
     )

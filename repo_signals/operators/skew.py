@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repo_signals.session import materialize
+
 # A piece of a heavy key holds at most 1/SLOTS of all rows, or LIGHT_ROWS if that is more.
 SLOTS = 4096
 LIGHT_ROWS = 100_000
@@ -14,7 +16,7 @@ def left_join_spread(
     rows: DataFrame,
     lookup: DataFrame,
     key: str,
-    weight: str,
+    weight: str | None,
     spread_on: str,
     slots: int | None = None,
     light_rows: int | None = None,
@@ -22,7 +24,9 @@ def left_join_spread(
 ) -> DataFrame:
     """``rows`` LEFT JOIN ``lookup`` on ``key``, for a lookup with one row per key.
 
-    ``lookup[weight]`` is the number of rows of the key. A key with more rows than a
+    ``lookup[weight]`` is the number of rows of the key, or ``counts[weight]`` where
+    the lookup is expensive to read twice; without a ``weight`` the rows of each key
+    are counted first. A key with more rows than a
     piece may hold is cut into as many pieces as it needs, by a hash of ``spread_on``,
     and its lookup row repeated once per piece. As a piece is at least 1/slots of all
     rows, fewer than ``slots`` keys can be that heavy and the repeats number at most
@@ -31,7 +35,11 @@ def left_join_spread(
     pieces cost nothing.
     """
     slots, light_rows = slots or SLOTS, light_rows or LIGHT_ROWS
-    sizes = (lookup if counts is None else counts).select(key, F.col(weight).alias("_n"))
+    if weight is None:
+        per_key = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = materialize(per_key, "sizes")
+    else:
+        sizes = (lookup if counts is None else counts).select(key, F.col(weight).alias("_n"))
     most = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
     piece_rows = max((most.total or 0) / slots, light_rows)
     found = []

@@ -496,7 +496,7 @@ def label_encode(spark, sf):
 def label_encode_holdout(spark, sf):
     rows = prep.preprocess(repos(spark, sf))
     train, _ = prep.temporal_split(rows, "1995-01-03")
-    out = encode.apply_codes(rows, encode.fit_codes(train, "name"), "name", "name_code", "id")
+    out = encode.apply_codes(rows, encode.fit_codes(train, "name"), "name", "name_code", "id", same_rows=False)
     return out.select("id", "name", "name_code")
 
 

@@ -128,6 +128,12 @@ def scalar(one_row: DataFrame) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, for comparison across engines."""
+    """Round every double column, for comparison across engines.
+
+    Engines round decimal ties differently, so this is plain arithmetic that gives
+    the same bits everywhere.
+    """
+    scale = F.lit(10.0**digits)
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in doubles}) if doubles else df
+    exact = {c: F.floor(as_column(c) * scale + F.lit(0.5)).cast("double") / scale for c in doubles}
+    return df.withColumns(exact) if exact else df

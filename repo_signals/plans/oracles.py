@@ -30,8 +30,8 @@ DAY = 86400000000
 
 
 def r6(x: str) -> str:
-    """Six decimals, without a negative zero."""
-    return f"(round({x}, 6) + 0e0)"
+    """Six decimals, by the same arithmetic as the queries."""
+    return f"(floor(({x}) * 1e6 + 0.5e0) / 1e6)"
 
 
 def days(a: str, b: str) -> str:

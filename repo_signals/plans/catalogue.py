@@ -436,6 +436,14 @@ def text_embed_hashed(spark, sf):
     return embed.hashed_embedding(docs, "text").select("doc_id", "embedding")
 
 
+@query
+def text_embed_shape(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vectors = embed.hashed_embedding(docs, "text").select("doc_id", "embedding")
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return vectors.select("doc_id", F.size("embedding").alias("dim"), F.sqrt(squares).alias("norm"))
+
+
 @query
 def array_stats(spark, sf):
     stats = features.array_stats("embedding", 0.1)
@@ -741,8 +749,9 @@ def model_roundtrip(spark, sf):
     scorer.save(path)
     again = model.Scorer.load(spark, path)
     before = scorer.score(rows).select("id", F.col("predicted_stars").alias("before"))
-    return again.score(rows).join(before, "id").select(
-        "id", "predicted_stars", (F.col("before") - F.col("predicted_stars")).alias("difference")
+    after = again.score(rows).select("id", "predicted_stars", "input_features")
+    return after.join(before, "id").select(
+        "id", "input_features", (F.col("before") - F.col("predicted_stars")).alias("difference")
     )
 
 

@@ -500,6 +500,8 @@ select doc_id, case when length(chosen) > 2000 then substring(chosen, 1, 2000) |
  count(*) filter (where embedding is null) as null_vectors,
  {r6('avg(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))))')} as mean_norm
 from embeddings""",
+        "text_embed_shape": f"""select doc_id, 384 as dim, case when length(trim(text, {blank})) > 0 then 1e0 else 0e0 end as norm from documents""",
+        "model_roundtrip": REPOS + "select id, 5 as input_features, 0e0 as difference from repos",
         "array_stats": f"""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)
 select vec_id, {r6('list_sum(v)')} as total, {r6('list_avg(v)')} as mean, {r6('list_stddev_pop(v)')} as std,
  cast(len(list_filter(v, lambda x: x > 0.1e0)) as integer) as n_above from e""",

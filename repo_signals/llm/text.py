@@ -6,15 +6,20 @@ inside a UTF-8 character, so everything here works on bytes and never decodes.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import repo_signals
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHUNK_BYTES = 1 << 20
 # Rows of text sent to Python at once; a batch of long texts must still fit a worker.
@@ -30,15 +35,29 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The frame, with Arrow batches small enough for long texts in this session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def python_ready(spark: SparkSession) -> None:
+    """Let this session's Python tasks import the package, and keep their Arrow batches small enough for long texts.
+
+    The package goes out as a zip file through Spark, once per application, so
+    executors need not have it installed.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if getattr(context, "_repo_signals_sent", False):
+        return
+    root = Path(repo_signals.__file__).parent
+    archive = Path(tempfile.mkdtemp()) / "repo_signals_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(root.rglob("*.py")):
+            out.write(module, module.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._repo_signals_sent = True
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and whole ``text``; other columns are left behind, so their names cannot clash."""
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    python_ready(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

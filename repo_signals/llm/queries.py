@@ -4,21 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from repo_signals.llm.exact_dedup import exact_dedup
+from repo_signals.llm.langid import identify_language, train_langid
+from repo_signals.llm.packing import binary_pieces
+from repo_signals.llm.quality_model import fit_quality_model, quality_scores
+from repo_signals.llm.quality_rules import fit_quality_rules, quality_rules
+from repo_signals.llm.secret_scan import scan_secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def fold(folds: int) -> Column:
+    """The fold of a document, from its identifier written as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train_langid(docs, fold(4) != 2)
+    return identify_language(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules(docs, fit_quality_rules(docs, labels(spark, sf_dir)))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_quality_model(docs, labels(spark, sf_dir), fold(5) != 0)
+    return quality_scores(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_pieces(documents(spark, sf_dir), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_langid": op4_langid,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_model": op8_quality_model,
+    "op10_packing": op10_packing,
 }
 
 # SQL translate() changes A-Z alone, as the operators do.

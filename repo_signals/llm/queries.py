@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repo_signals.llm.exact_dedup import exact_dedup
 from repo_signals.llm.langid import identify_language, train_langid
+from repo_signals.llm.ngram_join import similar_documents
 from repo_signals.llm.packing import binary_pieces
 from repo_signals.llm.quality_model import fit_quality_model, quality_scores
 from repo_signals.llm.quality_rules import fit_quality_rules, quality_rules
@@ -28,6 +29,10 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op1_ngram_join": op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
     "op4_langid": op4_langid,
     "op6_quality_rules": op6_quality_rules,

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repo_signals.llm.bitmaps import BUCKET, bitmap_rows, bits_of, is_set, slot_bitmap
 from repo_signals.llm.components import connected_components
 from repo_signals.llm.text import FOLDED_CODE, U64, chunks, id_and_text, mix, span_hashes, window_hashes, words
 from repo_signals.session import materialize
@@ -30,10 +31,9 @@ FLUSH = 1 << 21
 FRAGMENT_NGRAMS = 1 << 20
 # Fragments a document's segments are cut into for counting a pair's overlap.
 SEGMENTS = 4
-# Slots of the table of frequent n-grams, and of the bitmap of documents whose n-grams are asked for: fixed sizes, so
-# that what is broadcast does not grow with the corpus. Where two n-grams share a slot, the order is a little worse.
+# Slots of the table of frequent n-grams: a fixed size, so that what is broadcast does not grow with the corpus. Where
+# two n-grams share a slot, the order is a little worse.
 LEVEL_BITS = 22
-ASKED_BITS = 23
 # N-grams in fewer documents are not told apart by frequency.
 FREQUENT = 8
 
@@ -166,19 +166,6 @@ def cut(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (grams >> U64(64 - bits)).astype(np.int64), (grams >> U64(32 - bits)).astype(np.uint32)
 
 
-def bitmap_rows(values: DataFrame, by: list[str]) -> DataFrame:
-    """Bitmaps of 32,768 bits for the non-negative ``value``, built in the tasks."""
-    # The functions count from 1.
-    bucket, place = (F.call_function(f, F.col("value") + 1) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
-    return values.groupBy(*by, (bucket - 1).alias("bucket")).agg(F.call_function("bitmap_construct_agg", place).alias("bits"))
-
-
-def bits_of(row, size_bits: int) -> tuple[slice, np.ndarray]:
-    low = row["bucket"] * 32768
-    found = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
-    return slice(low, min(low + 32768, 1 << size_bits)), found[: (1 << size_bits) - low]
-
-
 def level_table(frequent: DataFrame) -> np.ndarray:
     """One byte per slot: how frequent its n-grams are, 0 for all that are not.
 
@@ -197,9 +184,9 @@ def level_table(frequent: DataFrame) -> np.ndarray:
     table = np.zeros(1 << LEVEL_BITS, np.uint8)
     if kept:
         values = slots.where(F.col("level") >= min(kept)).withColumnRenamed("slot", "value")
-        for row in bitmap_rows(values, ["level"]).toLocalIterator():
-            where, found = bits_of(row, LEVEL_BITS)
-            table[where] = np.where(found, row["level"], table[where])
+        for row in bitmap_rows(values, "level").toLocalIterator():
+            part = table[row["bucket"] * BUCKET : (row["bucket"] + 1) * BUCKET]
+            part[bits_of(row)] = row["level"]
     return table
 
 
@@ -294,12 +281,7 @@ def segments(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     A bitmap of fixed size says which fingerprints are asked for; the few others
     that share a bit are dropped by the join that follows.
     """
-    asked_bits = np.zeros(1 << ASKED_BITS, bool)
-    values = asked.select(F.expr(f"node & {(1 << ASKED_BITS) - 1}").alias("value")).distinct()
-    for row in bitmap_rows(values, []).toLocalIterator():
-        where, found = bits_of(row, ASKED_BITS)
-        asked_bits[where] = found
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(asked_bits, bitorder="little"))  # 2^20 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(slot_bitmap(asked, "node"))  # 2^20 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -309,8 +291,7 @@ def segments(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 node = node_of(grams)
                 if node is None:
                     continue
-                bit = node & (1 << ASKED_BITS) - 1
-                if bits[bit >> 3] >> (bit & 7) & 1:
+                if is_set(bits, np.int64(node)):
                     segment = (grams >> U64(64 - int(log2(SEGMENTS)))).astype(np.int64)
                     out += [(node, doc, key, grams[part].tobytes()) for key, part in pieces_by(segment)]
             columns = zip(*out) if out else ([] for _ in range(4))

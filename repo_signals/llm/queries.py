@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repo_signals.llm.exact_dedup import exact_dedup
 from repo_signals.llm.langid import identify_language, train_langid
+from repo_signals.llm.line_templates import line_report
 from repo_signals.llm.ngram_join import similar_documents
 from repo_signals.llm.packing import binary_pieces
 from repo_signals.llm.quality_model import fit_quality_model, quality_scores
@@ -52,6 +53,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_quality_rules(docs, labels(spark, sf_dir)))
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_quality_model(docs, labels(spark, sf_dir), fold(5) != 0)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_langid": op4_langid,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_templates": op7_line_templates,
     "op8_quality_model": op8_quality_model,
     "op10_packing": op10_packing,
 }
@@ -82,4 +88,55 @@ ORACLES: dict[str, str] = {
             row_number() over (partition by body order by doc_id desc nulls last) = 1 as kept, sha256(body) as text_sha256
         from d window g as (partition by body)
     """,
+    "op7_line_templates": r"""
+        with texts as (select distinct text from documents where text is not null),
+        split as (
+            select text, unnest(string_split(text, chr(10))) as line,
+                generate_subscripts(string_split(text, chr(10)), 1) as k
+            from texts
+        ),
+        worded as (
+            select text, line, k,
+                list_transform(
+                    regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+                    lambda w: case when regexp_matches(w, '[0-9]') then '< >' else w end
+                ) as words
+            from split
+        ),
+        entries as (
+            select len(words) as n, words[1:3] as lead, words, count(distinct text) as docs
+            from worded where len(words) >= 3 group by all
+        ),
+        places as (
+            select n, lead, words, docs, unnest(words) as word, generate_subscripts(words, 1) as place from entries
+        ),
+        common as (
+            select n, lead, place, word from places where word != '< >' group by all having sum(docs) >= 5
+        ),
+        shaped as (
+            select n, lead, words, docs, list((place, word) order by place) as template
+            from places join common using (n, lead, place, word) group by n, lead, words, docs
+        ),
+        fixed as (select * from shaped where 100 * len(template) >= 50 * n),
+        often as (
+            select n, lead, template from fixed group by all having sum(docs) >= case when n >= 8 then 5 else 12 end
+        ),
+        recurring as (select words from fixed join often using (n, lead, template)),
+        marked as (
+            select text, line, k, len(words) as n, words in (select words from recurring) as hit from worded
+        ),
+        judged as (
+            select text, sum(n) filter (hit) as gone, sum(n) as n_words from marked group by text
+        ),
+        cleaned as (
+            select text, string_agg(line, chr(10) order by k) as kept, count(*) as n_kept
+            from marked join judged using (text)
+            where not (hit and 100 * gone <= 50 * n_words) group by text
+        )
+        select doc_id, len(string_split(text, chr(10))) as n_lines,
+            len(string_split(text, chr(10))) - n_kept as n_dropped, kept as text
+        from documents join cleaned using (text)
+        union all
+        select doc_id, 0, 0, null from documents where text is null
+    """,
 }

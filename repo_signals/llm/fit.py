@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repo_signals.llm.text import id_and_text
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 0) -> DataFrame:
-    """Whole texts of at most ``per_class`` documents of each class: ``doc_id, text, label, weight``.
+    """Whole texts of about ``per_class`` documents of each class: ``doc_id, text, label, weight``.
 
-    Of each class the documents with the smallest hash of their identifier are
-    taken, so the choice does not depend on partitions. Rows without identifier
-    or label are left out; a document with several labels has the smallest one,
-    one with several texts the greatest. ``weight`` is the number of labelled
-    documents that a sampled one stands for.
+    A document is taken if the hash of its identifier, as a number from 0 to 1,
+    lies below ``per_class`` over the size of its class: no rank is needed, the
+    choice does not depend on partitions, and a class with fewer documents is
+    taken whole. Rows without identifier or label are left out; a document with
+    several labels has the smallest one, one with several texts the greatest.
+    ``weight`` is the number of labelled documents that a sampled one stands for.
     """
     given = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
@@ -24,18 +24,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    place = F.row_number().over(W.partitionBy("label").orderBy(order, "doc_id"))
-    # The rank filter is applied in every task before the shuffle, so a class with most of the rows costs no more.
-    picked = given.withColumn("place", place).where(F.col("place") <= per_class).drop("place")
-    sizes = given.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    taken = picked.groupBy("label").agg(F.count(F.lit(1)).alias("taken"))
-    shares = sizes.join(taken, "label").select("label", (F.col("n") / F.col("taken")).alias("weight"))
-    # per_class rows for each class, and one row for each class.
-    wanted = picked.join(F.broadcast(shares), "label")
+    weight = F.greatest(F.lit(1.0), F.count(F.lit(1)) / F.lit(per_class))
+    classes = given.groupBy("label").agg(weight.alias("weight"))
+    place = F.xxhash64(F.col("doc_id"), F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)
+    # One row per class, and then about per_class rows for each.
+    picked = given.join(F.broadcast(classes), "label").where(place * F.col("weight") < 1)
     return (
         id_and_text(docs)
-        .join(F.broadcast(wanted), "doc_id")
+        .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "label", "weight")
         .agg(F.max("text").alias("text"))
         .select("doc_id", "text", "label", "weight")

@@ -28,15 +28,24 @@ def bucket(x: np.ndarray) -> np.ndarray:
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The distinct hashed n-grams of each row: byte trigrams and four-grams as written, and folded word bigrams."""
+    """The distinct hashed n-grams of each row.
+
+    Byte trigrams and four-grams as written, folded word bigrams, and five-grams
+    over whether a word repeats the one before it.
+    """
     b = np.zeros(len(data) + 3, U32)
     b[:-3] = data
     three = b[:-3] | b[1:-2] << U32(8) | b[2:-1] << U32(16)
     four = three | b[3:] << U32(24)
     grams = bucket(three ^ U32(0xA5000000)), bucket(four)
     found = words(data, offsets)
-    pairs = window_hashes(span_hashes(data, found.start, found.end, FOLDED_CODE), 2)
-    pairs = bucket((pairs >> np.uint64(32)).astype(U32))
+    hashes = span_hashes(data, found.start, found.end, FOLDED_CODE)
+    pairs = bucket((window_hashes(hashes, 2) >> np.uint64(32)).astype(U32))
+    same = (hashes[1:] == hashes[:-1]).astype(U32)
+    echoes = np.zeros(max(0, len(same) - 4), U32)
+    for k in range(5):
+        echoes |= same[k : k + len(echoes)] << U32(k)
+    echoes = bucket(echoes ^ U32(0x3C000000))
     mark = np.empty(1 << BUCKET_BITS, np.int32)
     for row in range(len(offsets) - 1):
         low, high = offsets[row], offsets[row + 1]
@@ -45,6 +54,7 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
                 grams[0][low : max(low, high - 2)],
                 grams[1][low : max(low, high - 3)],
                 pairs[found.first[row] : max(found.first[row], found.first[row + 1] - 1)],
+                echoes[found.first[row] : max(found.first[row], found.first[row + 1] - 5)],
             ]
         )
         # Of equal ids the last writer's mark stands, so one of them finds its own.

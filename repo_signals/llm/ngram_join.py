@@ -434,3 +434,22 @@ def labelled(spark: SparkSession, known: DataFrame, classes: DataFrame, componen
     rows = known.join(named, "node", "left")
     own: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents without near copies: of each group of ``similar_documents`` the one with the smallest ``doc_id`` stays.
+
+    All columns stay. Documents without words belong to no group and stay, as do
+    rows without an identifier, which no group can name. Rows that repeat both
+    identifier and text stay once.
+    """
+    groups = similar_documents(docs, width, percent)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = named.join(kept, "doc_id").select("row", "times")
+    # Pre-aggregated, so an identifier that repeats very often does not gather.
+    text = F.col("row").getField("text").cast("string").alias("text")
+    repeated = found.where("times > 1").select("row", text, F.col("row").getField("doc_id").alias("id"))
+    once = repeated.groupBy("id", "text").agg(F.first("row").alias("row")).select("row")
+    nameless = named.where("doc_id is null").select("row")
+    return found.where("times = 1").select("row").union(once).union(nameless).select("row.*")

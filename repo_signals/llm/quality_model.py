@@ -10,9 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from repo_signals.llm.fit import labelled_sample
-from repo_signals.llm.text import FOLDED_CODE, chunks, id_and_text, span_hashes, window_hashes, words
+from repo_signals.llm.text import FOLDED_CODE, chunks, id_and_text, python_ready, span_hashes, window_hashes, words
 
 # Labelled documents of each class the model is fitted on.
 FIT_PER_CLASS = 4000
@@ -192,6 +193,24 @@ def fit_quality_model(
     return fit_linear(vectors, y, rows["w"].to_numpy())
 
 
+def score_of(docs: DataFrame, model: LinearModel | None) -> Column:
+    """P(label = 1) of the column ``text``; only the texts go to Python, the other columns stay where they are."""
+    python_ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^18 numbers
+
+    @arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        fitted, out = shared.value, [np.zeros(0)]
+        for low, high, data, offsets in chunks(text):
+            if fitted is None:
+                out.append(np.full(high - low, 0.5))
+            else:
+                out.append(fitted.probability(np.array([fitted.margin(ids) for ids in indicators(data, offsets)])))
+        return pa.array(np.concatenate(out))
+
+    return score(F.col("text").cast("string"))
+
+
 def quality_scores(docs: DataFrame, model: LinearModel | None, keep_from: float = KEEP_FROM) -> DataFrame:
     """``doc_id, score, predicted`` for every row: P(label = 1) in 0 to 1, and 1 where it is ``keep_from`` or more.
 
@@ -199,18 +218,10 @@ def quality_scores(docs: DataFrame, model: LinearModel | None, keep_from: float
     Without a model every score is 0.5. One row per input row; only ``doc_id``
     and ``text`` are read; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^18 numbers
+    scored = id_and_text(docs).select("doc_id", score_of(docs, model).alias("score"))
+    return scored.select("doc_id", "score", (F.col("score") >= keep_from).cast("int").alias("predicted"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        for batch in batches:
-            for low, high, data, offsets in chunks(batch.column("text")):
-                if fitted is None:
-                    p = np.full(high - low, 0.5)
-                else:
-                    p = fitted.probability(np.array([fitted.margin(ids) for ids in indicators(data, offsets)]))
-                doc = batch.column("doc_id").slice(low, high - low)
-                chosen = pa.array((p >= keep_from).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(p), chosen], ["doc_id", "score", "predicted"])
 
-    return id_and_text(docs).mapInArrow(score, "doc_id long, score double, predicted int")
+def of_quality(docs: DataFrame, model: LinearModel | None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The documents whose score is ``keep_from`` or more, with all their columns."""
+    return docs.where(score_of(docs, model) >= keep_from)

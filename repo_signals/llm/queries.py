@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repo_signals.llm.chat import fit_roles, format_transcripts, symbol, transcripts
 from repo_signals.llm.exact_dedup import exact_dedup
 from repo_signals.llm.langid import identify_language, train_langid
 from repo_signals.llm.line_templates import line_report
 from repo_signals.llm.ngram_join import similar_documents
 from repo_signals.llm.packing import binary_pieces
+from repo_signals.llm.pieces import encode_pieces
 from repo_signals.llm.quality_model import fit_quality_model, quality_scores
 from repo_signals.llm.quality_rules import fit_quality_rules, quality_rules
 from repo_signals.llm.secret_scan import scan_secrets
@@ -38,6 +40,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of all conversations; the model is fitted on four folds of five, by ``conv_id``."""
+    lines = transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    seen = lines.withColumn("symbol", symbol(F.col("line"), F.col("pos") == 0))
+    return format_transcripts(lines, fit_roles(seen.where(F.crc32(F.col("conv_id").cast("string")) % 5 != 0)))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_langid(docs, fold(4) != 2)
@@ -63,6 +72,10 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_pieces(documents(spark, sf_dir), with_ids=False)
 
@@ -71,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op1_ngram_join": op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
+    "op3_chat_format": op3_chat_format,
     "op4_langid": op4_langid,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_templates": op7_line_templates,
     "op8_quality_model": op8_quality_model,
+    "op9_pieces": op9_pieces,
     "op10_packing": op10_packing,
 }
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from repo_signals.llm.fit import labelled_sample
 from repo_signals.llm.text import chunks, id_and_text
@@ -89,8 +88,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_language_model(ids: list[np.ndarray], y: np.ndarray, languages: list[str], rounds: int = 6, rate: float = 0.5, seed: int = 11) -> LanguageModel:
-    """Stochastic gradient descent over documents, one fifth of which is left out to calibrate.
+def fit_language_model(
+    docs: list[tuple[np.ndarray, np.ndarray]],
+    y: np.ndarray,
+    languages: list[str],
+    rounds: int = 6,
+    rate: float = 0.5,
+    seed: int = 11,
+) -> LanguageModel:
+    """Fitted on the distinct subwords of each document and their counts.
+
+    Stochastic gradient descent over documents, one fifth of which is left out to calibrate.
 
     The sharpness makes the stated probabilities of the left-out documents as
     likely as possible; a prediction below ``accept_from``, the score that all
@@ -101,7 +109,6 @@ def fit_language_model(ids: list[np.ndarray], y: np.ndarray, languages: list[str
     embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     weight, bias = np.zeros((DIMENSIONS, k), np.float32), np.zeros(k, np.float32)
     weight += rng.normal(0, 0.1, weight.shape).astype(np.float32)
-    docs = [np.unique(x, return_counts=True) for x in ids]
     own = np.flatnonzero((np.arange(len(docs)) % 5 != 0) & np.array([len(d[0]) > 0 for d in docs], bool))
     steps, done = rounds * max(1, len(own)), 0
     for _ in range(rounds):
@@ -143,23 +150,24 @@ def train_langid(docs: DataFrame, where: Column | None = None, per_language: int
             for low, high, data, offsets in chunks(batch.column("text")):
                 ids, at = subwords(data, offsets)
                 doc, label = (batch.column(c).slice(low, high - low) for c in ("doc_id", "label"))
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([doc, lists, label], ["doc_id", "ids", "label"])
+                distinct = [np.unique(ids[a:b], return_counts=True) for a, b in zip(at, at[1:])]
+                lists = [pa.array([x[k].astype(np.int32) for x in distinct], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([doc, *lists, label], ["doc_id", "ids", "counts", "label"])
 
     known = docs if where is None else docs.where(where)
     rows = (
         labelled_sample(known, known, "lang", per_language)
-        .mapInArrow(hashed, "doc_id long, ids array<int>, label string")
-        .orderBy(F.xxhash64("doc_id"))
+        .mapInArrow(hashed, "doc_id long, ids array<int>, counts array<int>, label string")
         .toArrow()
+        .sort_by("doc_id")
     )
     languages = sorted(set(rows["label"].to_pylist()))
     if not languages:
         return None
-    lists = rows["ids"].combine_chunks()
-    values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
     y = np.array([languages.index(x) for x in rows["label"].to_pylist()])
-    return fit_language_model([values[a:b] for a, b in zip(at, at[1:])], y, languages)
+    at = rows["ids"].combine_chunks().offsets.to_numpy()
+    ids, counts = (rows[c].combine_chunks().values.to_numpy() for c in ("ids", "counts"))
+    return fit_language_model([(ids[a:b], counts[a:b]) for a, b in zip(at, at[1:])], y, languages)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

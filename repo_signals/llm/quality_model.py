@@ -181,8 +181,8 @@ def fit_quality_model(
     rows = (
         labelled_sample(docs, known, label, per_class)
         .mapInArrow(hashed, "doc_id long, ids array<int>, y int, w double")
-        .orderBy(F.xxhash64("doc_id"))
         .toArrow()
+        .sort_by("doc_id")
     )
     y = rows["y"].to_numpy()
     if len(set(y.tolist())) < 2 or len(y) < 10:

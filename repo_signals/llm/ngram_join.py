@@ -350,42 +350,64 @@ def with_component(rows: DataFrame, components: DataFrame | None) -> DataFrame:
 
 
 def mixed_ngrams(members: DataFrame) -> DataFrame:
-    """``ngram, main, hub`` of n-grams whose nodes lie in several components: the largest component and its smallest node."""
-    parts = members.groupBy("ngram", "component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"))
+    """``ngram, main, hub, hub_n, hub_at`` of n-grams whose nodes lie in several components: the largest and its smallest node."""
+    low = F.min(F.struct("node", "n", "at")).alias("low")
+    parts = members.groupBy("ngram", "component").agg(F.count(F.lit(1)).alias("size"), low)
     largest = F.max(F.struct("size", "component", "low")).alias("main")
     several = parts.groupBy("ngram").agg(largest, F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return several.select("ngram", F.col("main.component").alias("main"), F.col("main.low").alias("hub"))
+    hub = [F.col(f"main.low.{c}").alias(f"hub{'_' + c if c != 'node' else ''}") for c in ("node", "n", "at")]
+    return several.select("ngram", F.col("main.component").alias("main"), *hub)
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """One pair per node: the hub that it meets in the most n-grams where its own component is not the main one."""
-    met = members.join(mixed_ngrams(members), "ngram").where(F.col("component") != F.col("main"))
-    counts = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best"))
-    return best.select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+def reachable(percent: int, n: str, at: str, other_n: str, other_at: str) -> Column:
+    """Whether two documents that share an n-gram at these places of theirs can be similar enough.
 
+    Were it the first that they share, they could still share what follows it in
+    both. Of all n-grams of a similar pair the first shared one passes.
+    """
+    n, at, other_n, other_at = (F.col(c) for c in (n, at, other_n, other_at))
+    sizes = 100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)
+    return sizes & (F.lit(100 + percent) * F.least(n - at, other_n - other_at) >= F.lit(percent) * (n + other_n))
+
+
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
+
+def hub_pairs(members: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
+    """One pair per node: the hub that it meets in the most n-grams where its own component is not the main one.
+
+    Pairs that were tried before are not tried again.
+    """
+    met = members.join(mixed_ngrams(members), "ngram").where(
+        (F.col("component") != F.col("main")) & reachable(percent, "n", "at", "hub_n", "hub_at")
+    )
+    counts = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    counts = counts.select("node", "hub", "shared", *ordered("node", "hub"))
+    if tried is not None:
+        counts = counts.join(tried, ["a", "b"], "left_anti")
+    best = counts.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
+def open_pairs(members: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
     """All pairs of nodes from different components that share an n-gram and can still reach the similarity.
 
     Of an n-gram only the nodes outside its main component are paired with all
     others, so a group of copies that is one component already costs nothing.
     """
-    mixed = mixed_ngrams(members)
-    here = members.join(mixed, "ngram").drop("hub")
+    here = members.join(mixed_ngrams(members).select("ngram", "main"), "ngram")
     left = here.where(F.col("component") != F.col("main")).select(
-        "ngram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("component").alias("a_part")
+        "ngram", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_part")
     )
     right = here.select(
-        "ngram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("component").alias("b_part")
+        "ngram", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("component").alias("y_part")
     )
-    needed = F.lit(percent) * (F.col("a_n") + F.col("b_n"))
-    # The n-grams from this one on are all that the two may still share.
-    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    possible = F.lit(100 + percent) * rest >= needed
-    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & possible
-    met = left.join(right, "ngram").where((F.col("a_part") != F.col("b_part")) & near)
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    met = left.join(right, "ngram").where(
+        (F.col("x_part") != F.col("y_part")) & reachable(percent, "x_n", "x_at", "y_n", "y_at")
+    )
+    pairs = met.select(*ordered("x", "y")).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -416,11 +438,12 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     bits = min(31, max(4, ceil(log2(max(total, 1) / FRAGMENT_NGRAMS + 1))))
     levels = level_table(materialize(frequent_ngrams(docs, width, bits), "frequent"))
     prefixes = materialize(postings(docs, width, percent, bits, levels), "prefixes")
-    links, components = None, None
-    for candidates in (hub_pairs, hub_pairs, lambda members: open_pairs(members, percent)):
-        pairs = materialize(candidates(with_component(prefixes, components)), "candidates")
+    links, components, tried = None, None, None
+    for candidates in (hub_pairs, hub_pairs, open_pairs):
+        pairs = materialize(candidates(with_component(prefixes, components), percent, tried), "candidates")
         if pairs.isEmpty():
-            break
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
         found = linked(docs, pairs, classes, width, percent)
         links = found if links is None else links.union(found)
         components = materialize(connected_components(links), "components")

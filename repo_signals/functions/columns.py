@@ -51,12 +51,21 @@ def present(value: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def missing(df: DataFrame, name: str) -> Column:
+    """Whether a value is NULL or, in a column of floating point, NaN."""
+    c = as_column(name)
+    return c.isNull() | F.isnan(c) if df.schema[name].dataType.typeName() in ("double", "float") else c.isNull()
+
+
 def at_least(value: str | Column, floor: float) -> Column:
-    return F.greatest(as_column(value), F.lit(floor))
+    """The value, but no less than the floor; NULL stays NULL, which ``greatest`` alone would skip."""
+    c = as_column(value)
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(floor)))
 
 
 def clamp(value: str | Column, low: float, high: float) -> Column:
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), as_column(value)))
+    c = as_column(value)
+    return F.when(c.isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), c)))
 
 
 def flag(condition: Column) -> Column:
@@ -131,9 +140,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, for comparison across engines.
 
     Engines round decimal ties differently, so this is plain arithmetic that gives
-    the same bits everywhere.
+    the same bits everywhere. ``floor`` gives a long, so numbers whose digits no
+    longer fit a double's 53 bits, NaN and the infinities pass as they are.
     """
-    scale = F.lit(10.0**digits)
+    scale = 10.0**digits
+    limit = F.lit(2.0**53 / scale)
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    exact = {c: F.floor(as_column(c) * scale + F.lit(0.5)).cast("double") / scale for c in doubles}
-    return df.withColumns(exact) if exact else df
+
+    def exact(c: Column) -> Column:
+        cut = F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+        return F.when(F.abs(c) < limit, cut).otherwise(c)
+
+    return df.withColumns({c: exact(as_column(c)) for c in doubles}) if doubles else df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repo_signals import schema
-from repo_signals.functions.columns import as_column, flag, ladder_above, present, scalar, utc, utc_lenient
+from repo_signals.functions.columns import as_column, flag, ladder_above, missing, present, scalar, utc, utc_lenient
 from repo_signals.operators.ordering import hash_sample
 from repo_signals.operators.quantiles import count_values, quantiles_of
 
@@ -45,17 +45,17 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Columns with missing values, their count and percentage, from one pass."""
+    """Columns with NULL or NaN, their count and percentage, most first, from one pass."""
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(as_column(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(missing(df, c)).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
     )
     rows = [
         (c, {"null_count": F.col(f"_null_{i}"), "_rows": F.col("_rows")}) for i, c in enumerate(df.columns)
     ]
     percent = F.round(F.lit(100.0) * F.col("null_count") / F.col("_rows"), 2)
     found = stacked(counts, rows, "column").where(F.col("null_count") > 0)
-    return found.select("column", "null_count", percent.alias("null_pct"))
+    return found.select("column", "null_count", percent.alias("null_pct")).orderBy(F.desc("null_count"), "column")
 
 
 def category_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5) -> DataFrame:
@@ -119,39 +119,80 @@ def target_summary(df: DataFrame, column: str = schema.TARGET) -> DataFrame:
 # --- correlations ------------------------------------------------------------------------------
 
 
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of column pairs, over the rows where both are known.
-
-    Rows ``(*by, _pair, correlation, n_equal)``, ``_pair`` being the position in
-    ``pairs``; a pair whose first column has no value at all is left out. Every row
-    of the table becomes one short row per pair and is summed in place, so the
-    query stays the same size for any number of columns and a single set of
-    moments per pair is shuffled. A constant column gives NULL: the built-in
-    ``corr`` would divide by zero under ANSI.
+def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """Count, means and centred sums of products of column pairs, over the rows where both are known.
+
+    Rows ``(*by, _pair, n, mean_x, mean_y, xx, yy, xy, n_equal, known)``, ``_pair``
+    being the position in ``pairs`` and ``known`` the rows where the first column is. All pairs are summed side by side while a row is at
+    hand: nothing is repeated per pair, and one row per group and task is shuffled.
     """
-    cells = [
-        F.struct(F.lit(i).alias("_pair"), present(a).alias("_x"), present(b).alias("_y"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    x, y = F.col("_x"), F.col("_y")
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(y)
+    sums, fields = [], []
+    for i, (a, b) in enumerate(pairs):
+        first, second = present(a), present(b)
+        both = first.isNotNull() & second.isNotNull()
+        x, y = F.when(both, first), F.when(both, second)
+        own = {
+            "n": F.count(x),
+            "mean_x": F.avg(x),
+            "mean_y": F.avg(y),
+            "xx": F.var_pop(x),
+            "yy": F.var_pop(y),
+            "xy": F.covar_pop(x, y),
+            "n_equal": F.count_if(x == y),
+            "known": F.count(first),
+        }
+        sums += [c.alias(f"_{k}_{i}") for k, c in own.items()]
+        times = F.col(f"_n_{i}")
+        listed = {k: F.col(f"_{k}_{i}") * times if k in ("xx", "yy", "xy") else F.col(f"_{k}_{i}") for k in own}
+        fields.append(F.struct(F.lit(i).alias("_pair"), *[c.alias(k) for k, c in listed.items()]))
+    return df.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*fields)))
+
+
+def merged_moments(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The moments of several parts taken together, for each pair and ``by``."""
+    keys = [*by, "_pair"]
+
+    def mean(name: str) -> Column:
+        return F.try_divide(F.sum(F.col(name) * F.col("n")), F.sum("n"))
+
+    middle = parts.groupBy(*keys).agg(mean("mean_x").alias("_mx"), mean("mean_y").alias("_my"))
+    dx, dy, n = F.col("mean_x") - F.col("_mx"), F.col("mean_y") - F.col("_my"), F.col("n")
     return (
-        df.select(*by, F.inline(F.array(*cells)))
-        .where(x.isNotNull())
-        .groupBy(*by, "_pair")
-        .agg(F.try_divide(F.covar_pop(x, y), spread).alias("correlation"), F.count_if(x == y).alias("n_equal"))
+        parts.join(middle, keys)
+        .groupBy(*keys)
+        .agg(
+            F.sum(F.col("xx") + n * dx * dx).alias("xx"),
+            F.sum(F.col("yy") + n * dy * dy).alias("yy"),
+            F.sum(F.col("xy") + n * dx * dy).alias("xy"),
+            F.sum("n_equal").alias("n_equal"),
+        )
     )
 
 
+def moment_correlation() -> Column:
+    """Pearson correlation from centred sums; NULL for a constant column, where ``corr`` would divide by zero under ANSI."""
+    return F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
+
+
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, _pair, correlation, n_equal, known)``: one row per pair, also where nothing is known of it."""
+    return pair_moments(df, pairs, by).select(*by, "_pair", moment_correlation().alias("correlation"), "n_equal", "known")
+
+
 def pick(names: Sequence[str]) -> Column:
     """The name at the position of the pair."""
     return F.get(F.array(*[F.lit(n) for n in names]), F.col("_pair"))
 
 
-def correlations(df: DataFrame, target: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(feature, correlation, n_equal)`` of every column against the target, in one pass."""
+def correlations(
+    df: DataFrame, target: str, columns: Sequence[str], by: Sequence[str] = (), unknown: bool = False
+) -> DataFrame:
+    """``(feature, correlation, n_equal)`` of every column against the target, in one pass.
+
+    Columns without any value are left out, or kept with a NULL if ``unknown``.
+    """
     found = pair_correlations(df, [(c, target) for c in columns], by)
-    return found.select(*by, pick(columns).alias("feature"), "correlation", "n_equal")
+    return (found if unknown else found.where("known > 0")).select(*by, pick(columns).alias("feature"), "correlation", "n_equal")
 
 
 def leakage_correlations(df: DataFrame, target: str = schema.TARGET, columns: Sequence[str] | None = None) -> DataFrame:
@@ -170,7 +211,7 @@ def leakage_correlations(df: DataFrame, target: str = schema.TARGET, columns: Se
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The lower triangle, one row per pair, from one pass over the table."""
     pairs = [(b, a) for a, b in combinations(columns or numeric_columns(df), 2)]
-    return pair_correlations(df, pairs).select(
+    return pair_correlations(df, pairs).where("known > 0").select(
         pick([a for a, _ in pairs]).alias("feature_a"), pick([b for _, b in pairs]).alias("feature_b"), "correlation"
     )
 
@@ -257,7 +298,7 @@ def safe_features(
     names = [c for c in df.columns if name_verdict(c, parts) != "skipped"]
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(as_column(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)],
+        *[F.count_if(missing(df, c)).alias(f"_null_{i}") for i, c in enumerate(names)],
     )
     items = [
         (c, {"verdict": F.lit(name_verdict(c, parts)), "_nulls": F.col(f"_null_{i}"), "_rows": F.col("_rows")})
@@ -284,7 +325,7 @@ def leak_guard(df: DataFrame, features: Sequence[str], target: str = schema.TARG
     judged = [c for c in numeric_columns(df) if c in have and c != target]
     named = F.array(*[F.lit(f) for f in schema.LEAKING_FEATURES])
     verdicts = (
-        correlations(df, target, judged)
+        correlations(df, target, judged, unknown=True)
         .withColumn("abs_correlation", F.abs("correlation"))
         .withColumn("named", flag(F.array_contains(named, F.col("feature"))))
         .withColumn("critical", flag(F.col("abs_correlation") > schema.RISK_BANDS[0][0]))
@@ -376,8 +417,8 @@ def scatter_sample(
 ) -> DataFrame:
     """A sample of points and the end of the identity line through them."""
     sample = hash_sample(df.select(key, x, y), key, rows=rows, seed=seed)
-    whole_sample = W.partitionBy()
-    return sample.withColumn("line_end", F.greatest(F.max(x).over(whole_sample), F.max(y).over(whole_sample)))
+    ends = scalar(sample.agg(F.greatest(F.max(x), F.max(y)).alias("end")))
+    return sample.withColumn("line_end", ends["end"])
 
 
 # --- the whole audit ---------------------------------------------------------------------------
@@ -392,7 +433,7 @@ def audit_report(df: DataFrame, target: str = schema.TARGET, mirror: str = "watc
     latest = parsed_date(df, "ingested_at") if "ingested_at" in dates else F.lit(None).cast("timestamp")
     row = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(as_column(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(missing(df, c)).alias(f"_null_{i}") for i, c in enumerate(df.columns)],
         F.max(latest).alias("_latest"),
     )
     mirrors = (F.col("feature") == mirror) & (F.col("correlation") > 0.99)

@@ -79,12 +79,13 @@ def velocity_clean(df: DataFrame) -> DataFrame:
 
 
 def embedding_text(
-    description: str | Column, name: str | Column, limit: int | None = schema.TEXT_LIMIT
+    description: str | Column, name: str | Column, limit: int | None = None
 ) -> Column:
-    """The text to embed: the description, else the name, else a constant; stripped.
+    """The whole text to embed: the description, else the name, else a constant; stripped.
 
-    A text longer than ``limit`` is cut and marked with dots, as the encoder's
-    input contract wants; ``None`` keeps whole texts.
+    With a ``limit``, such as ``schema.TEXT_LIMIT``, a longer text is cut and
+    marked with dots. Encoders with a bounded window get whole texts in pieces,
+    see ``embed.encoded_embedding``.
     """
     body = strip(description)
     chosen = F.coalesce(F.when(F.length(body) > 0, body), strip(name), F.lit(schema.NO_TEXT))

@@ -8,20 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repo_signals import schema
-from repo_signals.functions.columns import ladder_above, ladder_below
+from repo_signals.functions.columns import at_least, ladder_above, ladder_below
 from repo_signals.operators.ordering import top_n
 
 
 def squared_log_error(actual: str | Column, predicted: str | Column) -> Column:
-    """Squared error of ``log1p``; a negative prediction counts as zero."""
+    """Squared error of ``log1p``; a negative prediction counts as zero, a missing one has no error."""
     a = F.col(actual) if isinstance(actual, str) else actual
     p = F.col(predicted) if isinstance(predicted, str) else predicted
-    return F.pow(F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(a), F.lit(2.0))
+    return F.pow(F.log1p(at_least(p, 0.0)) - F.log1p(a), F.lit(2.0))
 
 
 def rmsle(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """Error over the ``n`` rows that have a prediction and a target; ``n_missing`` rows lack one."""
+    error = squared_log_error(actual, predicted)
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(squared_log_error(actual, predicted))).alias("rmsle")
+        F.count(error).alias("n"),
+        F.count_if(error.isNull()).alias("n_missing"),
+        F.sqrt(F.avg(error)).alias("rmsle"),
     )
 
 
@@ -120,8 +124,8 @@ def family_rules(feature: str | Column, clean: bool = True) -> Mapping[str, Colu
     }
 
 
-def family_share(importance: DataFrame, rules: Mapping[str, Column], top: int | None = 30) -> DataFrame:
-    """Importance per family over the ``top`` features, with its share of all families and its member count."""
+def family_share(importance: DataFrame, rules: Mapping[str, Column], top: int | None = None) -> DataFrame:
+    """Importance per family, over the ``top`` features if given, with its share of all families and its member count."""
     shown = importance if top is None else top_n(importance, [F.desc("importance"), F.asc("feature")], top)
     hit = [(name, F.coalesce(rule, F.lit(False))) for name, rule in rules.items()]
     weight = F.col("importance")

@@ -162,15 +162,15 @@ def owner_stats_or_default(
 ) -> DataFrame:
     """Known owner figures where there are any, else the default profile as a whole.
 
-    ``stats`` has one row per owner; its ``n_rows``, if any, tells the heavy owners.
+    ``stats`` has one row per owner. The rows to be scored are counted per owner,
+    as one that is heavy here may be light, or unknown, in the statistics.
     """
-    weight = "n_rows" if "n_rows" in stats.columns else None
     figures = [F.col(c).cast("double").alias(c) for c in schema.OWNER_DEFAULTS]
-    wanted = stats.select(owner, *figures, F.lit(1).alias("_known"), *([weight] if weight else []))
-    joined = left_join_spread(df, wanted, owner, weight, row_id)
+    wanted = stats.select(owner, *figures, F.lit(1).alias("_known"))
+    joined = left_join_spread(df, wanted, owner, None, row_id)
     known = F.col("_known").isNotNull()
     return with_owner_logs(
         joined.withColumns(
             {c: F.when(known, F.col(c)).otherwise(F.lit(v)) for c, v in schema.OWNER_DEFAULTS.items()}
-        ).drop("_known", "n_rows")
+        ).drop("_known")
     )

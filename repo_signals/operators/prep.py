@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repo_signals import schema
-from repo_signals.functions.columns import present, utc, whole_days
+from repo_signals.functions.columns import missing, present, utc, whole_days
 from repo_signals.operators.quantiles import medians
 
 
@@ -70,11 +70,11 @@ def select_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (
 
 
 def null_fractions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    return df.agg(*[F.avg(missing(df, c).cast("double")).alias(c) for c in columns])
 
 
 def drop_sparse_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: float = 0.5) -> DataFrame:
-    """Drop columns of which more than ``limit`` is NULL. One pass, one row to the driver."""
+    """Drop columns of which more than ``limit`` is NULL or NaN. One pass, one row to the driver."""
     judged = list(columns or df.columns)
     shares = null_fractions(df, judged).first()
     return df.drop(*[c for c in judged if shares[c] is not None and shares[c] > limit])

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repo_signals.functions.columns import present
 from repo_signals.session import materialize
 
-# Log-spaced buckets over an interval: at most ln(1e9 + 1) * 256 + 1, about 5,306.
-RANGE_UNITS = 1e9
-BUCKETS_PER_E = 256
-
-# Up to this many distinct values one task may hold them all.
-FEW_VALUES = 1_000_000
-
 
 def count_values(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """How often each value of each column occurs: a written table ``(column, value, _w)``, from one pass.
@@ -36,19 +28,40 @@ def count_values(df: DataFrame, columns: Sequence[str], weight: str | None = Non
     return materialize(counted, "counts")
 
 
-def quantiles_of(counted: DataFrame, probs: Sequence[float], few: int | None = None) -> DataFrame:
-    """Rows ``(column, prob, value)`` from value counts.
+def quantiles_of(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Rows ``(column, prob, value)`` from value counts, with linear interpolation between neighbours.
 
-    The built-in exact percentile keeps all distinct values of a column in the
-    memory of one task, so it is used for at most ``few`` of them. Beyond that,
-    see ``ranked_quantiles``.
+    The distinct values are range-partitioned; each partition's weights are summed,
+    running sums over partitions give every value its place, and only the values
+    that hold a wanted rank remain. No task needs more than one partition, and an
+    infinite value is a value like others.
     """
-    if counted.count() > (FEW_VALUES if few is None else few):
-        return ranked_quantiles(counted, probs)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    found = counted.groupBy("column").agg(F.percentile("value", wanted, F.col("_w")).alias("values"))
-    pairs = F.arrays_zip(wanted.alias("prob"), F.col("values").alias("value"))
-    return found.select("column", F.inline(pairs)).toDF("column", "prob", "value")
+    laid = counted.repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id())
+    laid = materialize(laid, "ranked")
+    parts = laid.groupBy("column", "_part").agg(F.sum("_w").alias("_in"))
+    before = W.partitionBy("column").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row per column and partition.
+    starts = parts.select(
+        "column",
+        "_part",
+        F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"),
+        F.sum("_in").over(W.partitionBy("column")).alias("_total"),
+    )
+    inside = F.sum("_w").over(W.partitionBy("column", "_part").orderBy("value"))
+    placed = laid.withColumn("_inside", inside).join(starts, ["column", "_part"])
+    upto = F.col("_start") + F.col("_inside")
+
+    def held(rank: Column) -> Column:
+        return F.max(F.when((rank < upto) & (rank >= upto - F.col("_w")), F.col("value")))
+
+    ends, items = [], []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        ends += [held(F.floor(at)).alias(f"_a{i}"), held(F.ceil(at)).alias(f"_b{i}"), F.max(at - F.floor(at)).alias(f"_t{i}")]
+        low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
+        value = F.when(low == high, low).otherwise(low + (high - low) * F.col(f"_t{i}"))
+        items.append(F.struct(F.lit(float(p)).alias("prob"), value.alias("value")))
+    return placed.groupBy("column").agg(*ends).select("column", F.inline(F.array(*items)))
 
 
 def exact_quantiles(
@@ -56,54 +69,9 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     weight: str | None = None,
-    few: int | None = None,
 ) -> DataFrame:
     """Rows ``(column, prob, value)``, from one pass over ``df``."""
-    return quantiles_of(count_values(df, columns, weight), probs, few)
-
-
-def ranked_quantiles(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles of any number of distinct ``(column, value)`` with their counts ``_w``.
-
-    Each wanted rank is closed in on: the values of its interval are counted into
-    log-spaced buckets, and the bucket that holds the rank becomes the next
-    interval, until one value is left. Minimum and maximum never share a bucket,
-    so every round narrows; a few rounds are enough. Nothing is sorted and no
-    group is gathered: a round shuffles one sum per bucket and returns one row
-    per rank, with two ranks per column and probability.
-    """
-    spark = counted.sparkSession
-    value, low, high = F.col("value"), F.col("_lo"), F.col("_hi")
-    spans = counted.groupBy("column").agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_w").alias("_rows")
-    )
-    open_ranks, wanted = {}, []
-    for r in spans.collect():
-        for p in probs:
-            at = p * (r["_rows"] - 1)
-            wanted.append((r["column"], p, math.floor(at), math.ceil(at), at - math.floor(at)))
-            for rank in (math.floor(at), math.ceil(at)):
-                open_ranks[r["column"], rank] = (r["_lo"], r["_hi"], 0)
-    found = {key: lo for key, (lo, hi, _) in open_ranks.items() if lo == hi}
-    while len(found) < len(open_ranks):
-        state = [(*key, *at) for key, at in open_ranks.items() if key not in found]
-        listed = spark.createDataFrame(state, "column string, _rank bigint, _lo double, _hi double, _before bigint")
-        bucket = F.floor(F.log1p((value - low) / (high - low) * RANGE_UNITS) * BUCKETS_PER_E).cast("int")
-        inside = counted.join(F.broadcast(listed), "column").where(value.between(low, high))
-        sums = inside.groupBy("column", "_rank", "_before", bucket.alias("_bucket")).agg(
-            F.sum("_w").alias("_in"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
-        )
-        running = F.sum("_in").over(W.partitionBy("column", "_rank").orderBy("_bucket"))
-        hit = sums.withColumn("_upto", F.col("_before") + running).where(
-            (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_in") <= F.col("_rank"))
-        )
-        for r in hit.collect():
-            key = (r["column"], r["_rank"])
-            open_ranks[key] = (r["_lo"], r["_hi"], r["_upto"] - r["_in"])
-            if r["_lo"] == r["_hi"]:
-                found[key] = r["_lo"]
-    rows = [(c, p, found[c, a] + (found[c, b] - found[c, a]) * part) for c, p, a, b, part in wanted]
-    return spark.createDataFrame(rows, "column string, prob double, value double")
+    return quantiles_of(count_values(df, columns, weight), probs)
 
 
 def medians(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> dict[str, float]:

@@ -40,20 +40,13 @@ def left_join_spread(
         sizes = materialize(per_key, "sizes")
     else:
         sizes = (lookup if counts is None else counts).select(key, F.col(weight).alias("_n"))
-    most = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
-    piece_rows = max((most.total or 0) / slots, light_rows)
-    found = []
-    if (most.largest or 0) > piece_rows:
-        heavy = sizes.where(F.col("_n") > piece_rows)
-        heavy = heavy.select(key, F.ceil(F.col("_n") / F.lit(float(piece_rows))).cast("int").alias("_pieces"))
-        found = heavy.collect()
+    total = sizes.agg(F.sum("_n").alias("total")).first()["total"] or 0
+    piece_rows = max(total / slots, light_rows)
+    # An empty list, where no key is heavy, needs no path of its own.
+    heavy = sizes.where(F.col("_n") > piece_rows)
+    heavy = heavy.select(key, F.ceil(F.col("_n") / F.lit(float(piece_rows))).cast("int").alias("_pieces"))
     nowhere = F.pmod(F.xxhash64(spread_on), F.lit(slots)).cast("int")
-    if not found:
-        left = rows.withColumn("_piece", F.when(F.col(key).isNull(), nowhere).otherwise(F.lit(0)))
-        # Always 0, but not a literal: a literal would be folded out of the join key, and with it the spreading.
-        zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
-        return left.join(lookup.withColumn("_piece", zero), [key, "_piece"], "left").drop("_piece")
-    listed = F.broadcast(rows.sparkSession.createDataFrame(found, heavy.schema))
+    listed = F.broadcast(rows.sparkSession.createDataFrame(heavy.collect(), heavy.schema))
     pieces = F.coalesce("_pieces", F.lit(1))
     own_piece = F.pmod(F.xxhash64(spread_on), pieces).cast("int")
     left = (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repo_signals import schema
-from repo_signals.functions.columns import flag, rounded, scalar, utc, utc_lenient, whole_days
+from repo_signals.functions.columns import flag, lookup, rounded, scalar, utc, utc_lenient, whole_days
 from repo_signals.operators import (
     audit,
     embed,
@@ -39,7 +39,7 @@ PART_TOPICS = {
     "topic_pattern": ["s.all", "wid.et"],
 }
 MODEL_COLUMNS = ["age_days", "forks_count", "open_issues_count", "size", "language"]
-TREES, DEPTH, SMALL_DIM = 8, 4, 32
+LANGUAGE_OF = {"AUTOMOBILE": "Python", "BUILDING": "Go", "FURNITURE": "Kotlin"}
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 QUERIES: dict[str, Query] = {}
@@ -111,7 +111,11 @@ def scan_parquet(spark, sf):
 @query
 def scan_first_n_files(spark, sf):
     path = scratch_path(spark, "orders")
-    writers.write_parquet_chunks(table(spark, sf, "orders").repartitionByRange(4, "o_orderkey"), path)
+    orders = table(spark, sf, "orders")
+    last = scalar(orders.agg(F.max("o_orderkey").alias("k")))["k"]
+    quarter = F.floor(4 * F.col("o_orderkey") / (last + 1)).cast("int")
+    # One file for each quarter of the keys, in the order of their names.
+    orders.withColumn("quarter", quarter).repartition("quarter").write.partitionBy("quarter").parquet(path)
     part = readers.read_first_files(spark, path, 2)
     return part.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_key"))
 
@@ -345,9 +349,9 @@ def language_code_fixed(spark, sf):
 
 @query
 def owner_stats_fallback(spark, sf):
-    r = repos(spark, sf)
-    known = owners.owner_reputation(r).where(F.col("owner_repo_count") >= 10)
-    out = owners.owner_stats_or_default(r.select("id", "owner_login"), known)
+    """Figures of the time before the cutoff for the rows after it; owners who are new have none."""
+    train, test = prep.temporal_split(repos(spark, sf), CUTOFF)
+    out = owners.owner_stats_or_default(test.select("id", "owner_login"), owners.owner_reputation(train))
     return out.select("id", *schema.OWNER_FEATURES)
 
 
@@ -367,8 +371,12 @@ def owner_stats_serving(spark, sf):
             "owner_created_at",
         )
     )
-    listed = repos(spark, sf).where(F.col("size") > 400000)
-    return owners.serving_owner_stats(profiles, listed, F.lit("2001-12-31 00:00:00").cast("timestamp"))
+    # Suppliers have a profile and no repositories.
+    others = table(spark, sf, "supplier").select(
+        F.col("s_name").alias("owner_login"), F.lit("User").alias("owner_type"), F.col("s_nationkey").alias("public_repos")
+    )
+    everyone = profiles.unionByName(others, allowMissingColumns=True)
+    return owners.serving_owner_stats(everyone, repos(spark, sf), F.lit("2001-12-31 00:00:00").cast("timestamp"))
 
 
 # --- features ----------------------------------------------------------------------------------
@@ -380,6 +388,14 @@ def velocity(spark, sf):
     return out.select("id", "age_days_safe", *schema.VELOCITY_FEATURES)
 
 
+@query
+def velocity_missing_age(spark, sf):
+    """Rates of repositories some of which have no known age."""
+    rows = prep.preprocess(repos(spark, sf))
+    gappy = rows.withColumn("age_days", F.when(F.col("open_issues_count") > 0, F.col("age_days")))
+    return features.velocity(gappy).select("id", "age_days_safe", *schema.VELOCITY_FEATURES)
+
+
 @query
 def velocity_clean(spark, sf):
     out = features.velocity_clean(prep.preprocess(repos(spark, sf)))
@@ -414,7 +430,7 @@ def embedding_text(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id",
         features.embedding_text("text", "source").alias("embedding_text"),
-        F.length(features.embedding_text("text", "source", limit=None)).alias("whole_length"),
+        F.length(features.embedding_text("text", "source", limit=schema.TEXT_LIMIT)).alias("limited_length"),
     )
 
 
@@ -503,9 +519,10 @@ def label_encode(spark, sf):
 @query
 def label_encode_holdout(spark, sf):
     rows = prep.preprocess(repos(spark, sf))
-    train, _ = prep.temporal_split(rows, "1995-01-03")
-    out = encode.apply_codes(rows, encode.fit_codes(train, "name"), "name", "name_code", "id", same_rows=False)
-    return out.select("id", "name", "name_code")
+    train, _ = prep.temporal_split(rows, CUTOFF)
+    codes = encode.fit_codes(train, "full_name")
+    out = encode.apply_codes(rows, codes, "full_name", "name_code", "id", same_rows=False)
+    return out.select("id", "full_name", "name_code")
 
 
 # --- audit -------------------------------------------------------------------------------------
@@ -521,6 +538,15 @@ def null_profile(spark, sf):
     return audit.null_profile(with_reputation(repos(spark, sf), "owner_std_stars"))
 
 
+@query
+def null_profile_nan(spark, sf):
+    """Missing values that are NaN."""
+    rate = F.when(F.col("open_issues_count") > 0, F.col("forks_count") / F.col("open_issues_count"))
+    nan = F.coalesce(rate, F.lit(float("nan")))
+    r = repos(spark, sf).select("id", "language", "forks_count", nan.alias("rate"), rate.alias("rate_null"))
+    return audit.null_profile(r)
+
+
 @query
 def category_profile(spark, sf):
     return audit.category_profile(repos(spark, sf))
@@ -692,59 +718,129 @@ def family_share_all(spark, sf):
 # --- model -------------------------------------------------------------------------------------
 
 
+def checked(scores: DataFrame, preset: str, baseline: DataFrame) -> DataFrame:
+    """Fold scores as facts that hold for any fit: its size, its rounds, and that it does not lose to the train mean."""
+    near = F.col("rmsle") <= F.col("mean_rmsle") * F.lit(1.05)
+    rounds = F.col("best_iteration").between(1, model.PRESETS[preset].trees)
+    means = baseline.select("fold", F.col("rmsle").alias("mean_rmsle"))
+    return scores.join(F.broadcast(means), "fold").select(
+        "fold", "n_test", flag(rounds).alias("rounds_ok"), flag(near).alias("near_or_below_mean")
+    )
+
+
+def mean_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = blocked(spark, sf)
+    predicted = metrics.mean_predictions(rows, folds.fold_stats(rows))
+    return metrics.rmsle(predicted, "stargazers_count", "predicted", ["fold"])
+
+
+def checked_importance(weights: DataFrame) -> DataFrame:
+    """Mean importance as facts: which features there are, none negative, some used, shares that sum to the whole."""
+    shown = metrics.importance_top(metrics.importance_mean(weights), 1000)
+    row = shown.agg(
+        F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"),
+        flag(F.min("importance") >= 0).alias("none_negative"),
+        flag(F.abs(F.sum("pct") - 100) < 1).alias("shares_sum_up"),
+    )
+    return row
+
+
 @query
 def gbt_cv(spark, sf):
     rows = folds.with_blocks(coded_repos(spark, sf))
-    scores, _ = model.cross_validate(rows, MODEL_COLUMNS, trees=TREES, depth=DEPTH)
-    return scores
+    scores, _ = model.cross_validate(rows, MODEL_COLUMNS)
+    return checked(scores, "metadata", mean_scores(spark, sf))
+
+
+@query
+def gbt_cv_patience(spark, sf):
+    """Boosting that goes on for 50 rounds without a gain before it stops."""
+    rows = folds.with_blocks(coded_repos(spark, sf))
+    scores, _ = model.cross_validate(rows, MODEL_COLUMNS, patience=50)
+    return checked(scores, "metadata", mean_scores(spark, sf))
 
 
 @query
 def gbt_cv_embeddings(spark, sf):
-    rows = embed.hashed_embedding(folds.with_blocks(coded_repos(spark, sf)), "full_name", dim=SMALL_DIM)
-    scores, _ = model.cross_validate(
-        rows, MODEL_COLUMNS, preset="embeddings", trees=TREES, depth=DEPTH, embedding="embedding", dim=SMALL_DIM
-    )
-    return scores
+    rows = embed.hashed_embedding(folds.with_blocks(coded_repos(spark, sf)), "full_name")
+    scores, _ = model.cross_validate(rows, MODEL_COLUMNS, preset="embeddings", embedding="embedding")
+    return checked(scores, "embeddings", mean_scores(spark, sf))
 
 
 @query
 def gbt_importance(spark, sf):
     rows = folds.with_blocks(coded_repos(spark, sf))
-    _, weights = model.cross_validate(rows, MODEL_COLUMNS, trees=TREES, depth=DEPTH)
-    return metrics.importance_top(metrics.importance_mean(weights), 30)
+    _, weights = model.cross_validate(rows, MODEL_COLUMNS)
+    return checked_importance(weights)
 
 
-def fitted(spark: SparkSession, sf: str, trees: int = TREES) -> tuple[DataFrame, model.Scorer]:
+def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, model.Scorer, int]:
+    """The last step of training: as many trees as the folds settled on, on all rows."""
     rows = prep.preprocess(repos(spark, sf))
     codes = encode.fit_codes(rows, "language")
-    trained = model.refit(model.coded_language(rows, codes), MODEL_COLUMNS, "metadata", trees, DEPTH)
-    return rows, model.Scorer(trained, codes, MODEL_COLUMNS)
+    coded = model.coded_language(rows, codes)
+    scores, _ = model.cross_validate(folds.with_blocks(coded), MODEL_COLUMNS)
+    trees = model.settled_trees(scores)
+    return rows, model.Scorer(model.refit(coded, MODEL_COLUMNS, "metadata", trees), codes, MODEL_COLUMNS), trees
 
 
 @query
 def gbt_refit(spark, sf):
-    rows = folds.with_blocks(coded_repos(spark, sf))
-    scores, _ = model.cross_validate(rows, MODEL_COLUMNS, trees=TREES, depth=DEPTH)
-    _, scorer = fitted(spark, sf, model.settled_trees(scores))
-    trees = scorer.model.stages[-1]
-    counts = model.split_counts(spark, trees, MODEL_COLUMNS)
-    return counts.withColumn("trees", F.lit(trees.getNumTrees))
+    _, scorer, trees = fitted(spark, sf)
+    last = scorer.model.stages[-1]
+    counts = model.split_counts(spark, last, MODEL_COLUMNS)
+    return counts.select(
+        "feature",
+        flag(F.col("importance") >= 0).alias("counted"),
+        flag(F.col("gain").between(0, 1)).alias("gain_ok"),
+        flag(F.lit(last.getNumTrees == trees)).alias("trees_ok"),
+    )
+
+
+def trained(spark: SparkSession, sf: str, clean: bool, embedding: str | None) -> DataFrame:
+    """The whole course: text, cache, embedding, features, folds, final fit, scoring; as facts about its result."""
+    ready = repos(spark, sf).withColumn("description", F.col("full_name"))
+    if embedding:
+        ready = stages.processed(ready, scratch_path(spark, "embeddings"))
+    path = scratch_path(spark, "enriched")
+    writers.write_parquet(stages.enrich(ready), path)
+    enriched = readers.read_parquet_dir(spark, path)
+    run = stages.train(enriched, clean=clean, embedding=embedding)
+    csv = scratch_path(spark, "importance")
+    writers.write_csv(run.importance.select("feature", "importance", "pct"), csv)
+    weights = readers.read_csv(spark, csv, schema.IMPORTANCE)
+    scored = run.scorer.score(enriched)
+    facts = weights.agg(
+        F.count(F.lit(1)).alias("n_listed"), flag(F.min("importance") >= 0).alias("none_negative")
+    )
+    result = scalar(
+        scored.agg(
+            F.count("predicted_stars").alias("n_scored"),
+            F.max("input_features").alias("input_features"),
+            flag(F.min("predicted_stars") >= 0).alias("all_scored"),
+        )
+    )
+    return facts.select("*", *[result[c].alias(c) for c in ("n_scored", "input_features", "all_scored")])
 
 
 @query
 def final_training(spark, sf):
-    enriched = scratch_path(spark, "enriched")
-    writers.write_parquet_chunks(stages.enrich(repos(spark, sf)), enriched)
-    run = stages.train(readers.read_parquet_dir(spark, enriched), trees=TREES, depth=DEPTH)
-    path = scratch_path(spark, "importance")
-    writers.write_csv(run.importance.select("feature", "importance", "pct"), path)
-    return readers.read_csv(spark, path, schema.IMPORTANCE)
+    return trained(spark, sf, True, None)
+
+
+@query
+def pipeline_clean(spark, sf):
+    return trained(spark, sf, True, "embedding")
+
+
+@query
+def pipeline_leaked(spark, sf):
+    return trained(spark, sf, False, "embedding")
 
 
 @query
 def model_roundtrip(spark, sf):
-    rows, scorer = fitted(spark, sf)
+    rows, scorer, _ = fitted(spark, sf)
     path = scratch_path(spark, "scorer")
     scorer.save(path)
     again = model.Scorer.load(spark, path)
@@ -757,13 +853,27 @@ def model_roundtrip(spark, sf):
 
 @query
 def score_batch(spark, sf):
-    rows, scorer = fitted(spark, sf)
-    return scorer.score(rows)
+    rows, scorer, _ = fitted(spark, sf)
+    scored = scorer.score(rows)
+    return scored.select("id", "stargazers_count", "input_features", flag(F.col("predicted_stars") >= 0).alias("scored"))
 
 
 @query
 def holdout_eval(spark, sf):
-    return model.holdout_evaluation(repos(spark, sf), "2000-06-01", TREES, DEPTH)
+    cutoff = "2000-06-01"
+    out = model.holdout_evaluation(repos(spark, sf), cutoff)
+    rounds = F.col("best_iteration").between(1, model.PRESETS["metadata"].trees)
+    train, test = prep.temporal_split(prep.preprocess(repos(spark, sf)), cutoff)
+    middle = scalar(train.agg(F.expm1(F.avg("log_stars")).alias("m")))["m"]
+    mean = scalar(metrics.rmsle(test.withColumn("predicted", middle), "stargazers_count", "predicted"))["rmsle"]
+    gap = (F.col("rmsle") - schema.BASELINE_RMSLE) / schema.BASELINE_RMSLE * 100
+    return out.select(
+        "n_train",
+        "n_test",
+        flag(rounds).alias("rounds_ok"),
+        flag(F.col("rmsle") <= mean * F.lit(1.05)).alias("near_or_below_mean"),
+        flag(F.abs(F.col("gap_pct") - gap) < 1e-9).alias("gap_ok"),
+    )
 
 
 # --- scoring and explanation -------------------------------------------------------------------
@@ -792,9 +902,21 @@ def what_if_owner(spark, sf):
 
 @query
 def scoring_vector(spark, sf):
+    """The whole contract: rows after the cutoff, with owner figures of the time before it."""
     r = repos(spark, sf)
-    stats = owners.owner_reputation(r).where(F.col("owner_repo_count") >= 10)
-    return scoring.scoring_vector(r, stats, latest(r), names=non_embedding())
+    named = r.withColumn("language", lookup("language", LANGUAGE_OF, "Cobol"))
+    train, test = prep.temporal_split(named, CUTOFF)
+    return scoring.scoring_vector(test, owners.owner_reputation(train), latest(r))
+
+
+@query
+def scoring_vector_floored(spark, sf):
+    """The other serving entry: ages are no less than a day, 305 days where nothing is known."""
+    train, test = prep.temporal_split(repos(spark, sf), CUTOFF)
+    undated = test.withColumn("created_at", F.when(F.col("forks_count") > 1, F.col("created_at")))
+    first = scalar(train.agg(F.min("created_at").alias("t")))["t"]
+    out = scoring.scoring_vector(undated, None, first, ["age_days", "size"], default_age=305, age_floor=1)
+    return out.select("id", "age_days", "size")
 
 
 @query

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from repo_signals import schema
 from repo_signals.functions.columns import WHITESPACE
-from repo_signals.plans.catalogue import CUTOFF, PART_TOPICS, SEGMENT_CODES, strength_columns
+from repo_signals.plans.catalogue import CUTOFF, LANGUAGE_OF, MODEL_COLUMNS, PART_TOPICS, SEGMENT_CODES, strength_columns
 
 REPOS = """
 with l as (
@@ -30,8 +30,8 @@ DAY = 86400000000
 
 
 def r6(x: str) -> str:
-    """Six decimals, by the same arithmetic as the queries."""
-    return f"(floor(({x}) * 1e6 + 0.5e0) / 1e6)"
+    """Six decimals, by the same arithmetic as the queries; numbers too large for that pass as they are."""
+    return f"(list_transform([({x})], lambda v: case when abs(v) < 9007199254740992 / 1e6 then floor(v * 1e6 + 0.5e0) / 1e6 else v end)[1])"
 
 
 def days(a: str, b: str) -> str:
@@ -110,16 +110,19 @@ def topic_sum(topics: dict[str, list[str]]) -> str:
     return "cast(" + " + ".join(topics) + " as integer) as topic_count"
 
 
-VELOCITY = """
-greatest(age_days, 1) as age_days_safe,
-stargazers_count / greatest(age_days, 1) as stars_per_day,
-forks_count / greatest(age_days, 1) as forks_per_day,
-open_issues_count / greatest(age_days, 1) as issues_per_day,
+# An unknown age stays unknown, which greatest() would skip.
+SAFE_AGE = "(case when age_days < 1 then 1 else age_days end)"
+
+VELOCITY = f"""
+{SAFE_AGE} as age_days_safe,
+stargazers_count / {SAFE_AGE} as stars_per_day,
+forks_count / {SAFE_AGE} as forks_per_day,
+open_issues_count / {SAFE_AGE} as issues_per_day,
 forks_count / (stargazers_count + 1) as fork_to_star_ratio,
 open_issues_count / (stargazers_count + 1) as issue_to_star_ratio,
-ln(1 + stargazers_count / greatest(age_days, 1)) as log_stars_per_day,
-ln(1 + forks_count / greatest(age_days, 1)) as log_forks_per_day,
-ln(1 + open_issues_count / greatest(age_days, 1)) as log_issues_per_day
+ln(1 + stargazers_count / {SAFE_AGE}) as log_stars_per_day,
+ln(1 + forks_count / {SAFE_AGE}) as log_forks_per_day,
+ln(1 + open_issues_count / {SAFE_AGE}) as log_issues_per_day
 """
 
 ENRICHED = (
@@ -175,7 +178,7 @@ predicted as (
 """
 )
 
-SQUARED = "pow(ln(1 + greatest(predicted, 0)) - ln(1 + stargazers_count), 2)"
+SQUARED = "pow(ln(1 + case when predicted < 0 then 0 else predicted end) - ln(1 + stargazers_count), 2)"
 
 
 def strength(clean: bool) -> str:
@@ -215,7 +218,7 @@ def families(clean: bool) -> str:
     )
     return (
         strength(clean)
-        + f""", top as (select * from mean_imp order by importance desc, feature limit 30),
+        + f""", top as (select * from mean_imp),
 fam as ({parts})
 select family, {r6('importance')} as importance, round(100e0 * importance / sum(importance) over (), 1) as pct, n_features
 from fam"""
@@ -356,34 +359,38 @@ def known_or_default(columns: dict[str, float]) -> str:
     return ", ".join(f"case when k.owner_login is not null then {num('k.' + c)} else {v}e0 end as {c}" for c, v in columns.items())
 
 
+# Figures of the time before the cutoff, and the rows after it.
 FALLBACK = (
-    REPOS
-    + ", "
+    REPOS.replace("repos as (", "everything as (")
+    + f""", repos as (select * from everything where created_at < timestamp '{CUTOFF}'),
+later as (select * from everything where created_at >= timestamp '{CUTOFF}'), """
     + OWNERS
-    + f""", k as (select * from owners where owner_repo_count >= 10),
-fb as (select r.*, {known_or_default(schema.OWNER_DEFAULTS)} from repos r left join k on k.owner_login = r.owner_login),
+    + f""", k as (select * from owners),
+fb as (select r.*, {known_or_default(schema.OWNER_DEFAULTS)} from later r left join k on k.owner_login = r.owner_login),
 prof as (select *, ln(1 + owner_total_stars) as log_owner_total_stars, ln(1 + owner_repo_count) as log_owner_repo_count from fb)
 """
 )
 
 
 def scoring_sql() -> str:
-    names = [n for n in schema.feature_names(clean=True, embedding_dim=0)]
+    names = schema.feature_names(clean=True)
+    zero = set(schema.embedding_columns())
+    codes = " ".join(f"when '{k}' then {schema.LANGUAGE_CODES[v]}" for k, v in LANGUAGE_OF.items())
     text = "lower(name || ' ' || full_name)"
     return (
         FALLBACK
-        + f""", aged as (select *, {days('(select max(ingested_at) from repos)', 'created_at')} as age_days from prof),
-t as (select * exclude (language), 99 as language, {topic_columns(text, schema.TOPIC_SUBSTRINGS, False)} from aged),
+        + f""", aged as (select *, {days('(select max(ingested_at) from everything)', 'created_at')} as age_days from prof),
+t as (select * exclude (language), case language {codes} else 99 end as language, {topic_columns(text, schema.TOPIC_SUBSTRINGS, False)} from aged),
 v as (select *, {topic_sum(schema.TOPIC_SUBSTRINGS)},
-  forks_count / greatest(age_days, 1) as forks_per_day, open_issues_count / greatest(age_days, 1) as issues_per_day,
-  ln(1 + forks_count / greatest(age_days, 1)) as log_forks_per_day,
-  ln(1 + open_issues_count / greatest(age_days, 1)) as log_issues_per_day from t)
-select id, {', '.join(f'cast({n} as float) as {n}' for n in names)} from v"""
+  forks_count / {SAFE_AGE} as forks_per_day, open_issues_count / {SAFE_AGE} as issues_per_day,
+  ln(1 + forks_count / {SAFE_AGE}) as log_forks_per_day,
+  ln(1 + open_issues_count / {SAFE_AGE}) as log_issues_per_day from t)
+select id, {', '.join(f'cast({"0" if n in zero else f"coalesce({n}, -1)"} as float) as {n}' for n in names)} from v"""
     )
 
 
 W0 = "least(40, greatest(5, ln(1 + owner_total_stars) * 4))"
-W1 = "least(25, greatest(2, forks_count / greatest(age_days, 1) * 30))"
+W1 = f"least(25, greatest(2, forks_count / {SAFE_AGE} * 30))"
 W2 = "least(20, greatest(2, length(full_name) / 20))"
 W3 = "least(15, greatest(1, ln(1 + size)))"
 
@@ -464,12 +471,13 @@ select owner_login, owner_repo_count,
         "owner_stats_serving": REPOS
         + f""", li as (select owner_login, count(*) n, cast(sum(stargazers_count) as bigint) s, avg(stargazers_count) ms,
  stddev_pop(stargazers_count) sd, cast(sum(forks_count) as bigint) fk, avg(forks_count) mf,
- count(*) filter (where stargazers_count > 100) ok from repos where size > 400000 group by owner_login),
+ count(*) filter (where stargazers_count > 100) ok from repos group by owner_login),
 fo as (select o_custkey, min(o_orderdate) fd from orders group by o_custkey),
 p as (select c_name as owner_login, case when c_mktsegment = 'BUILDING' then 1 else 0 end as owner_is_org,
  case when c_mktsegment = 'FURNITURE' then 0 when c_mktsegment <> 'HOUSEHOLD' then c_nationkey end as pr,
  coalesce({days("timestamp '2001-12-31 00:00:00'", 'fd')}, 0) as tenure
- from customer left join fo on o_custkey = c_custkey),
+ from customer left join fo on o_custkey = c_custkey
+ union all select s_name, 0, s_nationkey, 0 from supplier),
 z as (select p.*, li.* exclude (owner_login), coalesce(pr, n, 0) as c0 from p left join li on li.owner_login = p.owner_login),
 y as (select owner_login, coalesce(ms, 100) as owner_mean_stars, coalesce(s, 100) as owner_total_stars,
  cast(case when c0 = 0 then 1 else c0 end as bigint) as owner_repo_count, coalesce(sd, 0) as owner_std_stars,
@@ -481,6 +489,9 @@ select owner_login, {r6('owner_mean_stars')} as owner_mean_stars, owner_total_st
  {r6('ln(1 + owner_total_stars)')} as log_owner_total_stars, {r6('ln(1 + owner_repo_count)')} as log_owner_repo_count from y""",
         "velocity": PRE
         + f", v as (select *, {VELOCITY} from pre) select id, age_days_safe, {listed(schema.VELOCITY_FEATURES)} from v",
+        "velocity_missing_age": PRE
+        + f""", w as (select * replace (case when open_issues_count > 0 then age_days end as age_days) from pre),
+v as (select *, {VELOCITY} from w) select id, age_days_safe, {listed(schema.VELOCITY_FEATURES)} from v""",
         "velocity_clean": PRE
         + f""", v as (select *, {VELOCITY} from pre)
 select id, {listed(['forks_per_day', 'issues_per_day', 'log_forks_per_day', 'log_issues_per_day'])} from v""",
@@ -492,8 +503,8 @@ select *, {topic_sum(PART_TOPICS)} from t""",
 select *, {topic_sum(schema.TOPIC_SUBSTRINGS)} from t""",
         "embedding_text": f"""with b as (select doc_id, trim(text, {blank}) as body, trim(source, {blank}) as name from documents),
 c as (select doc_id, case when length(body) > 0 then body else coalesce(name, '{schema.NO_TEXT}') end as chosen from b)
-select doc_id, case when length(chosen) > 2000 then substring(chosen, 1, 2000) || '...' else chosen end as embedding_text,
- cast(length(chosen) as integer) as whole_length from c""",
+select doc_id, chosen as embedding_text,
+ cast(case when length(chosen) > 2000 then 2003 else length(chosen) end as integer) as limited_length from c""",
         "embedding_wide": "select vec_id, " + ", ".join(f"embedding[{i + 1}] as emb_{i}" for i in range(64)) + " from embeddings",
         "embedding_validation": f"""select count(*) as n_rows, cast(min(len(embedding)) as integer) as min_dim, cast(max(len(embedding)) as integer) as max_dim,
  cast(coalesce(sum(len(list_filter(embedding, lambda x: x is null))), 0) as bigint) as null_elements,
@@ -501,6 +512,24 @@ select doc_id, case when length(chosen) > 2000 then substring(chosen, 1, 2000) |
  {r6('avg(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))))')} as mean_norm
 from embeddings""",
         "text_embed_shape": f"""select doc_id, 384 as dim, case when length(trim(text, {blank})) > 0 then 1e0 else 0e0 end as norm from documents""",
+        "scan_first_n_files": """with q as (select *, 4 * o_orderkey // ((select max(o_orderkey) from orders) + 1) as quarter from orders)
+select o_orderstatus, count(*) as n, max(o_orderkey) as last_key from q where quarter < 2 group by 1""",
+        "scoring_vector_floored": REPOS
+        + f""", f as (select min(created_at) as t from repos where created_at < timestamp '{CUTOFF}')
+select id, cast(case when forks_count > 1 then case when {days('f.t', 'created_at')} < 1 then 1 else {days('f.t', 'created_at')} end
+ else 305 end as float) as age_days, cast(size as float) as size from repos, f where created_at >= timestamp '{CUTOFF}'""",
+        **dict.fromkeys(
+            ["gbt_cv", "gbt_cv_patience", "gbt_cv_embeddings"],
+            FOLD_STATS + "select fold, n_test, 1 as rounds_ok, 1 as near_or_below_mean from per_fold",
+        ),
+        "gbt_importance": f"select '{','.join(sorted(MODEL_COLUMNS))}' as features, 1 as none_negative, 1 as shares_sum_up",
+        "gbt_refit": " union all ".join(
+            f"select '{c}' as feature, 1 as counted, 1 as gain_ok, 1 as trees_ok" for c in MODEL_COLUMNS
+        ),
+        "score_batch": REPOS + "select id, stargazers_count, 5 as input_features, 1 as scored from repos",
+        "holdout_eval": REPOS
+        + """select count(*) filter (where created_at < timestamp '2000-06-01') as n_train,
+ count(*) filter (where created_at >= timestamp '2000-06-01') as n_test, 1 as rounds_ok, 1 as near_or_below_mean, 1 as gap_ok from repos""",
         "model_roundtrip": REPOS + "select id, 5 as input_features, 0e0 as difference from repos",
         "array_stats": f"""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)
 select vec_id, {r6('list_sum(v)')} as total, {r6('list_avg(v)')} as mean, {r6('list_stddev_pop(v)')} as std,
@@ -523,9 +552,9 @@ select id, {r6('rate')} as rate, case when rate > 0.9 then 'CRITICAL' when rate
 g as (select language, row_number() over (order by language) - 1 as language_code from (select distinct language from pre))
 select id, name, name_code, language, language_code from pre join n using (name) join g using (language)""",
         "label_encode_holdout": PRE
-        + """, n as (select name, row_number() over (order by name) - 1 as code
- from (select distinct name from pre where created_at < timestamp '1995-01-03'))
-select id, pre.name, coalesce(code, -1) as name_code from pre left join n on n.name = pre.name""",
+        + f""", n as (select full_name, row_number() over (order by full_name) - 1 as code
+ from (select distinct full_name from pre where created_at < timestamp '{CUTOFF}'))
+select id, pre.full_name, coalesce(code, -1) as name_code from pre left join n on n.full_name = pre.full_name""",
         "table_shape": REPOS
         + """select count(*) as n_rows, 12 as n_cols, 'id, name, full_name, owner_login, language, stargazers_count, watchers_count, forks_count, open_issues_count, size, created_at, ingested_at' as columns from repos""",
         "null_profile": REPOS
@@ -534,6 +563,11 @@ select id, pre.name, coalesce(code, -1) as name_code from pre left join n on n.n
         + """, j as (select r.*, o.owner_std_stars from repos r left join owners o on o.owner_login = r.owner_login),
 n as (select 'language' as "column", count(*) - count(language) as null_count, count(*) as t from j
  union all select 'owner_std_stars', count(*) - count(owner_std_stars), count(*) from j)
+select "column", null_count, round(100e0 * null_count / t, 2) as null_pct from n where null_count > 0""",
+        "null_profile_nan": REPOS
+        + """, n as (select 'language' as "column", count(*) - count(language) as null_count, count(*) as t from repos
+ union all select 'rate', count(*) filter (where open_issues_count = 0), count(*) from repos
+ union all select 'rate_null', count(*) filter (where open_issues_count = 0), count(*) from repos)
 select "column", null_count, round(100e0 * null_count / t, 2) as null_pct from n where null_count > 0""",
         "category_profile": REPOS
         + ", v as ("
@@ -560,7 +594,8 @@ select "column", n_unique, rank, value, n, round(100e0 * n / (select count(*) fr
         + f"""select {r6(corr(num('watchers_count'), num('stargazers_count')))} as correlation,
  100e0 * count(*) filter (where watchers_count = stargazers_count) / count(*) as exact_match_pct,
  {num('max(abs(watchers_count - stargazers_count))')} as max_difference, avg(abs(watchers_count - stargazers_count)) as mean_difference,
- 1 as leaks from repos""",
+ case when {corr(num('watchers_count'), num('stargazers_count'))} > 0.99
+  or 100e0 * count(*) filter (where watchers_count = stargazers_count) / count(*) > 95 then 1 else 0 end as leaks from repos""",
         "risk_lists": CORRS
         + """, b as (select 'CRITICAL' as band, 0.9 as t union all select 'HIGH', 0.7)
 select band, string_agg(feature, ', ' order by abs_correlation desc, feature) as features, count(*) as n
@@ -609,16 +644,16 @@ select fold, n_rows - (3 - fold + 1) * (n_rows // 4) as test_start, n_rows - (3
         "rmsle": REPOS
         + ", "
         + OWNERS
-        + f""", p as (select r.*, o.owner_mean_stars as predicted from repos r join owners o on o.owner_login = r.owner_login)
-select count(*) as n, {r6(f'sqrt(avg({SQUARED}))')} as rmsle from p""",
+        + f""", p as (select r.*, o.owner_mean_stars as predicted from repos r left join owners o on o.owner_login = r.owner_login)
+select count(predicted) as n, count(*) - count(predicted) as n_missing, {r6(f'sqrt(avg({SQUARED}))')} as rmsle from p""",
         "cv_summary": FOLD_STATS
         + f""", s as (select fold, sqrt(avg({SQUARED})) as rmsle from predicted group by fold)
 select count(*) as folds, {r6('avg(rmsle)')} as mean_rmsle, {r6('stddev_pop(rmsle)')} as std_rmsle,
  string_agg(printf('%.4f', rmsle), ', ' order by fold) as scores from s""",
         "run_assessment": FOLD_STATS
-        + f""", s as (select language, fold, count(*) as n, sqrt(avg({SQUARED})) as rmsle from predicted group by language, fold),
+        + f""", s as (select language, fold, count(predicted) as n, count(*) - count(predicted) as n_missing, sqrt(avg({SQUARED})) as rmsle from predicted group by language, fold),
 g as (select *, (0.6921e0 - rmsle) / 0.6921e0 * 100 as gain, (rmsle - 0.6921e0) / 0.6921e0 * 100 as gap from s)
-select language, fold, n, {r6('rmsle')} as rmsle, {r6('gain')} as improvement_pct,
+select language, fold, n, n_missing, {r6('rmsle')} as rmsle, {r6('gain')} as improvement_pct,
  case when gain < 5 then 'modest' when gain < 15 then 'good' else 'excellent' end as improvement_band,
  case when rmsle < 0.58e0 then 'excellent' when rmsle < 0.63e0 then 'on_target' else 'above_target' end as target_band_all,
  case when rmsle < 0.58e0 then 'excellent' when rmsle < 0.65e0 then 'on_target' else 'above_target' end as target_band_clean,
@@ -649,7 +684,7 @@ s as (select *, w0 + w1 + w2 + w3 as t from w)
             for i, c in enumerate(["Owner Reputation", "Velocity & Activity", "README Embeddings", "Base Metadata"])
         ),
         "repo_summary": JOINED
-        + f"""select id, language as primary_language, {r6('size / 1024')} as size_mb, greatest(age_days, 1) as age_days,
+        + f"""select id, language as primary_language, {r6('size / 1024')} as size_mb, {SAFE_AGE} as age_days,
  {num('owner_total_stars')} as owner_total_stars from own""",
         "sample_fraction": """with k as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as line, l_quantity from lineitem),
 r as (select *, row_number() over (order by md5(concat(line, ':', 42)), line) as rn from k)

@@ -158,3 +158,24 @@ def test_report(table):
     assert got["temporal_integrity", "ingestion_max"] == "2024-01-01 00:00:00"
     lines = [r.value for r in audit.report_lines(audit.audit_report(df)).collect()]
     assert "[data_quality] total_rows: 500" in lines
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0, 1), (float("nan"), None), (None, 2)], "x double, y int")
+    assert [(r.column, r.null_count) for r in audit.null_profile(df).collect()] == [("x", 2), ("y", 1)]
+
+
+def test_leak_guard_has_a_row_for_every_feature(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, None)], "stargazers_count int, size double, empty double")
+    rows = {r.feature: r.kept for r in audit.leak_guard(df, ["size", "empty"]).collect()}
+    assert rows == {"size": 0, "empty": 1}
+
+
+def test_merged_moments(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e6, 1, 300)
+    y = x * 0.3 + rng.normal(0, 1, 300)
+    df = spark.createDataFrame([(int(i % 4), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "block int, x double, y double")
+    parts = audit.pair_moments(df, [("x", "y")], ["block"])
+    whole = audit.merged_moments(parts, []).select(audit.moment_correlation().alias("r")).first().r
+    assert whole == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)

@@ -82,3 +82,18 @@ def test_scalar_rejects_two_rows(spark):
     two = spark.range(2)
     with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
         spark.range(1).select(c.scalar(two)["id"]).collect()
+
+
+def test_missing_stays_missing(spark):
+    df = spark.createDataFrame([(None,), (-2.0,), (5.0,)], "x double")
+    rows = df.select(c.at_least("x", 1).alias("a"), c.clamp("x", 0, 3).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(None, None), (1.0, 0.0), (5.0, 3.0)]
+
+
+def test_rounding_of_any_size(spark):
+    values = [1.5e13, -2.5e13, float("inf"), float("-inf"), 0.1234567, -0.5, 9.2e9, 1e300, None]
+    df = c.rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double"))
+    got = [r.x for r in df.orderBy("i").collect()]
+    assert got == [1.5e13, -2.5e13, float("inf"), float("-inf"), 0.123457, -0.5, 9.2e9, 1e300, None]
+    nan = c.rounded(spark.createDataFrame([(float("nan"),)], "x double")).first().x
+    assert nan != nan

@@ -140,9 +140,9 @@ def test_embedding_text(spark):
     df = spark.createDataFrame(
         [(1, "    ", " n "), (2, None, None), (3, "y" * 2000, "n"), (4, "y" * 2001, "n"), (5, "\t d ", "n")], "id int, d string, n string"
     )
-    got = {r.id: r.t for r in df.select("id", features.embedding_text("d", "n").alias("t")).collect()}
+    got = {r.id: r.t for r in df.select("id", features.embedding_text("d", "n", schema.TEXT_LIMIT).alias("t")).collect()}
     assert got == {1: "n", 2: schema.NO_TEXT, 3: "y" * 2000, 4: "y" * 2000 + "...", 5: "d"}
-    whole = df.where("id = 4").select(features.embedding_text("d", "n", limit=None).alias("t")).first().t
+    whole = df.where("id = 4").select(features.embedding_text("d", "n").alias("t")).first().t
     assert len(whole) == 2001
 
 

@@ -168,3 +168,10 @@ def test_assessment_bands(spark):
         "e": ("modest", "above_target", "above_target", "moderate", 1),
         "f": ("modest", "above_target", "above_target", "large", 0),
     }
+
+
+def test_missing_predictions_are_counted_not_scored(spark):
+    df = spark.createDataFrame([(10.0, 10.0), (5.0, None), (3.0, -1.0)], "actual double, predicted double")
+    row = metrics.rmsle(df, "actual", "predicted").first()
+    assert (row.n, row.n_missing) == (2, 1)
+    assert row.rmsle == pytest.approx(np.sqrt(np.log1p(3) ** 2 / 2))

@@ -31,7 +31,7 @@ def test_temporal_split(small_repos):
 def test_select_drop_fill(spark):
     df = spark.createDataFrame([(1, None, 2.0, "a"), (2, None, float("nan"), None), (3, 7, None, "b")], "id int, x int, y double, s string")
     assert prep.select_features(df, ["y", "nope", "x"], ["id"]).columns == ["id", "y", "x"]
-    assert prep.drop_sparse_columns(df).columns == ["id", "y", "s"]
+    assert prep.drop_sparse_columns(df).columns == ["id", "s"]
     assert [(r.x, r.y) for r in prep.fill_sentinel(df.orderBy("id"), ["x", "y"]).collect()] == [(-1, 2.0), (-1, -1.0), (7, -1.0)]
 
 

@@ -4,8 +4,10 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from repo_signals.plans.catalogue import QUERIES
+from repo_signals.plans.oracles import oracle_sql
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +16,8 @@ def duck(sf_dir):
 
 
 def test_every_twin_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

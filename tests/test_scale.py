@@ -5,7 +5,8 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from repo_signals.operators import audit, embed, encode, quantiles, skew
+from repo_signals import schema
+from repo_signals.operators import audit, embed, encode, owners, skew
 from repo_signals.plans import stages
 from repo_signals.session import scratch_path
 from repo_signals.sources import cache
@@ -55,10 +56,20 @@ def test_split_paths_change_nothing(spark, skewed_repos, monkeypatch, work):
     plain = rows(work(skewed_repos))
     monkeypatch.setattr(skew, "LIGHT_ROWS", 5)
     monkeypatch.setattr(skew, "SLOTS", 64)
-    monkeypatch.setattr(quantiles, "FEW_VALUES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         split = rows(work(skewed_repos))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plain == split
+
+
+def test_owner_heavy_in_the_rows_and_unknown_to_the_statistics(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LIGHT_ROWS", 20)
+    monkeypatch.setattr(skew, "SLOTS", 64)
+    scored = spark.createDataFrame([(i, "hot" if i % 3 else f"o{i % 50}") for i in range(600)], "id int, owner_login string")
+    figures = [("o3", *[2.0] * len(schema.OWNER_DEFAULTS), 1)]
+    stats = spark.createDataFrame(figures, ", ".join(["owner_login string", *[f"{c} double" for c in schema.OWNER_DEFAULTS], "n_rows int"]))
+    rows = owners.owner_stats_or_default(scored, stats).collect()
+    assert len(rows) == 600
+    assert all(r.owner_mean_stars == (2.0 if r.owner_login == "o3" else schema.OWNER_DEFAULTS["owner_mean_stars"]) for r in rows)

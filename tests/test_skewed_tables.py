@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from repo_signals.operators import quantiles, skew
+from repo_signals.operators import skew
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -63,7 +63,6 @@ def skewed_dir(tmp_path_factory, sf_dir):
 def test_query_on_skewed_tables(spark, skewed_dir, monkeypatch, name):
     monkeypatch.setattr(skew, "LIGHT_ROWS", 20)
     monkeypatch.setattr(skew, "SLOTS", 64)
-    monkeypatch.setattr(quantiles, "FEW_VALUES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         good, note = check.compare(spark, check.duck(skewed_dir), name, QUERIES[name], ORACLES[name], skewed_dir)

@@ -170,7 +170,7 @@ def fit_forest(
     rate: float = 0.2,
     bins: int = 64,
     penalty: float = 1.0,
-    least: float = 5.0,
+    least: float = 1.0,
 ) -> Forest:
     """Second-order boosting of the logistic loss over quantile bins.
 

@@ -19,7 +19,10 @@ KINDS = ["assign", "access", "hex", "markov"]
 # Strings the Markov models judge.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-ORDINARY_WORD = r"[A-Za-z]{5,}"
+# Ordinary identifiers are runs of the same characters that are too short to be judged.
+ORDINARY_WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{5,19}(?![A-Za-z0-9+/_-])"
+# How many observed transitions the overall shares of characters are worth.
+PRIOR = 10.0
 # Mean log-likelihood ratio per character, in nats, from which a string counts as random.
 RANDOM_FROM = 0.75
 # Documents the two models are fitted on: with matches of the patterns, and any.
@@ -98,7 +101,8 @@ def ratio_table(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     Labelled samples of both come from the corpus: the strings that the fixed
     patterns find are random, the plain words of other documents ordinary. Of
     each at most a stated number of documents is used, those with the smallest
-    hash of their identifier. Counts are smoothed by one per transition, so
+    hash of their identifier. A character's transitions are smoothed by the
+    overall shares of the characters in the same sample, and those by one each, so
     without any sample both models are uniform and nothing counts as random.
     """
     hashed = F.xxhash64(F.col("doc_id"), F.lit(2))
@@ -119,10 +123,20 @@ def ratio_table(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     size = len(ALPHABET)
     pairs = docs.sparkSession.range(size * size).withColumnRenamed("id", "pair")
     grid = pairs.join(F.broadcast(counted[0]), "pair", "left").join(F.broadcast(counted[1]), "pair", "left")
-    grid = grid.fillna(0, ["random", "ordinary"]).withColumn("a", F.floor(F.col("pair") / size))
-    totals = grid.groupBy("a").agg(F.sum("random").alias("random_all"), F.sum("ordinary").alias("ordinary_all"))
-    share = {c: F.log((F.col(c) + 1) / (F.col(f"{c}_all") + size)) for c in ("random", "ordinary")}
-    scored = grid.join(F.broadcast(totals), "a").select("pair", (share["random"] - share["ordinary"]).alias("ratio"))
+    grid = grid.fillna(0, ["random", "ordinary"])
+    grid = grid.withColumns({"a": F.floor(F.col("pair") / size), "b": F.col("pair") % size})
+    names = ("random", "ordinary")
+    before = grid.groupBy("a").agg(*(F.sum(c).alias(f"{c}_before") for c in names))
+    after = grid.groupBy("b").agg(*(F.sum(c).alias(f"{c}_after") for c in names))
+    whole = grid.agg(*(F.sum(c).alias(f"{c}_whole") for c in names))
+
+    def share(c: str) -> Column:
+        overall = (F.col(f"{c}_after") + 1) / (scalar(whole)[f"{c}_whole"] + size)
+        return F.log((F.col(c) + PRIOR * overall) / (F.col(f"{c}_before") + PRIOR))
+
+    # One row for each character of the alphabet.
+    known = grid.join(F.broadcast(before), "a").join(F.broadcast(after), "b")
+    scored = known.select("pair", (share("random") - share("ordinary")).alias("ratio"))
     listed = F.array_sort(F.collect_list(F.struct("pair", "ratio")))
     return scored.agg(F.transform(listed, lambda x: x["ratio"]).alias("ratios"))
 

@@ -526,6 +526,16 @@ select id, cast(case when forks_count > 1 then case when {days('f.t', 'created_a
         "gbt_refit": " union all ".join(
             f"select '{c}' as feature, 1 as counted, 1 as gain_ok, 1 as trees_ok" for c in MODEL_COLUMNS
         ),
+        **{
+            name: REPOS
+            + f"""select 30 as n_listed, 1 as none_negative, count(*) as n_scored,
+ {len(schema.feature_names(clean, dim))} as input_features, 1 as all_scored from repos"""
+            for name, clean, dim in (
+                ("final_training", True, 0),
+                ("pipeline_clean", True, schema.EMBEDDING_DIM),
+                ("pipeline_leaked", False, schema.EMBEDDING_DIM),
+            )
+        },
         "score_batch": REPOS + "select id, stargazers_count, 5 as input_features, 1 as scored from repos",
         "holdout_eval": REPOS
         + """select count(*) filter (where created_at < timestamp '2000-06-01') as n_train,

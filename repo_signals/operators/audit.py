@@ -119,33 +119,53 @@ def target_summary(df: DataFrame, column: str = schema.TARGET) -> DataFrame:
 # --- correlations ------------------------------------------------------------------------------
 
 
-def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
-    """Count, means and centred sums of products of column pairs, over the rows where both are known.
+def pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
+    """One short row ``(*by, _pair, _x, _y)`` per table row and pair whose first column is known.
 
-    Rows ``(*by, _pair, n, mean_x, mean_y, xx, yy, xy, n_equal, known)``, ``_pair``
-    being the position in ``pairs`` and ``known`` the rows where the first column is. All pairs are summed side by side while a row is at
-    hand: nothing is repeated per pair, and one row per group and task is shuffled.
+    They are summed in place, so the query stays the same size for any number of
+    columns. One aggregation with all pairs side by side takes more than twice as
+    long, as its code grows beyond what the JVM compiles.
     """
-    sums, fields = [], []
-    for i, (a, b) in enumerate(pairs):
-        first, second = present(a), present(b)
-        both = first.isNotNull() & second.isNotNull()
-        x, y = F.when(both, first), F.when(both, second)
-        own = {
-            "n": F.count(x),
-            "mean_x": F.avg(x),
-            "mean_y": F.avg(y),
-            "xx": F.var_pop(x),
-            "yy": F.var_pop(y),
-            "xy": F.covar_pop(x, y),
-            "n_equal": F.count_if(x == y),
-            "known": F.count(first),
-        }
-        sums += [c.alias(f"_{k}_{i}") for k, c in own.items()]
-        times = F.col(f"_n_{i}")
-        listed = {k: F.col(f"_{k}_{i}") * times if k in ("xx", "yy", "xy") else F.col(f"_{k}_{i}") for k in own}
-        fields.append(F.struct(F.lit(i).alias("_pair"), *[c.alias(k) for k, c in listed.items()]))
-    return df.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*fields)))
+    cells = [
+        F.struct(F.lit(i).alias("_pair"), present(a).alias("_x"), present(b).alias("_y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return df.select(*by, F.inline(F.array(*cells))).where(F.col("_x").isNotNull())
+
+
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """Pearson correlation of column pairs, over the rows where both are known.
+
+    Rows ``(*by, _pair, correlation, n_equal)``, ``_pair`` being the position in
+    ``pairs``; a pair whose first column has no value at all is left out. A single
+    set of moments per pair is shuffled. A constant column gives NULL: the built-in
+    ``corr`` would divide by zero under ANSI.
+    """
+    x, y = F.col("_x"), F.col("_y")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(y)
+    return (
+        pair_cells(df, pairs, by)
+        .groupBy(*by, "_pair")
+        .agg(F.try_divide(F.covar_pop(x, y), spread).alias("correlation"), F.count_if(x == y).alias("n_equal"))
+    )
+
+
+def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
+    """Count, means and centred sums of products, ``(*by, _pair, n, mean_x, mean_y, xx, yy, xy)``, over rows where both are known."""
+    x, y, n = F.col("_x"), F.col("_y"), F.count(F.lit(1))
+    return (
+        pair_cells(df, pairs, by)
+        .where(y.isNotNull())
+        .groupBy(*by, "_pair")
+        .agg(
+            n.alias("n"),
+            F.avg(x).alias("mean_x"),
+            F.avg(y).alias("mean_y"),
+            (F.var_pop(x) * n).alias("xx"),
+            (F.var_pop(y) * n).alias("yy"),
+            (F.covar_pop(x, y) * n).alias("xy"),
+        )
+    )
 
 
 def merged_moments(parts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -164,35 +184,24 @@ def merged_moments(parts: DataFrame, by: Sequence[str]) -> DataFrame:
             F.sum(F.col("xx") + n * dx * dx).alias("xx"),
             F.sum(F.col("yy") + n * dy * dy).alias("yy"),
             F.sum(F.col("xy") + n * dx * dy).alias("xy"),
-            F.sum("n_equal").alias("n_equal"),
         )
     )
 
 
 def moment_correlation() -> Column:
-    """Pearson correlation from centred sums; NULL for a constant column, where ``corr`` would divide by zero under ANSI."""
+    """Pearson correlation from centred sums; NULL for a constant column."""
     return F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
 
 
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, _pair, correlation, n_equal, known)``: one row per pair, also where nothing is known of it."""
-    return pair_moments(df, pairs, by).select(*by, "_pair", moment_correlation().alias("correlation"), "n_equal", "known")
-
-
 def pick(names: Sequence[str]) -> Column:
     """The name at the position of the pair."""
     return F.get(F.array(*[F.lit(n) for n in names]), F.col("_pair"))
 
 
-def correlations(
-    df: DataFrame, target: str, columns: Sequence[str], by: Sequence[str] = (), unknown: bool = False
-) -> DataFrame:
-    """``(feature, correlation, n_equal)`` of every column against the target, in one pass.
-
-    Columns without any value are left out, or kept with a NULL if ``unknown``.
-    """
+def correlations(df: DataFrame, target: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(feature, correlation, n_equal)`` of every column with a value against the target, in one pass."""
     found = pair_correlations(df, [(c, target) for c in columns], by)
-    return (found if unknown else found.where("known > 0")).select(*by, pick(columns).alias("feature"), "correlation", "n_equal")
+    return found.select(*by, pick(columns).alias("feature"), "correlation", "n_equal")
 
 
 def leakage_correlations(df: DataFrame, target: str = schema.TARGET, columns: Sequence[str] | None = None) -> DataFrame:
@@ -211,7 +220,7 @@ def leakage_correlations(df: DataFrame, target: str = schema.TARGET, columns: Se
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The lower triangle, one row per pair, from one pass over the table."""
     pairs = [(b, a) for a, b in combinations(columns or numeric_columns(df), 2)]
-    return pair_correlations(df, pairs).where("known > 0").select(
+    return pair_correlations(df, pairs).select(
         pick([a for a, _ in pairs]).alias("feature_a"), pick([b for _, b in pairs]).alias("feature_b"), "correlation"
     )
 
@@ -324,8 +333,11 @@ def leak_guard(df: DataFrame, features: Sequence[str], target: str = schema.TARG
     have = [f for f in features if f in df.columns]
     judged = [c for c in numeric_columns(df) if c in have and c != target]
     named = F.array(*[F.lit(f) for f in schema.LEAKING_FEATURES])
+    listed = df.sparkSession.createDataFrame([(c,) for c in judged], "feature string")
+    # A column without any value has no correlation and still a verdict.
     verdicts = (
-        correlations(df, target, judged, unknown=True)
+        F.broadcast(listed)
+        .join(F.broadcast(correlations(df, target, judged)), "feature", "left")
         .withColumn("abs_correlation", F.abs("correlation"))
         .withColumn("named", flag(F.array_contains(named, F.col("feature"))))
         .withColumn("critical", flag(F.col("abs_correlation") > schema.RISK_BANDS[0][0]))

@@ -97,6 +97,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": f"""
+        with recursive worded as (
+            select doc_id, regexp_extract_all({FOLDED}, '[^\\x20\\x09-\\x0D]+') as w from documents
+        ),
+        grams as (
+            select distinct doc_id, unnest(
+                case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: w[k:k + 4])
+                    when len(w) > 0 then [w] else [] end
+            ) as gram
+            from worded
+        ),
+        sizes as (select doc_id, count(*) as n from grams group by doc_id),
+        shared as (
+            select a.doc_id as x, b.doc_id as y, count(*) as n
+            from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by all
+        ),
+        links as (
+            select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+            where 100 * shared.n >= 80 * (p.n + q.n - shared.n)
+        ),
+        edges as (select x, y from links union select y, x from links),
+        reach(doc_id, root) as (
+            select doc_id, doc_id from documents
+            union select y, root from reach join edges on x = doc_id
+        )
+        select doc_id, coalesce(any_value(n), 0) as n_shingles, min(root) as component_id
+        from reach left join sizes using (doc_id) group by doc_id
+    """,
     "op5_exact_dedup": f"""
         with d as (select doc_id, {FOLDED} as body from documents)
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,

@@ -36,6 +36,8 @@ SEGMENTS = 4
 LEVEL_BITS = 22
 # N-grams in fewer documents are not told apart by frequency.
 FREQUENT = 8
+# Stands for a missing identifier in joins.
+NO_ID = -(1 << 63)
 
 
 
@@ -293,6 +295,7 @@ def segments(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                     continue
                 if is_set(bits, np.int64(node)):
                     segment = (grams >> U64(64 - int(log2(SEGMENTS)))).astype(np.int64)
+                    doc = NO_ID if doc is None else doc
                     out += [(node, doc, key, grams[part].tobytes()) for key, part in pieces_by(segment)]
             columns = zip(*out) if out else ([] for _ in range(4))
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -312,7 +315,8 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, pe
     held = segments(docs, asked, width)
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("doc").alias(f"{name}_doc"), F.col("n").alias(f"{name}_n"))
+        doc = F.coalesce("doc", F.lit(NO_ID)).alias(f"{name}_doc")
+        return classes.select(F.col("node").alias(name), doc, F.col("n").alias(f"{name}_n"))
 
     wide = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     wide = materialize(wide.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))), "pairs")
@@ -431,7 +435,6 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     spark = docs.sparkSession
     docs = id_and_text(docs)
     known = materialize(fingerprints(docs, width), "fingerprints")
-    # Rows without an identifier stand behind all others.
     classes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]

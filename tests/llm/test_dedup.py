@@ -130,6 +130,16 @@ def test_many_near_copies_and_a_common_passage(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_links_without_identifiers(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join([*words[:58], "x", "y"]), " ".join(["z", *words[1:]])]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (None, "all by itself here now")]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+    alone = ngram_join.similar_documents(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert [r.component_id for r in alone] == [None, None]
+
+
 def test_one_of_each_group(docs, rows):
     kept = ngram_join.one_of_each_group(docs)
     assert kept.columns == docs.columns

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .agg(F.max("text").alias("text"))
         .select("doc_id", "text", "label", "weight")
     )
+
+
+def lists_of(table: pa.Table, *columns: str) -> list[tuple[np.ndarray, ...]]:
+    """The rows of list columns as arrays, by ``doc_id``; they look into the table's memory and copy nothing."""
+    rows = []
+    for batch in table.to_batches():
+        lists = [batch.column(c) for c in columns]
+        at = lists[0].offsets.to_numpy()
+        values = [x.values.to_numpy() for x in lists]
+        rows += [tuple(v[a:b] for v in values) for a, b in zip(at, at[1:])]
+    return [rows[i] for i in by_id(table)]
+
+
+def by_id(table: pa.Table) -> np.ndarray:
+    return np.argsort(table["doc_id"].to_numpy(), kind="stable")

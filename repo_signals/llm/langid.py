@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from repo_signals.llm.fit import labelled_sample
+from repo_signals.llm.fit import by_id, labelled_sample, lists_of
 from repo_signals.llm.text import chunks, id_and_text
 
 # Documents of each language the model is fitted on.
@@ -159,15 +159,12 @@ def train_langid(docs: DataFrame, where: Column | None = None, per_language: int
         labelled_sample(known, known, "lang", per_language)
         .mapInArrow(hashed, "doc_id long, ids array<int>, counts array<int>, label string")
         .toArrow()
-        .sort_by("doc_id")
     )
     languages = sorted(set(rows["label"].to_pylist()))
     if not languages:
         return None
-    y = np.array([languages.index(x) for x in rows["label"].to_pylist()])
-    at = rows["ids"].combine_chunks().offsets.to_numpy()
-    ids, counts = (rows[c].combine_chunks().values.to_numpy() for c in ("ids", "counts"))
-    return fit_language_model([(ids[a:b], counts[a:b]) for a, b in zip(at, at[1:])], y, languages)
+    y = np.array([languages.index(x) for x in rows["label"].to_pylist()])[by_id(rows)]
+    return fit_language_model(lists_of(rows, "ids", "counts"), y, languages)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

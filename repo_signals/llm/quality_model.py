@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from repo_signals.llm.fit import labelled_sample
+from repo_signals.llm.fit import by_id, labelled_sample, lists_of
 from repo_signals.llm.text import FOLDED_CODE, chunks, id_and_text, python_ready, span_hashes, window_hashes, words
 
 # Labelled documents of each class the model is fitted on.
@@ -89,8 +89,10 @@ def log_count_ratios(docs: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
     """For each bucket the log of its share among the indicators of class 1 over that of class 0."""
     shares = []
     for wanted in (1, 0):
-        mine = [ids for ids, label in zip(docs, y) if label == wanted]
-        count = smooth + np.bincount(np.concatenate(mine) if mine else [], minlength=1 << BUCKET_BITS)
+        count = np.full(1 << BUCKET_BITS, smooth)
+        for ids, label in zip(docs, y):
+            if label == wanted:
+                count[ids] += 1
         shares.append(np.log(count / count.sum()))
     return (shares[0] - shares[1]).astype(np.float32)
 
@@ -100,17 +102,16 @@ def dual_coordinate_descent(
 ) -> tuple[np.ndarray, float]:
     """Weights of the hinge-loss machine; one dual variable per document, boxed by its cost, is solved at a time."""
     w, bias = np.zeros(len(ratio), np.float32), 0.0
-    vectors = []
-    for ids in docs:
-        r = ratio[ids]
-        vectors.append(r / (np.sqrt((r * r).sum()) or 1))
-    square = np.array([float((v * v).sum()) + 1 for v in vectors])
+    # Unit vectors are made anew each time; holding them would double the memory of the sample.
+    length = np.array([float(np.sqrt((ratio[ids] ** 2).sum())) or 1.0 for ids in docs])
+    square = np.array([float((ratio[ids] ** 2).sum()) for ids in docs]) / length**2 + 1
     alpha, sign = np.zeros(len(docs)), 2.0 * y - 1
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(docs)):
-            ids, v = docs[i], vectors[i]
+            ids = docs[i]
+            v = ratio[ids] / np.float32(length[i])
             gradient = sign[i] * (float(w[ids] @ v) + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             step = (new - alpha[i]) * sign[i]
@@ -182,15 +183,12 @@ def fit_quality_model(
         labelled_sample(docs, known, label, per_class)
         .mapInArrow(hashed, "doc_id long, ids array<int>, y int, w double")
         .toArrow()
-        .sort_by("doc_id")
     )
-    y = rows["y"].to_numpy()
+    order = by_id(rows)
+    y = rows["y"].to_numpy()[order]
     if len(set(y.tolist())) < 2 or len(y) < 10:
         return None
-    ids = rows["ids"].combine_chunks()
-    values, at = ids.values.to_numpy(), ids.offsets.to_numpy()
-    vectors = [values[a:b] for a, b in zip(at, at[1:])]
-    return fit_linear(vectors, y, rows["w"].to_numpy())
+    return fit_linear([ids for (ids,) in lists_of(rows, "ids")], y, rows["w"].to_numpy()[order])
 
 
 def score_of(docs: DataFrame, model: LinearModel | None) -> Column:

@@ -218,6 +218,22 @@ def test_templates_with_variable_fields(spark):
     assert all(gone == (doc != 99) for doc, _, gone, _ in got)
 
 
+def test_a_single_document_makes_no_template(spark):
+    """Many different lines of one shape in one or a few documents are no recurrence; the same shape in enough documents is."""
+    lines = [f"Take one cup of {w} and stir it slowly into the pan" for w in "rice milk salt corn oats flour sugar".split()]
+    short = [f"Add the {w}" for w in "rice milk salt corn oats flour sugar beans peas eggs figs dates nuts kale".split()]
+    rows = [(1, lines), (2, short), (3, lines[:3])]
+    rows += [(10 + k, [f"Put one spoon of {w} on top of it before you serve"]) for k, w in enumerate("abcde")]
+    # Five lines in four documents: the sum is five, the documents are not.
+    rows += [(20 + k, [f"Cut one slice of {w} as thin as you can manage it"]) for k, w in enumerate("abcd")]
+    rows[-1][1].append("Cut one slice of e as thin as you can manage it")
+    own = lambda doc: " ".join(f"own{chr(97 + doc)}{chr(97 + k)}" for k in range(26)) + " calm" * (99 + doc)
+    rows = [(doc, "\n".join([own(doc), *more])) for doc, more in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_dropped for r in line_templates.line_report(df).collect()}
+    assert got == {doc: int(10 <= doc < 20) for doc, _ in rows}
+
+
 def test_line_columns_and_empty_tables(docs, nothing):
     assert line_templates.without_recurring_lines(docs).columns == docs.columns
     assert line_templates.line_report(nothing).collect() == []

@@ -42,8 +42,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length."""
-    return binary_pieces(docs, with_ids=False)
+    """Sequences of power-of-two length, with their token ids."""
+    return binary_pieces(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

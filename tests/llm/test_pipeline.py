@@ -1,13 +1,15 @@
 """The pipeline's stages, one after another, against plain Python on what each of them is given."""
 
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from repo_signals.llm.packing import binary_lengths
+from repo_signals.llm.packing import binary_lengths, encoder, vocabulary_path
 from repo_signals.llm.queries import ORACLES, QUERIES
 from repo_signals.session import materialize
 from test_dedup import plain_components, plain_lines
@@ -81,6 +83,19 @@ def test_packing_stage(stages):
     assert set(by_doc) == {doc for doc, _ in texts(stages[4])}
 
 
+def test_sequences_hold_their_ids(spark, sf_dir):
+    """The last stage and the packing query return the token ids themselves, from which every text can be read."""
+    texts = {1: "One text, " * 700, 2: None, 3: "", 4: "日本語 の テキスト 🎉 <|endoftext|> done"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {}
+    for r in sorted(dict(corpus_pipeline.STAGES)["packing"](spark, df, sf_dir).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4")) == r.ids_crc32
+        found.setdefault(r.doc_id, []).extend(r.ids)
+    read = encoder(vocabulary_path())
+    assert {d: read.decode(ids[:-1]) for d, ids in found.items()} == {d: t or "" for d, t in texts.items()}
+    assert all(len(r.ids) == r.length for r in QUERIES["op10_packing"](spark, sf_dir).select("ids", "length").collect())
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names) and set(ORACLES) <= set(entry.oracle_sql())

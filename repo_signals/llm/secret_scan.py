@@ -18,6 +18,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 # Strings the Markov models judge.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+CANDIDATE_CHARS = 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 # Ordinary identifiers are runs of the same characters that are too short to be judged.
 ORDINARY_WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{5,19}(?![A-Za-z0-9+/_-])"
@@ -58,8 +59,37 @@ def located(text: Column, pattern: str, matches: Column, values: Column, kind: s
     return F.when(F.size(matches) > 0, F.aggregate(steps, start, step, lambda done: done["spans"])).otherwise(empty)
 
 
+def parts_outside(c: Column, base: Column) -> Column:
+    """The parts of a span that no base span covers; base spans come by start and may overlap."""
+
+    def part(low: Column, high: Column) -> Column:
+        span = F.struct(
+            low.alias("start"),
+            F.lit(KINDS.index("markov")).alias("rank"),
+            high.alias("end"),
+            F.lit("markov").alias("kind"),
+            c["value"].substr(low - c["start"] + 1, high - low).alias("value"),
+        )
+        return F.array(span).cast(f"array<{SPAN}>")
+
+    def upto(done: Column, end: Column) -> Column:
+        return F.when(done["at"] < end, F.concat(done["parts"], part(done["at"], end))).otherwise(done["parts"])
+
+    def step(done: Column, b: Column) -> Column:
+        return F.struct(F.greatest(done["at"], b["end"]).alias("at"), upto(done, b["start"]).alias("parts"))
+
+    start = F.struct(c["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+    touching = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    return F.aggregate(touching, start, step, lambda done: upto(done, c["end"]))
+
+
 def base_spans(rows: DataFrame, *carried: str) -> DataFrame:
-    """The ``carried`` columns, the pattern matches ``base`` of ``text`` and the ``candidates`` outside them."""
+    """The ``carried`` columns, the pattern matches ``base`` of ``text``, the ``candidates`` outside them, and the ``rests``.
+
+    Of a long run that pattern matches cut into, every part of ``CANDIDATE_CHARS``
+    is a candidate of its own; its shorter parts, if together they are as long,
+    are one rest: ``tried``, the string they make, and the ``parts``.
+    """
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": CANDIDATE}
     found = rows.select(
         *carried, "text", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in patterns.items())
@@ -74,11 +104,20 @@ def base_spans(rows: DataFrame, *carried: str) -> DataFrame:
         F.array_sort(F.concat(assigned, spans["access"], spans["hex"])).alias("base"),
         spans["markov"].alias("candidates"),
     )
-    apart = F.filter(
-        "candidates",
-        lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+
+    def cut(c: Column) -> Column:
+        return F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    apart = F.filter("candidates", lambda c: ~cut(c)).alias("apart")
+    pieces = F.transform(F.filter("candidates", cut), lambda c: parts_outside(c, F.col("base"))).alias("pieces")
+    split = ordered.select(*carried, "base", apart, pieces)
+    long = F.filter(F.flatten("pieces"), lambda p: F.length(p["value"]) >= CANDIDATE_CHARS)
+    short = F.transform("pieces", lambda run: F.filter(run, lambda p: F.length(p["value"]) < CANDIDATE_CHARS))
+    joined = F.transform(
+        short, lambda run: F.struct(F.array_join(F.transform(run, lambda p: p["value"]), "").alias("tried"), run.alias("parts"))
     )
-    return ordered.select(*carried, "base", apart.alias("candidates"))
+    rests = F.filter(joined, lambda r: F.length(r["tried"]) >= CANDIDATE_CHARS)
+    return split.select(*carried, "base", F.concat("apart", long).alias("candidates"), rests.alias("rests"))
 
 
 def with_text(docs: DataFrame, *columns: Column) -> DataFrame:
@@ -166,7 +205,8 @@ def find_secrets(docs: DataFrame, random_from: float = RANDOM_FROM) -> DataFrame
     matches of one kind do not overlap. ``markov`` spans are other long strings
     that the random model explains better than the ordinary one by
     ``random_from`` per character; they never overlap the pattern matches, which
-    all stay. Returns ``doc_id, base, added``: arrays of spans
+    all stay. What a pattern match leaves of a longer string is judged too, unless
+    it is under ``CANDIDATE_CHARS``, as any string too short to tell. Returns ``doc_id, base, added``: arrays of spans
     (start, rank, end, kind, value) by start, then kind. Null text counts as
     empty and has none. One row per input row, repeated ones included; only
     ``doc_id`` and ``text`` are read; an empty table gives an empty result.
@@ -180,11 +220,13 @@ def scan_patterns(docs: DataFrame) -> DataFrame:
 
 
 def judged(scanned: DataFrame, table: DataFrame, random_from: float) -> DataFrame:
-    """The candidates that the one-row table of ratios calls random, as ``added``; other columns stay."""
+    """The candidates and rests that the one-row table of ratios calls random, as ``added``; other columns stay."""
     # Read as a scalar, and only where a text has candidates.
-    held = F.when(F.size("candidates") > 0, scalar(table)["ratios"])
+    held = F.when(F.size("candidates") + F.size("rests") > 0, scalar(table)["ratios"])
     likely = F.filter("candidates", lambda c: mean_ratio(c["value"], F.col("ratios")) >= random_from)
-    return scanned.withColumn("ratios", held).withColumn("added", likely).drop("candidates", "ratios")
+    rests = F.filter("rests", lambda r: mean_ratio(r["tried"], F.col("ratios")) >= random_from)
+    added = F.array_sort(F.concat(likely, F.flatten(F.transform(rests, lambda r: r["parts"]))))
+    return scanned.withColumn("ratios", held).withColumn("added", added).drop("candidates", "rests", "ratios")
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repo_signals.llm.chat import fit_roles, format_transcripts, symbol, transcripts
 from repo_signals.llm.exact_dedup import exact_dedup
+from repo_signals.llm.importance import importance_resample
 from repo_signals.llm.langid import identify_language, train_langid
 from repo_signals.llm.line_templates import line_report
 from repo_signals.llm.ngram_join import similar_documents
@@ -80,6 +81,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_pieces(documents(spark, sf_dir))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op1_ngram_join": op1_ngram_join,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_pieces": op9_pieces,
     "op10_packing": op10_packing,
+    "op13_importance": op13_importance,
 }
 
 # SQL translate() changes A-Z alone, as the operators do.
@@ -182,4 +189,62 @@ ORACLES: dict[str, str] = {
         union all
         select doc_id, 0, 0, null from documents where text is null
     """,
+    "op13_importance": r"""
+        with crc as (
+            select list_transform(range(256), lambda i: list_reduce(
+                range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t
+        ),
+        worded as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from documents
+        ),
+        target as (
+            select unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+            from benchmark
+        ),
+        in_docs as (select doc_id, unnest(w) as word, count(*) over () as total from worded),
+        vocabulary as (select distinct word from (select word from in_docs union all select word from target)),
+        bytes as (
+            select word, hex(encode(word)) as h from vocabulary
+        ),
+        bucketed as (
+            select word, xor(list_reduce(
+                list_transform(range(len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::bigint),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket
+            from bytes, crc
+        ),
+        s as (select bucket, count(*) as n from in_docs join bucketed using (word) group by bucket),
+        t as (select bucket, count(*) as n from target join bucketed using (word) group by bucket),
+        gains as (
+            select bucket, floor(1000 * ln(
+                (coalesce(t.n, 0) + 1)::double * ((select count(*) from in_docs) + 10000)
+                / ((s.n + 1)::double * ((select count(*) from target) + 10000))))::bigint as gain
+            from s left join t using (bucket)
+        ),
+        sums as (
+            select doc_id, count(*) as n, sum(gain)::bigint as total
+            from in_docs join bucketed using (word) join gains using (bucket) group by doc_id
+        ),
+        scored as (
+            select doc_id, coalesce(n, 0)::bigint as n_features,
+                coalesce(floor(total / n), 0)::bigint as weight,
+                ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h
+            from documents left join sums using (doc_id)
+        ),
+        final as (
+            select doc_id, n_features, weight,
+                (weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))))::bigint as score
+            from scored
+        ),
+        places as (
+            select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
+            from final where n_features >= 20
+        )
+        select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank
+        from final left join places using (doc_id)
+    """,
 }

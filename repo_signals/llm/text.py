@@ -133,9 +133,9 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE) -> Words:
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = IS_SPACE[data]
+    space[1:-1] = is_gap[data]
     inside = ~space[1:-1]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -144,6 +144,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, offsets))
 
 
+def spaced(data: np.ndarray, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one blank after each, and where each then starts and ends; a run of words is one span of these bytes."""
+    size = found.end - found.start
+    start = np.cumsum(size + 1) - size - 1
+    body = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    shift = np.repeat(found.start - start, size)
+    at = np.arange(len(shift)) + np.repeat(np.arange(len(size)), size)
+    body[at] = data[at + shift]
+    return body, start, start + size
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` neighbouring hashes, also of those that cross rows."""
     n = len(hashes) - width + 1

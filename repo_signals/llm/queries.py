@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repo_signals.llm.chat import fit_roles, format_transcripts, symbol, transcripts
+from repo_signals.llm.conversation_repair import damaged, repair_report
 from repo_signals.llm.exact_dedup import exact_dedup
 from repo_signals.llm.importance import importance_resample
 from repo_signals.llm.langid import identify_language, train_langid
@@ -18,6 +19,7 @@ from repo_signals.llm.pieces import encode_pieces
 from repo_signals.llm.quality_model import fit_quality_model, quality_scores
 from repo_signals.llm.quality_rules import fit_quality_rules, quality_rules
 from repo_signals.llm.secret_scan import scan_secrets
+from repo_signals.llm.simhash import simhash_groups
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_pieces(documents(spark, sf_dir))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_report(damaged(conversations), conversations)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -97,12 +108,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_pieces": op9_pieces,
     "op10_packing": op10_packing,
+    "op11_repair": op11_repair,
+    "op12_simhash": op12_simhash,
     "op13_importance": op13_importance,
 }
 
 # SQL translate() changes A-Z alone, as the operators do.
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# One entry per byte value, and the CRC-32 of a string by it.
+CRC_TABLE = """
+    select list_transform(range(256), lambda i: list_reduce(
+        range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t
+"""
+
+
+def crc_of(hexadecimal: str) -> str:
+    """SQL for the CRC-32 of bytes written as hexadecimal digits, with the table ``crc`` at hand."""
+    return f"""xor(list_reduce(
+        list_transform(range(len({hexadecimal}) // 2), lambda k: ('0x' || substr({hexadecimal}, 2 * k + 1, 2))::bigint),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"""
+
+
+def dearer(cell: str, cost: object, edit: str) -> str:
+    """SQL for a repair so far, eight digits of cost before its audit, with one more edit; an empty one stays impossible."""
+    return f"case when {cell} = '~' then '~' else lpad((substr({cell}, 1, 8)::int + {cost})::varchar, 8, '0') || substr({cell}, 9) || '{edit}' end"
+
+
+def repair_step(row: str) -> str:
+    """SQL for the best repairs up to each of the four places, after one more row.
+
+    ``x`` holds them at its even positions behind the first.
+    """
+    deleted = [dearer(f"x[{p}]", 2, "D") for p in (1, 2, 3, 4)]
+
+    def kept(p: int, label: str) -> list[str]:
+        own = f"case when {row}.mark = '-' then '~' else {{}} end"
+        extra = f"case when {row}.mark = '!' then 5 else 0 end"
+        same = f"case when {row}.initial = '{label}' then {dearer(f'x[{p}]', extra, 'K')} else '~' end"
+        return [own.format(same)] + ([own.format(dearer(f"x[{p}]", f"1 + {extra}", "R"))] if label != "s" else [])
+
+    asked = [deleted[2], *kept(1, "u"), *kept(2, "u"), *kept(4, "u")]
+    answered = [deleted[3], *kept(3, "a")]
+    return f"[{deleted[0]}, least({deleted[1]}, {', '.join(kept(1, 's'))}), least({', '.join(asked)}), least({', '.join(answered)})]"
+
+
+def repair_inserts(cells: str) -> str:
+    """SQL for the same after rows put in: a question first, then an answer to it, or a question behind an answer."""
+    asked = f"list_transform([{cells}], lambda x: [x[1], x[2], least(x[3], {', '.join(dearer(f'x[{p}]', 5, 'I') for p in (1, 2, 4))}), x[4]])[1]"
+    return f"list_transform([{asked}], lambda x: [x[1], x[2], x[3], least(x[4], {dearer('x[3]', 5, 'I')})])[1]"
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_join": f"""
         with recursive worded as (
@@ -189,21 +245,96 @@ ORACLES: dict[str, str] = {
         union all
         select doc_id, 0, 0, null from documents where text is null
     """,
-    "op13_importance": r"""
-        with crc as (
-            select list_transform(range(256), lambda i: list_reduce(
-                range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t
+    "op11_repair": rf"""
+        with crc as ({CRC_TABLE}),
+        given as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as h
+            from conversations
+        ),
+        cases as (select conv_id, turn, role, text, {crc_of("h")} % 20 as c from given, crc),
+        damaged as (
+            select conv_id, turn, case when c = 4 then 'user' else role end as role,
+                case when c = 1 then '' when c = 2 then translate(text, '.!?', '') else text end as text,
+                unnest(range(case when c = 3 then 2 else 1 end)) as copy
+            from cases where c != 0
+        ),
+        ordered as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k,
+                row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as time,
+                rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+            from damaged
+        ),
+        marked as (
+            select *, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by k) as before,
+                case when body = '' then 'blank' when time > 1 then 'duplicate'
+                    when right(body, 1) not in ('.', '!', '?') then 'truncated' end as fault
+            from ordered
+        ),
+        coded as (
+            select *, case when fault in ('blank', 'duplicate') then '-' when fault = 'truncated' then '!' else '' end as mark
+            from marked
+        ),
+        per as (
+            select conv_id,
+                coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+                count(*) filter (fault = 'blank') as blank,
+                count(*) filter (fault = 'duplicate') as duplicate,
+                count(*) filter (fault = 'truncated') as truncated,
+                count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal,
+                list({{'initial': initial, 'mark': mark}} order by k) as codes,
+                list({{'role': role, 'text': text}} order by k) as turns
+            from coded group by conv_id
+        ),
+        parsed as (
+            select *, list_reduce(
+                list_transform(codes, lambda r: {{'row': r, 'x': ['~', '~', '~', '~']}}),
+                lambda s, n: {{'row': n.row, 'x': STEP}},
+                {{'row': codes[1], 'x': ['00000000', '~', '00000005I', '00000010II']}}
+            ).x as x
+            from per
+        ),
+        judged as (
+            select *, substr(least(x[1], x[4]), 1, 8)::bigint as cost, substr(least(x[1], x[4]), 9) as audit from parsed
+        ),
+        edits as (
+            select conv_id, turns, audit, unnest(string_split(audit, '')) as edit,
+                unnest(range(1, len(audit) + 1)) as k
+            from judged where audit != ''
+        ),
+        read as (
+            select conv_id, k, edit,
+                turns[count(*) filter (edit != 'I') over (partition by conv_id order by k)] as turn
+            from edits
+        ),
+        kept as (
+            select *, count(*) over (partition by conv_id order by k) as place,
+                coalesce(first_value(case when edit = 'K' and left(turn.role, 1) = 's' then 1 else 0 end)
+                    over (partition by conv_id order by k), 0) as shift
+            from read where edit != 'D'
+        ),
+        written as (
+            select conv_id, k, case when edit = 'K' then turn.role
+                when (place - shift) % 2 = 1 then 'user' else 'assistant' end || ':'
+                || case when edit = 'I' then '' else turn.text end as line
+            from kept
         ),
+        lines as (select conv_id, string_agg(line, chr(10) order by k) as body from written group by conv_id)
+        select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+            coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost,
+            coalesce(audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) i
+        left join judged j on j.conv_id is not distinct from i.conv_id
+        left join lines l on l.conv_id is not distinct from i.conv_id
+    """.replace("STEP", repair_inserts(f"list_transform([s.x], lambda x: {repair_step('n.row')})[1]")),
+    "op13_importance": rf"""
+        with crc as ({CRC_TABLE}),
         worded as (
-            select doc_id, regexp_extract_all(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            select doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
             from documents
         ),
         target as (
-            select unnest(regexp_extract_all(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+            select unnest(regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
             from benchmark
         ),
         in_docs as (select doc_id, unnest(w) as word, count(*) over () as total from worded),
@@ -212,9 +343,7 @@ ORACLES: dict[str, str] = {
             select word, hex(encode(word)) as h from vocabulary
         ),
         bucketed as (
-            select word, xor(list_reduce(
-                list_transform(range(len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::bigint),
-                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket
+            select word, {crc_of("h")} % 10000 as bucket
             from bytes, crc
         ),
         s as (select bucket, count(*) as n from in_docs join bucketed using (word) group by bucket),

@@ -14,6 +14,7 @@ from repo_signals import schema
 from repo_signals.functions.columns import as_column, flag, ladder_above, missing, present, scalar, utc, utc_lenient
 from repo_signals.operators.ordering import hash_sample
 from repo_signals.operators.quantiles import count_values, quantiles_of
+from repo_signals.session import materialize
 
 HISTOGRAM_BINS = 100
 KDE_GRID = 200
@@ -419,6 +420,43 @@ def density_curve(df: DataFrame, column: str, grid: int = KDE_GRID) -> DataFrame
     )
 
 
+def binned_density(df: DataFrame, column: str, grid: int = KDE_GRID, tolerance: float = 1e-10) -> DataFrame:
+    """``density_curve`` from weights in narrow bins: its work does not depend on the number of distinct values.
+
+    Every value is shared out between the two bin edges around it in proportion
+    to its distance. For bins of width d that changes a kernel of bandwidth h by
+    no more than d^2/8 times its greatest curvature, which is its peak over h^2;
+    the width is chosen so that this stays below ``tolerance`` times the peak.
+    Kernels end at eight bandwidths, where they are 1e-14 of their peak.
+    """
+    x = present(column)
+    first = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.stddev_samp(x).alias("s"))
+    spread = F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    ends = scalar(materialize(first.withColumn("h", F.when(spread > 0, spread)), "ends"))
+    h, lo = ends["h"], ends["lo"]
+    width = h * F.lit((8 * tolerance) ** 0.5)
+    place = F.try_divide(x - lo, width)
+    share = place - F.floor(place)
+    edges = F.array(
+        F.struct(F.floor(place).alias("bin"), (F.lit(1.0) - share).alias("w")),
+        F.struct((F.floor(place) + 1).alias("bin"), share.alias("w")),
+    )
+    bins = df.where(place.isNotNull()).select(F.inline(edges)).groupBy("bin").agg(F.sum("w").alias("w")).where("w > 0")
+    step = (ends["hi"] - lo) / (grid - 1)
+    at = F.col("bin") * width
+    reach = F.lit(8.0) * h
+    low = F.greatest(F.lit(0), F.ceil((at - reach) / step))
+    high = F.least(F.lit(grid - 1), F.floor((at + reach) / step))
+    points = bins.select("w", at.alias("at"), F.explode(F.when(low <= high, F.sequence(low, high))).alias("point"))
+    z = (F.col("point") * step - F.col("at")) / h
+    mass = points.groupBy("point").agg(F.sum(F.col("w") * F.exp(-z * z / 2)).alias("mass"))
+    curve = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("point")).join(F.broadcast(mass), "point", "left")
+    scale = ends["n"] * h * F.sqrt(2 * F.pi())
+    return curve.select(
+        "point", (lo + F.col("point") * step).alias("grid_x"), (F.coalesce("mass", F.lit(0.0)) / scale).alias("density")
+    )
+
+
 def scatter_sample(
     df: DataFrame,
     x: str = "watchers_count",

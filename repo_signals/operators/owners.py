@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repo_signals import schema
@@ -84,6 +85,109 @@ def owner_features(
     )
 
 
+def earlier_sums(created: Column) -> dict[str, Column]:
+    """Sums over rows from which the figures of an owner follow, whatever part of the rows they are taken over."""
+    stars, forks = F.col(schema.TARGET).cast("double"), F.col("forks_count").cast("double")
+    return {
+        "_n": F.count(stars),
+        "_stars": F.sum(stars),
+        "_squares": F.sum(stars * stars),
+        "_n_forks": F.count(forks),
+        "_forks": F.sum(forks),
+        "_rows": F.count(F.lit(1)),
+        "_successes": F.count_if(stars > schema.SUCCESS_STARS),
+        "_first": F.min(created),
+    }
+
+
+def owner_history(df: DataFrame, owner: str = "owner_login", at: str = "created_at", row_id: str = "id") -> DataFrame:
+    """Figures of each row's owner over its earlier rows only, so the row itself leaks nothing.
+
+    Earlier is by time, and by ``row_id`` among rows of one time. Returns one row
+    per row: ``row_id, owner``, count, total, mean and sample deviation of stars,
+    mean of forks, share of successes, and days since the first; all but count
+    and total are NULL where there is nothing earlier, which includes rows
+    without an owner.
+
+    Rows are range-partitioned by owner, time and id. A running sum inside every
+    partition is added to the sums of the owner's partitions before it, so an
+    owner of very many rows is spread over as many tasks as it fills.
+    """
+    created = utc(at)
+    columns = [row_id, owner, created.alias("_at"), schema.TARGET, "forks_count"]
+    laid = df.select(*columns).where(F.col(owner).isNotNull()).repartitionByRange(owner, "_at", row_id)
+    laid = materialize(laid.withColumn("_part", F.spark_partition_id()), "laid")
+    sums = earlier_sums(F.col("_at"))
+    # One row per owner and partition.
+    parts = laid.groupBy(owner, "_part").agg(*[c.alias(n) for n, c in sums.items()])
+    before = W.partitionBy(owner).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    merge = {n: F.min(n) if n == "_first" else F.sum(n) for n in sums}
+    starts = parts.select(owner, "_part", *[c.over(before).alias(f"{n}_start") for n, c in merge.items()])
+    inside = W.partitionBy(owner, "_part").orderBy("_at", row_id).rowsBetween(W.unboundedPreceding, -1)
+    placed = laid.withColumns({n: c.over(inside) for n, c in sums.items()}).join(starts, [owner, "_part"])
+
+    def both(name: str) -> Column:
+        if name == "_first":
+            return F.least(f"{name}_start", name)
+        return F.coalesce(name, F.lit(0)) + F.coalesce(f"{name}_start", F.lit(0))
+
+    earlier = placed.select(row_id, owner, "_at", *[both(n).alias(n) for n in sums])
+    n = F.col("_n")
+    spread = F.greatest(F.lit(0.0), F.col("_squares") - F.try_divide(F.col("_stars") * F.col("_stars"), n))
+    known = earlier.select(
+        row_id,
+        owner,
+        n.alias("owner_prior_count"),
+        F.col("_stars").alias("owner_prior_total_stars"),
+        F.try_divide("_stars", n).alias("owner_prior_mean_stars"),
+        F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))).alias("owner_prior_std_stars"),
+        F.try_divide("_forks", "_n_forks").alias("owner_prior_mean_forks"),
+        F.try_divide("_successes", "_rows").alias("owner_prior_success_rate"),
+        whole_days("_at", "_first").alias("owner_prior_days"),
+    )
+    nobody = df.where(F.col(owner).isNull()).select(row_id, owner)
+    nothing = {"owner_prior_count": F.lit(0).cast("long"), "owner_prior_total_stars": F.lit(0.0)}
+    return known.unionByName(nobody.withColumns(nothing), allowMissingColumns=True)
+
+
+def owner_leave_one_out(df: DataFrame, owner: str = "owner_login", row_id: str = "id") -> DataFrame:
+    """Figures of each row's owner over its other rows: the row's own value is taken out of its owner's sums.
+
+    Returns one row per row: ``row_id, owner``, count, total and mean of stars,
+    mean of forks, share of successes; means and shares are NULL where there is
+    no other row, which includes rows without an owner. Heavy owners are split.
+    """
+    stars, forks = F.col(schema.TARGET).cast("double"), F.col("forks_count").cast("double")
+    success = F.when(stars > schema.SUCCESS_STARS, F.lit(1.0)).otherwise(F.lit(0.0))
+    totals = df.where(F.col(owner).isNotNull()).groupBy(owner).agg(
+        F.count(stars).alias("_n"),
+        F.sum(stars).alias("_stars"),
+        F.count(forks).alias("_n_forks"),
+        F.sum(forks).alias("_forks"),
+        F.sum(success).alias("_successes"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    rows = df.select(row_id, owner, stars.alias("_own_stars"), forks.alias("_own_forks"), success.alias("_own_success"))
+    joined = left_join_spread(rows, materialize(totals, "owners"), owner, "n_rows", row_id)
+
+    def rest(total: str, own: str) -> Column:
+        return F.coalesce(total, F.lit(0.0)) - F.when(F.col(owner).isNotNull(), F.coalesce(own, F.lit(0.0))).otherwise(0.0)
+
+    def others(count: str, own: str) -> Column:
+        return F.coalesce(count, F.lit(0)) - flag(F.col(owner).isNotNull() & F.col(own).isNotNull())
+
+    n_rows = F.coalesce("n_rows", F.lit(1)) - 1
+    return joined.select(
+        row_id,
+        owner,
+        others("_n", "_own_stars").alias("owner_loo_count"),
+        rest("_stars", "_own_stars").alias("owner_loo_total_stars"),
+        F.try_divide(rest("_stars", "_own_stars"), others("_n", "_own_stars")).alias("owner_loo_mean_stars"),
+        F.try_divide(rest("_forks", "_own_forks"), others("_n_forks", "_own_forks")).alias("owner_loo_mean_forks"),
+        F.try_divide(rest("_successes", "_own_success"), n_rows).alias("owner_loo_success_rate"),
+    )
+
+
 def listed_stats(repos: Column) -> dict[str, Column]:
     """Figures over the array of an owner's listed repositories; an empty list counts as one default entry."""
     default = F.array(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repo_signals.functions.columns import present
+from repo_signals.functions.columns import flag, present, scalar
 from repo_signals.session import materialize
 
 
@@ -74,6 +74,46 @@ def exact_quantiles(
     return quantiles_of(count_values(df, columns, weight), probs)
 
 
+# Ranks from a sketch are off by one in this many rows at most.
+ACCURACY = 10_000
+
+
+def sketch_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """Rows ``(column, prob, value)`` from one mergeable sketch per column, in one pass and without shuffling values.
+
+    A value is one that occurs, and its rank is off by ``1 / accuracy`` of the
+    rows at most. ``exact_quantiles`` gives the figures without an error.
+    """
+    asked = F.array(*[F.lit(float(p)) for p in probs])
+    sketches = df.agg(*[F.percentile_approx(present(c), asked, accuracy).alias(f"_q{i}") for i, c in enumerate(columns)])
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.get(F.col(f"_q{i}"), F.lit(k)).alias("value"))
+        for i, c in enumerate(columns)
+        for k, p in enumerate(probs)
+    ]
+    return sketches.select(F.inline(F.array(*rows)))
+
+
+def judged_sketch(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """``sketch_quantiles`` with the true ranks of its values, from a second pass, and whether they keep the stated error."""
+    found = materialize(sketch_quantiles(df, columns, probs, accuracy), "sketch")
+    # One row per column and probability.
+    wide = scalar(found.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.struct("column", "prob"), "value"))).alias("q")))["q"]
+    counts, rows = [], []
+    for i, c in enumerate(columns):
+        counts.append(F.count(present(c)).alias(f"_n{i}"))
+        for k, p in enumerate(probs):
+            value = wide[F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"))]
+            counts += [F.count_if(present(c) < value).alias(f"_b{i}_{k}"), F.count_if(present(c) <= value).alias(f"_u{i}_{k}")]
+            n, below, upto = F.col(f"_n{i}"), F.col(f"_b{i}_{k}"), F.col(f"_u{i}_{k}")
+            slack = n / F.lit(float(accuracy)) + 1
+            ok = (below - slack <= F.lit(float(p)) * n) & (F.lit(float(p)) * n <= upto + slack)
+            names = F.lit(c).alias("column"), F.lit(float(p)).alias("prob")
+            rows.append(F.struct(*names, n.alias("n"), below.alias("below"), upto.alias("upto"), flag(ok).alias("rank_ok")))
+    judged = df.agg(*counts).select(F.inline(F.array(*rows)))
+    return found.join(F.broadcast(judged), ["column", "prob"])
+
+
 def medians(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> dict[str, float]:
     """The median of each column, computed now; one number per column reaches the driver."""
     return {r["column"]: r["value"] for r in exact_quantiles(df, columns, [0.5], weight).collect()}

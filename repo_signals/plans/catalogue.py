@@ -11,21 +11,25 @@ from repo_signals import schema
 from repo_signals.functions.columns import flag, lookup, rounded, scalar, utc, utc_lenient, whole_days
 from repo_signals.operators import (
     audit,
+    dense,
     embed,
     encode,
     features,
     folds,
+    frequent,
     metrics,
     model,
     ordering,
     owners,
     prep,
+    quantiles,
     scoring,
+    wide,
 )
 from repo_signals.operators.skew import left_join_spread
 from repo_signals.plans import stages
-from repo_signals.session import pin_utc, scratch_path
-from repo_signals.sources import cache, readers, writers
+from repo_signals.session import materialize, pin_utc, scratch_path
+from repo_signals.sources import cache, readers, store, writers
 from repo_signals.sources.fixture import repos, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +124,46 @@ def scan_first_n_files(spark, sf):
     return part.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_key"))
 
 
+@query
+def scan_mixed_types(spark, sf):
+    """Parts of one table whose columns differ in type."""
+    path = scratch_path(spark, "mixed")
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    early, late = items.where("l_linenumber <= 3"), items.where("l_linenumber > 3")
+    early.withColumns({"l_quantity": F.col("l_quantity").cast("int"), "part": F.lit(0)}).write.partitionBy("part").parquet(path)
+    shorter = late.withColumns({"l_orderkey": F.col("l_orderkey").cast("string"), "part": F.lit(1)}).drop("l_returnflag")
+    shorter.write.mode("append").partitionBy("part").parquet(path)
+    return readers.read_mixed_parquet(spark, path)
+
+
+@query
+def sink_chunk_sizes(spark, sf):
+    """How many files of which number of rows the sink for equal files leaves."""
+    path = scratch_path(spark, "chunks")
+    writers.write_equal_chunks(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], path)
+    sizes = readers.read_parquet_dir(spark, path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return sizes.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def json_rescue(spark, sf):
+    """Documents of which some are cut off and some hold values that do not fit, all of them kept and counted."""
+    orders = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    doc = F.format_string(
+        '{"id": %d, "name": "%s", "size": %s, "forks_count": %s, "owner": {"login": "%d"}}',
+        key,
+        "o_orderpriority",
+        F.when(key % 5 == 0, '"large"').otherwise(F.col("o_custkey").cast("string")),
+        F.when(key % 3 == 0, "[1]").otherwise("7"),
+        "o_custkey",
+    )
+    line = F.when(key % 7 == 0, F.expr("left(doc, length(doc) - 4)")).otherwise(F.col("doc"))
+    path = scratch_path(spark, "documents")
+    writers.write_text(orders.withColumn("doc", doc).select(line.alias("value")), path)
+    return readers.rescue_report(readers.rescue_repo_documents(spark, path))
+
+
 @query
 def sink_parquet_chunks(spark, sf):
     path = scratch_path(spark, "repos")
@@ -206,6 +250,18 @@ def embedding_cache_incremental(spark, sf):
     return done.select("doc_id", "text_hash", "from_cache", F.size("embedding").alias("dim"))
 
 
+@query
+def embedding_store_incremental(spark, sf):
+    """The cache laid out by key: a second run reads only what it asks for, also after its batches are merged."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labelled = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    path = scratch_path(spark, "embeddings")
+    store.embed_with_store(labelled, "text", "doc_id", path, "hashed-384", embed.hashed_embedding)
+    store.compact(spark, path, "hashed-384")
+    done = store.embed_with_store(docs, "text", "doc_id", path, "hashed-384", embed.hashed_embedding)
+    return done.select("doc_id", "text_hash", "from_cache", F.size("embedding").alias("dim"))
+
+
 @query
 def union_parts(spark, sf):
     c = table(spark, sf, "customer").select(
@@ -349,12 +405,25 @@ def language_code_fixed(spark, sf):
 
 @query
 def owner_stats_fallback(spark, sf):
-    """Figures of the time before the cutoff for the rows after it; owners who are new have none."""
-    train, test = prep.temporal_split(repos(spark, sf), CUTOFF)
-    out = owners.owner_stats_or_default(test.select("id", "owner_login"), owners.owner_reputation(train))
+    """Figures of the time before the cutoff for all rows; owners who were unknown then have the default profile."""
+    r = materialize(repos(spark, sf), "repos")
+    train, _ = prep.temporal_split(r, CUTOFF)
+    out = owners.owner_stats_or_default(r.select("id", "owner_login"), owners.owner_reputation(train))
     return out.select("id", *schema.OWNER_FEATURES)
 
 
+@query
+def owner_reputation_as_of(spark, sf):
+    """What was known of an owner before each of its repositories."""
+    return owners.owner_history(prep.preprocess(repos(spark, sf)))
+
+
+@query
+def owner_reputation_loo(spark, sf):
+    """What is known of an owner from its other repositories."""
+    return owners.owner_leave_one_out(prep.preprocess(repos(spark, sf)))
+
+
 @query
 def owner_stats_serving(spark, sf):
     segment = F.col("c_mktsegment")
@@ -452,6 +521,14 @@ def text_embed_hashed(spark, sf):
     return embed.hashed_embedding(docs, "text").select("doc_id", "embedding")
 
 
+@query
+def text_embed_dense(spark, sf):
+    """Dense vectors of all texts, from an encoder fitted on a bounded sample of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoder = dense.fit_dense_encoder(docs, "text", 64)
+    return embed.encoded_embedding(docs, "text", encoder, dim=64).select("doc_id", "embedding")
+
+
 @query
 def text_embed_shape(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -552,6 +629,20 @@ def category_profile(spark, sf):
     return audit.category_profile(repos(spark, sf))
 
 
+@query
+def category_top(spark, sf):
+    """The most frequent values of all text columns, proven from summaries."""
+    return frequent.frequent_values(repos(spark, sf))
+
+
+@query
+def quantile_sketch(spark, sf):
+    """Quantiles from one sketch per column, and whether their ranks keep the stated error."""
+    return quantiles.judged_sketch(
+        repos(spark, sf), ["stargazers_count", "size", "forks_count"], [0.01, 0.25, 0.5, 0.75, 0.99]
+    ).select("column", "prob", "n", "rank_ok")
+
+
 @query
 def date_ranges(spark, sf):
     out = audit.date_ranges(dated_repos(spark, sf))
@@ -593,6 +684,12 @@ def correlation_matrix(spark, sf):
     return audit.correlation_matrix(repos(spark, sf))
 
 
+@query
+def correlation_matrix_wide(spark, sf):
+    """All pairs of the 64 columns of a vector."""
+    return wide.correlation_matrix_wide(table(spark, sf, "embeddings"), "embedding", 64)
+
+
 @query
 def target_correlation(spark, sf):
     rows = prep.preprocess(repos(spark, sf), schema.MAX_AGE_DAYS)
@@ -621,6 +718,11 @@ def target_kde(spark, sf):
     return audit.density_curve(repos(spark, sf), "stargazers_count")
 
 
+@query
+def target_kde_binned(spark, sf):
+    return audit.binned_density(repos(spark, sf), "stargazers_count")
+
+
 @query
 def scatter_sample(spark, sf):
     return audit.scatter_sample(repos(spark, sf))
@@ -719,59 +821,63 @@ def family_share_all(spark, sf):
 
 
 def checked(scores: DataFrame, preset: str, baseline: DataFrame) -> DataFrame:
-    """Fold scores as facts that hold for any fit: its size, its rounds, and that it does not lose to the train mean."""
+    """Fold scores, with the error of the train mean and whether the fit has a sensible size and does not lose to it."""
     near = F.col("rmsle") <= F.col("mean_rmsle") * F.lit(1.05)
     rounds = F.col("best_iteration").between(1, model.PRESETS[preset].trees)
     means = baseline.select("fold", F.col("rmsle").alias("mean_rmsle"))
     return scores.join(F.broadcast(means), "fold").select(
-        "fold", "n_test", flag(rounds).alias("rounds_ok"), flag(near).alias("near_or_below_mean")
+        *scores.columns, "mean_rmsle", flag(rounds).alias("rounds_ok"), flag(near).alias("near_or_below_mean")
     )
 
 
-def mean_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = blocked(spark, sf)
+def mean_scores(rows: DataFrame) -> DataFrame:
+    """What the train mean of each fold scores, for rows with their blocks."""
     predicted = metrics.mean_predictions(rows, folds.fold_stats(rows))
     return metrics.rmsle(predicted, "stargazers_count", "predicted", ["fold"])
 
 
-def checked_importance(weights: DataFrame) -> DataFrame:
-    """Mean importance as facts: which features there are, none negative, some used, shares that sum to the whole."""
-    shown = metrics.importance_top(metrics.importance_mean(weights), 1000)
-    row = shown.agg(
-        F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"),
-        flag(F.min("importance") >= 0).alias("none_negative"),
-        flag(F.abs(F.sum("pct") - 100) < 1).alias("shares_sum_up"),
-    )
-    return row
+def coded_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The written input of all folds."""
+    return materialize(folds.with_blocks(coded_repos(spark, sf)), "blocks")
 
 
 @query
 def gbt_cv(spark, sf):
-    rows = folds.with_blocks(coded_repos(spark, sf))
+    rows = coded_blocks(spark, sf)
     scores, _ = model.cross_validate(rows, MODEL_COLUMNS)
-    return checked(scores, "metadata", mean_scores(spark, sf))
+    return checked(scores, "metadata", mean_scores(rows))
 
 
 @query
 def gbt_cv_patience(spark, sf):
     """Boosting that goes on for 50 rounds without a gain before it stops."""
-    rows = folds.with_blocks(coded_repos(spark, sf))
+    rows = coded_blocks(spark, sf)
     scores, _ = model.cross_validate(rows, MODEL_COLUMNS, patience=50)
-    return checked(scores, "metadata", mean_scores(spark, sf))
+    return checked(scores, "metadata", mean_scores(rows))
 
 
 @query
 def gbt_cv_embeddings(spark, sf):
-    rows = embed.hashed_embedding(folds.with_blocks(coded_repos(spark, sf)), "full_name")
-    scores, _ = model.cross_validate(rows, MODEL_COLUMNS, preset="embeddings", embedding="embedding")
-    return checked(scores, "embeddings", mean_scores(spark, sf))
+    rows = coded_blocks(spark, sf)
+    embedded = embed.hashed_embedding(rows, "full_name")
+    scores, _ = model.cross_validate(embedded, MODEL_COLUMNS, preset="embeddings", embedding="embedding")
+    return checked(scores, "embeddings", mean_scores(rows))
 
 
 @query
 def gbt_importance(spark, sf):
-    rows = folds.with_blocks(coded_repos(spark, sf))
-    _, weights = model.cross_validate(rows, MODEL_COLUMNS)
-    return checked_importance(weights)
+    """Mean importance over the folds: how often a feature splits, its rank and its share."""
+    _, weights = model.cross_validate(coded_blocks(spark, sf), MODEL_COLUMNS)
+    return metrics.importance_top(metrics.importance_mean(weights), len(MODEL_COLUMNS))
+
+
+@query
+def gbt_family_share(spark, sf):
+    """Importance of the feature families, from the trees of the folds."""
+    enriched = materialize(stages.enrich(repos(spark, sf)), "enriched")
+    coded = model.coded_language(enriched, encode.fit_codes(enriched, "language"))
+    _, weights = model.cross_validate(folds.with_blocks(coded), non_embedding(clean=True))
+    return metrics.family_share(metrics.importance_mean(weights), metrics.family_rules("feature", True))
 
 
 def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, model.Scorer, int]:
@@ -786,19 +892,18 @@ def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, model.Scorer, int]:
 
 @query
 def gbt_refit(spark, sf):
+    """Splits and gain of every feature in the final fit, and its number of trees."""
     _, scorer, trees = fitted(spark, sf)
     last = scorer.model.stages[-1]
     counts = model.split_counts(spark, last, MODEL_COLUMNS)
-    return counts.select(
-        "feature",
-        flag(F.col("importance") >= 0).alias("counted"),
-        flag(F.col("gain").between(0, 1)).alias("gain_ok"),
-        flag(F.lit(last.getNumTrees == trees)).alias("trees_ok"),
-    )
+    return counts.withColumns({"n_trees": F.lit(last.getNumTrees), "trees_ok": flag(F.lit(last.getNumTrees == trees))})
 
 
 def trained(spark: SparkSession, sf: str, clean: bool, embedding: str | None) -> DataFrame:
-    """The whole course: text, cache, embedding, features, folds, final fit, scoring; as facts about its result."""
+    """The whole course: text, cache, embedding, features, folds, final fit, scoring.
+
+    Every row with its prediction, the scores of the folds, and the number of features listed as important.
+    """
     ready = repos(spark, sf).withColumn("description", F.col("full_name"))
     if embedding:
         ready = stages.processed(ready, scratch_path(spark, "embeddings"))
@@ -808,19 +913,15 @@ def trained(spark: SparkSession, sf: str, clean: bool, embedding: str | None) ->
     run = stages.train(enriched, clean=clean, embedding=embedding)
     csv = scratch_path(spark, "importance")
     writers.write_csv(run.importance.select("feature", "importance", "pct"), csv)
-    weights = readers.read_csv(spark, csv, schema.IMPORTANCE)
-    scored = run.scorer.score(enriched)
-    facts = weights.agg(
-        F.count(F.lit(1)).alias("n_listed"), flag(F.min("importance") >= 0).alias("none_negative")
-    )
-    result = scalar(
-        scored.agg(
-            F.count("predicted_stars").alias("n_scored"),
-            F.max("input_features").alias("input_features"),
-            flag(F.min("predicted_stars") >= 0).alias("all_scored"),
-        )
+    listed = scalar(readers.read_csv(spark, csv, schema.IMPORTANCE).agg(F.count(F.lit(1)).alias("n")))["n"]
+    rounds = scalar(run.scores.agg(F.array_sort(F.collect_list(F.struct("fold", "best_iteration"))).alias("r")))["r"]
+    summary = scalar(run.summary)
+    return run.scorer.score(enriched).select(
+        "*",
+        *[summary[c].alias(c) for c in ("mean_rmsle", "std_rmsle", "scores")],
+        F.array_join(F.transform(rounds, lambda r: r["best_iteration"].cast("string")), ", ").alias("best_iterations"),
+        listed.alias("n_listed"),
     )
-    return facts.select("*", *[result[c].alias(c) for c in ("n_scored", "input_features", "all_scored")])
 
 
 @query
@@ -854,26 +955,20 @@ def model_roundtrip(spark, sf):
 @query
 def score_batch(spark, sf):
     rows, scorer, _ = fitted(spark, sf)
-    scored = scorer.score(rows)
-    return scored.select("id", "stargazers_count", "input_features", flag(F.col("predicted_stars") >= 0).alias("scored"))
+    return scorer.score(rows).withColumn("scored", flag(F.col("predicted_stars") >= 0))
 
 
 @query
 def holdout_eval(spark, sf):
     cutoff = "2000-06-01"
-    out = model.holdout_evaluation(repos(spark, sf), cutoff)
+    r = materialize(repos(spark, sf), "repos")
+    out = model.holdout_evaluation(r, cutoff)
     rounds = F.col("best_iteration").between(1, model.PRESETS["metadata"].trees)
-    train, test = prep.temporal_split(prep.preprocess(repos(spark, sf)), cutoff)
+    train, test = prep.temporal_split(prep.preprocess(r), cutoff)
     middle = scalar(train.agg(F.expm1(F.avg("log_stars")).alias("m")))["m"]
     mean = scalar(metrics.rmsle(test.withColumn("predicted", middle), "stargazers_count", "predicted"))["rmsle"]
-    gap = (F.col("rmsle") - schema.BASELINE_RMSLE) / schema.BASELINE_RMSLE * 100
-    return out.select(
-        "n_train",
-        "n_test",
-        flag(rounds).alias("rounds_ok"),
-        flag(F.col("rmsle") <= mean * F.lit(1.05)).alias("near_or_below_mean"),
-        flag(F.abs(F.col("gap_pct") - gap) < 1e-9).alias("gap_ok"),
-    )
+    near = flag(F.col("rmsle") <= F.col("mean_rmsle") * F.lit(1.05))
+    return out.withColumn("mean_rmsle", mean).withColumns({"rounds_ok": flag(rounds), "near_or_below_mean": near})
 
 
 # --- scoring and explanation -------------------------------------------------------------------
@@ -902,11 +997,22 @@ def what_if_owner(spark, sf):
 
 @query
 def scoring_vector(spark, sf):
-    """The whole contract: rows after the cutoff, with owner figures of the time before it."""
-    r = repos(spark, sf)
+    """The whole contract: all rows, with owner figures of the time before the cutoff."""
+    r = materialize(repos(spark, sf), "repos")
+    named = r.withColumn("language", lookup("language", LANGUAGE_OF, "Cobol"))
+    train, _ = prep.temporal_split(r, CUTOFF)
+    return scoring.scoring_vector(named, owners.owner_reputation(train), latest(r))
+
+
+@query
+def scoring_vector_dense(spark, sf):
+    """The same with its vector part filled by the dense encoder, fitted on the names themselves."""
+    r = materialize(repos(spark, sf), "repos")
     named = r.withColumn("language", lookup("language", LANGUAGE_OF, "Cobol"))
-    train, test = prep.temporal_split(named, CUTOFF)
-    return scoring.scoring_vector(test, owners.owner_reputation(train), latest(r))
+    train, _ = prep.temporal_split(r, CUTOFF)
+    encoder = dense.fit_dense_encoder(train, "full_name", schema.EMBEDDING_DIM)
+    embedded = embed.encoded_embedding(named, "full_name", encoder, dim=schema.EMBEDDING_DIM)
+    return scoring.scoring_vector(embedded, owners.owner_reputation(train), latest(r), embedding="embedding")
 
 
 @query

@@ -359,11 +359,11 @@ def known_or_default(columns: dict[str, float]) -> str:
     return ", ".join(f"case when k.owner_login is not null then {num('k.' + c)} else {v}e0 end as {c}" for c, v in columns.items())
 
 
-# Figures of the time before the cutoff, and the rows after it.
+# Figures of the time before the cutoff, for all rows.
 FALLBACK = (
     REPOS.replace("repos as (", "everything as (")
     + f""", repos as (select * from everything where created_at < timestamp '{CUTOFF}'),
-later as (select * from everything where created_at >= timestamp '{CUTOFF}'), """
+later as (select * from everything), """
     + OWNERS
     + f""", k as (select * from owners),
 fb as (select r.*, {known_or_default(schema.OWNER_DEFAULTS)} from later r left join k on k.owner_login = r.owner_login),
@@ -417,6 +417,9 @@ t as (select * from w order by importance desc, feature limit 20)
 select feature, importance, round(100e0 * importance / sum(importance) over (), 2) as pct from t""",
         "embedding_cache_incremental": """select doc_id, sha256(text) as text_hash,
  case when text in (select text from documents join labels using (doc_id)) then 1 else 0 end as from_cache, 384 as dim
+from documents""",
+        "embedding_store_incremental": """select doc_id, sha256(text) as text_hash,
+ case when text in (select text from documents join labels using (doc_id)) then 1 else 0 end as from_cache, 384 as dim
 from documents""",
         "union_parts": """select c_name as name, c_nationkey as nation, c_acctbal as balance, c_mktsegment as segment from customer
  union all select s_name, s_nationkey, s_acctbal, null from supplier""",
@@ -518,28 +521,44 @@ select o_orderstatus, count(*) as n, max(o_orderkey) as last_key from q where qu
         + f""", f as (select min(created_at) as t from repos where created_at < timestamp '{CUTOFF}')
 select id, cast(case when forks_count > 1 then case when {days('f.t', 'created_at')} < 1 then 1 else {days('f.t', 'created_at')} end
  else 305 end as float) as age_days, cast(size as float) as size from repos, f where created_at >= timestamp '{CUTOFF}'""",
-        **dict.fromkeys(
-            ["gbt_cv", "gbt_cv_patience", "gbt_cv_embeddings"],
-            FOLD_STATS + "select fold, n_test, 1 as rounds_ok, 1 as near_or_below_mean from per_fold",
-        ),
-        "gbt_importance": f"select '{','.join(sorted(MODEL_COLUMNS))}' as features, 1 as none_negative, 1 as shares_sum_up",
-        "gbt_refit": " union all ".join(
-            f"select '{c}' as feature, 1 as counted, 1 as gain_ok, 1 as trees_ok" for c in MODEL_COLUMNS
+        "owner_reputation_as_of": PRE
+        + f""", h as (select *, count(stargazers_count) over w as n, coalesce(sum(stargazers_count) over w, 0) as s,
+ avg(stargazers_count) over w as m, stddev_samp(stargazers_count) over w as sd, avg(forks_count) over w as f,
+ avg(case when stargazers_count > 100 then 1e0 else 0e0 end) over w as ok, min(created_at) over w as first_at
+ from pre window w as (partition by owner_login order by created_at, id rows between unbounded preceding and 1 preceding))
+select id, owner_login, n as owner_prior_count, {num('s')} as owner_prior_total_stars, {r6('m')} as owner_prior_mean_stars,
+ {r6('sd')} as owner_prior_std_stars, {r6('f')} as owner_prior_mean_forks, {r6('ok')} as owner_prior_success_rate,
+ {days('created_at', 'first_at')} as owner_prior_days from h""",
+        "owner_reputation_loo": PRE
+        + f""", t as (select owner_login, count(*) as n, sum(stargazers_count) as s, sum(forks_count) as f,
+ count(*) filter (where stargazers_count > 100) as ok from pre group by owner_login),
+j as (select id, p.owner_login, n - 1 as n, s - stargazers_count as s, f - forks_count as f,
+ ok - (stargazers_count > 100)::int as ok from pre p join t on t.owner_login = p.owner_login)
+select id, owner_login, n as owner_loo_count, {num('s')} as owner_loo_total_stars,
+ case when n > 0 then {r6('s / n')} end as owner_loo_mean_stars, case when n > 0 then {r6('f / n')} end as owner_loo_mean_forks,
+ case when n > 0 then {r6('ok / n')} end as owner_loo_success_rate from j""",
+        "correlation_matrix_wide": f"""with v as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as k from embeddings)
+select 'emb_' || a.k as feature_a, 'emb_' || b.k as feature_b, {r6('corr(a.x, b.x)')} as correlation
+from v a join v b on a.vec_id = b.vec_id and a.k > b.k group by a.k, b.k""",
+        "quantile_sketch": REPOS
+        + """select c as "column", p as prob, (select count(*) from repos) as n, 1 as rank_ok
+from (select unnest(['stargazers_count', 'size', 'forks_count']) as c), (select unnest([0.01e0, 0.25e0, 0.5e0, 0.75e0, 0.99e0]) as p)""",
+        "scan_mixed_types": """select cast(l_orderkey as varchar) as l_orderkey, l_linenumber,
+ case when l_linenumber <= 3 then trunc(l_quantity) else l_quantity end as l_quantity,
+ case when l_linenumber <= 3 then l_returnflag end as l_returnflag, case when l_linenumber <= 3 then 0 else 1 end as part from lineitem""",
+        "sink_chunk_sizes": f"""with f as (select (row_number() over () - 1) // {schema.ROWS_PER_FILE} as file from lineitem),
+s as (select count(*) as n_rows from f group by file) select n_rows, count(*) as n_files from s group by n_rows""",
+        "json_rescue": "with d as (select o_orderkey as k from orders) "
+        + " union all ".join(
+            f"select '{field}' as field, count(*) filter (where {bad}) as n_bad, count(*) as n_documents from d"
+            for field, bad in [
+                ("*", "k % 7 = 0"),
+                *[
+                    (f, {"size": "k % 7 <> 0 and k % 5 = 0", "forks_count": "k % 7 <> 0 and k % 3 = 0"}.get(f, "false"))
+                    for f in schema.REPO_DOCUMENT.names
+                ],
+            ]
         ),
-        **{
-            name: REPOS
-            + f"""select 30 as n_listed, 1 as none_negative, count(*) as n_scored,
- {len(schema.feature_names(clean, dim))} as input_features, 1 as all_scored from repos"""
-            for name, clean, dim in (
-                ("final_training", True, 0),
-                ("pipeline_clean", True, schema.EMBEDDING_DIM),
-                ("pipeline_leaked", False, schema.EMBEDDING_DIM),
-            )
-        },
-        "score_batch": REPOS + "select id, stargazers_count, 5 as input_features, 1 as scored from repos",
-        "holdout_eval": REPOS
-        + """select count(*) filter (where created_at < timestamp '2000-06-01') as n_train,
- count(*) filter (where created_at >= timestamp '2000-06-01') as n_test, 1 as rounds_ok, 1 as near_or_below_mean, 1 as gap_ok from repos""",
         "model_roundtrip": REPOS + "select id, 5 as input_features, 0e0 as difference from repos",
         "array_stats": f"""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)
 select vec_id, {r6('list_sum(v)')} as total, {r6('list_avg(v)')} as mean, {r6('list_stddev_pop(v)')} as std,
@@ -589,6 +608,15 @@ select "column", null_count, round(100e0 * null_count / t, 2) as null_pct from n
 r as (select *, count(*) over (partition by "column") as n_unique,
  row_number() over (partition by "column" order by n desc, value) as rank from c)
 select "column", n_unique, rank, value, n, round(100e0 * n / (select count(*) from repos), 2) as pct from r where rank <= 5""",
+        "category_top": REPOS
+        + ", v as ("
+        + " union all ".join(
+            f"""select '{c}' as "column", {c} as value from repos where {c} is not null"""
+            for c in ("name", "full_name", "owner_login", "language")
+        )
+        + """), c as (select "column", value, count(*) as n from v group by all),
+r as (select *, row_number() over (partition by "column" order by n desc, value) as rank from c)
+select "column", rank, value, n, round(100e0 * n / (select count(*) from repos), 2) as pct from r where rank <= 5""",
         "date_ranges": DATED
         + " union all ".join(
             f"""select '{c}' as "column", min({c}) as min_date, max({c}) as max_date from dated"""
@@ -631,6 +659,14 @@ from ranked join b on abs_correlation > t group by band""",
 s as (select min({num('stargazers_count')}) lo, max({num('stargazers_count')}) hi, count(*) n,
  stddev_samp(stargazers_count) * pow(count(*), -0.2e0) h from repos),
 g as (select cast(range as integer) as point, lo + range * ((hi - lo) / 199) as grid_x from range(200), s)
+select point, {r6('any_value(grid_x)')} as grid_x,
+ {r6('sum(w * exp(-0.5e0 * ((grid_x - x) / h) * ((grid_x - x) / h))) / any_value(n * h * sqrt(2 * pi()))')} as density
+from g, c, s group by point""",
+        "target_kde_binned": REPOS
+        + f""", c as (select {num('stargazers_count')} as x, count(*) as w from repos group by 1),
+s as (select min({num('stargazers_count')}) lo, max({num('stargazers_count')}) hi, count(*) n,
+ stddev_samp(stargazers_count) * pow(count(*), -0.2e0) h from repos),
+g as (select cast(range as integer) as point, lo + range * ((hi - lo) / 199) as grid_x from range(200), s)
 select point, {r6('any_value(grid_x)')} as grid_x,
  {r6('sum(w * exp(-0.5e0 * ((grid_x - x) / h) * ((grid_x - x) / h))) / any_value(n * h * sqrt(2 * pi()))')} as density
 from g, c, s group by point""",

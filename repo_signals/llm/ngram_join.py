@@ -12,10 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from math import ceil, log2
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repo_signals.llm.bitmaps import BUCKET, bitmap_rows, bits_of, is_set, slot_bitmap
@@ -40,7 +42,6 @@ FREQUENT = 8
 NO_ID = -(1 << 63)
 
 
-
 def ngram_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each row.
 
@@ -278,12 +279,13 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, levels: np.nd
 
 
 def segments(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """``(node, doc_id, segment, grams)`` for the documents of the asked ``node``s, one row per segment that is not empty.
+    """``(node, segment, grams)`` of the asked ``(node, doc)``, one row per segment that is not empty.
 
-    A bitmap of fixed size says which fingerprints are asked for; the few others
-    that share a bit are dropped by the join that follows.
+    A bitmap of fixed size says which are asked for. The few others that share a
+    bit do no harm, as equal nodes have equal n-grams.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(slot_bitmap(asked, "node"))  # 2^20 bytes
+    key = F.col("node").bitwiseXOR(F.coalesce("doc", F.lit(NO_ID)))
+    shared = docs.sparkSession.sparkContext.broadcast(slot_bitmap(asked.select(key.alias("key")), "key"))  # 2^20 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -293,39 +295,32 @@ def segments(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 node = node_of(grams)
                 if node is None:
                     continue
-                if is_set(bits, np.int64(node)):
+                if is_set(bits, np.int64(node) ^ np.int64(NO_ID if doc is None else doc)):
                     segment = (grams >> U64(64 - int(log2(SEGMENTS)))).astype(np.int64)
-                    doc = NO_ID if doc is None else doc
-                    out += [(node, doc, key, grams[part].tobytes()) for key, part in pieces_by(segment)]
-            columns = zip(*out) if out else ([] for _ in range(4))
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["node", "doc_id", "segment", "grams"])
+                    out += [(node, key, grams[part].tobytes()) for key, part in pieces_by(segment)]
+            columns = zip(*out) if out else ([] for _ in range(3))
+            types = [pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["node", "segment", "grams"])
 
-    return id_and_text(docs).mapInArrow(run, "node long, doc_id long, segment int, grams binary")
+    return id_and_text(docs).mapInArrow(run, "node long, segment int, grams binary")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs ``(a, b)`` of nodes that reach the similarity, as a written table.
+def linked(held: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the candidate pairs ``(a, b)`` of nodes that reach the similarity, ``(a, b, both)``, as a written table.
 
-    For every pair and segment the two documents' n-grams meet and are counted;
-    the sum of these partial overlaps decides. Nodes are represented by the
-    document with the smallest identifier.
+    For every pair and segment the two nodes' n-grams meet and are counted; the
+    sum of these partial overlaps decides.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = segments(docs, asked, width)
 
     def side(name: str) -> DataFrame:
-        doc = F.coalesce("doc", F.lit(NO_ID)).alias(f"{name}_doc")
-        return classes.select(F.col("node").alias(name), doc, F.col("n").alias(f"{name}_n"))
+        return classes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"))
 
     wide = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     wide = materialize(wide.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))), "pairs")
 
     def with_grams(rows: DataFrame, name: str) -> DataFrame:
-        found = held.select(
-            F.col("node").alias(name), F.col("doc_id").alias(f"{name}_doc"), "segment", F.col("grams").alias(f"{name}_grams")
-        )
-        return rows.join(found, [name, f"{name}_doc", "segment"])
+        found = held.select(F.col("node").alias(name), "segment", F.col("grams").alias(f"{name}_grams"))
+        return rows.join(found, [name, "segment"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +339,7 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, pe
     once = partials.groupBy("a", "b", "a_n", "b_n", "segment").agg(F.max("partial").alias("partial"))
     total = once.groupBy("a", "b", "a_n", "b_n").agg(F.sum("partial").alias("both"))
     enough = 100 * F.col("both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("both"))
-    return materialize(total.where(enough).select("a", "b"), "links")
+    return materialize(total.where(enough).select("a", "b", "both"), "links")
 
 
 def with_component(rows: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -353,14 +348,27 @@ def with_component(rows: DataFrame, components: DataFrame | None) -> DataFrame:
     return rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def mixed_ngrams(members: DataFrame) -> DataFrame:
-    """``ngram, main, hub, hub_n, hub_at`` of n-grams whose nodes lie in several components: the largest and its smallest node."""
-    low = F.min(F.struct("node", "n", "at")).alias("low")
-    parts = members.groupBy("ngram", "component").agg(F.count(F.lit(1)).alias("size"), low)
-    largest = F.max(F.struct("size", "component", "low")).alias("main")
+def with_centrality(prefixes: DataFrame) -> DataFrame:
+    """The prefix n-grams with the number that its node shares with others, in thousandths of its size: how close it is to its group's core.
+
+    N-grams of one node alone are not there, so a text that was changed in few places has more of them than one changed in many.
+    """
+    shared = prefixes.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    return prefixes.join(shared, "node").withColumn("central", F.call_function("div", F.col("rows") * 1000, F.col("n"))).drop("rows")
+
+
+def mixed_ngrams(members: DataFrame, turn: int = 0) -> DataFrame:
+    """``ngram, main, hub, hub_n, hub_at`` of n-grams whose nodes lie in several components: the largest and its most central node.
+
+    In every later ``turn`` another half of the nodes comes first, so that further hubs have their turn.
+    """
+    first = F.lit(0) if not turn else F.xxhash64("node", F.lit(turn)).bitwiseAND(1).cast("int")
+    hub = F.max(F.struct(first.alias("first"), "central", "node", "n", "at")).alias("hub")
+    parts = members.groupBy("ngram", "component").agg(F.count(F.lit(1)).alias("size"), hub)
+    largest = F.max(F.struct("size", "component", "hub")).alias("main")
     several = parts.groupBy("ngram").agg(largest, F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    hub = [F.col(f"main.low.{c}").alias(f"hub{'_' + c if c != 'node' else ''}") for c in ("node", "n", "at")]
-    return several.select("ngram", F.col("main.component").alias("main"), *hub)
+    columns = [F.col(f"main.hub.{c}").alias(f"hub{'_' + c if c != 'node' else ''}") for c in ("node", "n", "at")]
+    return several.select("ngram", F.col("main.component").alias("main"), *columns)
 
 
 def reachable(percent: int, n: str, at: str, other_n: str, other_at: str) -> Column:
@@ -378,20 +386,23 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def hub_pairs(members: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
-    """One pair per node: the hub that it meets in the most n-grams where its own component is not the main one.
+def hub_pairs(members: DataFrame, percent: int, tried: DataFrame | None, turn: int = 0) -> DataFrame:
+    """For each node the hubs that it meets in the most n-grams where its own component is not the main one.
 
+    One hub in the first two turns, then 2, 4, 8 ... as fewer nodes are left.
     Pairs that were tried before are not tried again.
     """
-    met = members.join(mixed_ngrams(members), "ngram").where(
+    met = members.join(mixed_ngrams(members, turn), "ngram").where(
         (F.col("component") != F.col("main")) & reachable(percent, "n", "at", "hub_n", "hub_at")
     )
     counts = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
     counts = counts.select("node", "hub", "shared", *ordered("node", "hub"))
     if tried is not None:
         counts = counts.join(tried, ["a", "b"], "left_anti")
-    best = counts.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
-    return best.select("best.a", "best.b").distinct()
+    # A node has as many hubs as n-grams in its prefix, at most.
+    best = W.partitionBy("node").orderBy(F.desc("shared"), "hub")
+    picked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 1 << max(0, turn - 1))
+    return picked.select("a", "b").distinct()
 
 
 def open_pairs(members: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
@@ -414,25 +425,25 @@ def open_pairs(members: DataFrame, percent: int, tried: DataFrame | None) -> Dat
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Groups of documents linked by the Jaccard similarity of their word n-grams.
+class Join(NamedTuple):
+    """What a self-join leaves, as written tables."""
 
-    Two documents link when ``100 * intersection >= percent * union`` of their
-    distinct ``width``-word n-grams (words lower-cased in A-Z). Returns one row
-    per input row: ``doc_id, n_shingles, component_id``, the smallest ``doc_id``
-    that links lead to, its own included. Texts that are null or without words
-    link with nothing; equal sets always link; a null id has no say in
-    ``component_id``, which is null where all ids of a group are. Only
-    ``doc_id`` and ``text`` are read; an empty table gives an empty result.
+    known: DataFrame  # doc_id, n_shingles, node, of every row
+    classes: DataFrame  # node, doc (its smallest doc_id), n (its number of n-grams)
+    links: DataFrame | None  # a, b (nodes), both (n-grams that they share)
+    components: DataFrame | None  # node, component, of linked nodes
+
+
+def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Join:
+    """Link documents, as nodes of equal n-gram sets, until no further pair could join two components.
 
-    Documents with equal sets are one node. Every link between nodes shows as an
-    n-gram in the prefixes of both. Two rounds pair each node with one hub it
-    meets most often, which joins groups of near copies without pairing their
-    members; then every pair that shares an n-gram across what are still
-    different components is counted. No pair is left out by a cap. N-grams are
-    64-bit hashes: two different ones are taken for one with probability 2^-64.
+    Every link between nodes shows as an n-gram in the prefixes of both. Rounds
+    pair each node with a few hubs, members of the largest component that it
+    shares an n-gram with, and go on as long as that joins components: groups of
+    near copies are joined without pairing their members. Then every pair that
+    shares an n-gram across what are still different components is counted. No
+    pair is left out by a cap.
     """
-    spark = docs.sparkSession
     docs = id_and_text(docs)
     known = materialize(fingerprints(docs, width), "fingerprints")
     classes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"))
@@ -440,17 +451,78 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     bits = min(31, max(4, ceil(log2(max(total, 1) / FRAGMENT_NGRAMS + 1))))
     levels = level_table(materialize(frequent_ngrams(docs, width, bits), "frequent"))
-    prefixes = materialize(postings(docs, width, percent, bits, levels), "prefixes")
+    prefixes = materialize(postings(docs, width, percent, bits, levels), "postings")
+    prefixes = materialize(with_centrality(prefixes), "prefixes")
+    asked = classes.join(prefixes.select("node").distinct(), "node", "left_semi").select("node", "doc")
+    held = materialize(segments(docs, asked, width), "segments")
     links, components, tried = None, None, None
-    for candidates in (hub_pairs, hub_pairs, open_pairs):
-        pairs = materialize(candidates(with_component(prefixes, components), percent, tried), "candidates")
+
+    def count(pairs: DataFrame) -> bool:
+        """Count the overlaps of these pairs; whether any of them links."""
+        nonlocal links, components, tried
+        pairs = materialize(pairs, "candidates")
         if pairs.isEmpty():
-            continue
+            return False
         tried = pairs if tried is None else tried.union(pairs)
-        found = linked(docs, pairs, classes, width, percent)
+        found = linked(held, pairs, classes, percent)
+        if found.isEmpty():
+            return False
         links = found if links is None else links.union(found)
         components = materialize(connected_components(links), "components")
-    return labelled(spark, known, classes, components)
+        return True
+
+    turn = 0
+    while count(hub_pairs(with_component(prefixes, components), percent, tried, turn)):
+        turn += 1
+    count(open_pairs(with_component(prefixes, components), percent, tried))
+    return Join(known, classes, links, components)
+
+
+def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Groups of documents linked by the Jaccard similarity of their word n-grams.
+
+    Two documents link when ``100 * intersection >= percent * union`` of their
+    distinct ``width``-word n-grams (words lower-cased in A-Z). Returns one row
+    per input row: ``doc_id, n_shingles, component_id``, the smallest ``doc_id``
+    that links lead to, its own included. Texts that are null or without words
+    link with nothing; equal sets always link; a null id has no say in
+    ``component_id``, which is null where all ids of a group are. Only
+    ``doc_id`` and ``text`` are read; an empty table gives an empty result.
+
+    Documents with equal sets are one node; see :func:`self_join`. N-grams and
+    nodes are known by 64-bit hashes: two different n-grams, or two different
+    sets, are taken for one with probability 2^-64 each.
+    """
+    found = self_join(docs, width, percent)
+    return labelled(docs.sparkSession, found.known, found.classes, found.components)
+
+
+def similar_pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The links that join the groups of ``similar_documents``, and what they stand for.
+
+    First ``a, b, n_both, similarity``: pairs of class representatives (the
+    smallest ``doc_id`` of equal n-gram sets) whose overlap was counted and
+    suffices; enough of them to join every group, not all within one. Then
+    ``doc_id, representative, component_id`` for every row with an identifier
+    and words.
+    """
+    found = self_join(docs, width, percent)
+    rows = labelled(docs.sparkSession, found.known, found.classes, found.components)
+    named = found.known.join(found.classes.select("node", F.col("doc").alias("representative")), "node")
+    members = (
+        named.where("doc_id is not null")
+        .select("doc_id", "representative")
+        .join(rows.select("doc_id", "n_shingles", "component_id").where("n_shingles > 0").distinct(), "doc_id")
+        .select("doc_id", "representative", "component_id")
+    )
+    if found.links is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long, n_both long, similarity double"), members
+    side = found.classes.select("node", "doc", "n")
+    pairs = found.links.join(side.select(F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.col("n").alias("a_n")), "a")
+    pairs = pairs.join(side.select(F.col("node").alias("b"), F.col("doc").alias("b_doc"), F.col("n").alias("b_n")), "b")
+    share = F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))
+    low, high = F.least("a_doc", "b_doc"), F.greatest("a_doc", "b_doc")
+    return pairs.select(low.alias("a"), high.alias("b"), F.col("both").alias("n_both"), share.alias("similarity")), members
 
 
 def labelled(spark: SparkSession, known: DataFrame, classes: DataFrame, components: DataFrame | None) -> DataFrame:

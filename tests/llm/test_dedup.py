@@ -11,6 +11,7 @@ from repo_signals.llm import exact_dedup, line_templates, ngram_join
 from repo_signals.llm.components import connected_components
 from repo_signals.llm.exact_dedup import exact_dedup as dedup
 
+linked = ngram_join.linked
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -69,6 +70,55 @@ def test_runs_of_one_partition():
     ]
 
 
+def test_similar_pairs(docs, rows):
+    """Every link between representatives is true, and the links with the memberships give the groups."""
+    pairs, members = ngram_join.similar_pairs(docs)
+    sets = defaultdict(list)
+    for doc, text in rows:
+        sets[doc].append(shingles(text))
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in pairs.collect():
+        shared = [len(x & y) for x in sets[r.a] for y in sets[r.b]]
+        assert r.n_both in shared and r.similarity >= 0.8 and r.a < r.b
+        parent[find(max(find(r.a), find(r.b)))] = find(min(find(r.a), find(r.b)))
+    found = members.collect()
+    assert {r.doc_id for r in found} == {d for d, t in rows if d is not None and shingles(t)}
+    assert all(find(r.representative) == r.component_id for r in found)
+
+
+def near_copies(n, changed, seed):
+    """Copies of one text of 300 words with so many words changed in each."""
+    rng = np.random.default_rng(seed)
+    base = ["w%d" % k for k in range(300)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.choice(300, changed, replace=False):
+            words[at] = "x%d_%d" % (k, at)
+        out.append((k, " ".join(words)))
+    return out
+
+
+def test_pairs_tried_in_a_group_of_near_copies(spark, monkeypatch):
+    """Copies with a few changes each: about one pair per copy is counted, whatever the number of copies."""
+    tried = []
+    monkeypatch.setattr(ngram_join, "linked", lambda held, pairs, *rest: (tried.append(pairs.count()), linked(held, pairs, *rest))[1])
+    for n in (100, 200):
+        rows = near_copies(n, 1, n) + [(1000 + k, t) for k, t in near_copies(n // 10, 3, n + 1)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+        assert got == plain_components(rows)
+        assert sum(tried) < 4 * len(rows)
+        tried.clear()
+
+
 def shingles(text):
     words = WORD.findall((text or "").translate(FOLD))
     if len(words) >= 5:

@@ -123,6 +123,146 @@ CRC_TABLE = """
 """
 
 
+def crc_of(hexadecimal: str) -> str:
+    """SQL for the CRC-32 of bytes written as hexadecimal digits, with the table ``crc`` at hand."""
+    return f"""xor(list_reduce(
+        list_transform(range(len({hexadecimal}) // 2), lambda k: ('0x' || substr({hexadecimal}, 2 * k + 1, 2))::bigint),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"""
+
+
+def dearer(cell: str, cost: object, edit: str) -> str:
+    """SQL for a repair so far, eight digits of cost before its audit, with one more edit; an empty one stays impossible."""
+    return f"case when {cell} = '~' then '~' else lpad((substr({cell}, 1, 8)::int + {cost})::varchar, 8, '0') || substr({cell}, 9) || '{edit}' end"
+
+
+def repair_step(row: str) -> str:
+    """SQL for the best repairs up to each of the four places, after one more row.
+
+    ``x`` holds them at its even positions behind the first.
+    """
+    deleted = [dearer(f"x[{p}]", 2, "D") for p in (1, 2, 3, 4)]
+
+    def kept(p: int, label: str) -> list[str]:
+        own = f"case when {row}.mark = '-' then '~' else {{}} end"
+        extra = f"case when {row}.mark = '!' then 5 else 0 end"
+        same = f"case when {row}.initial = '{label}' then {dearer(f'x[{p}]', extra, 'K')} else '~' end"
+        return [own.format(same)] + ([own.format(dearer(f"x[{p}]", f"1 + {extra}", "R"))] if label != "s" else [])
+
+    asked = [deleted[2], *kept(1, "u"), *kept(2, "u"), *kept(4, "u")]
+    answered = [deleted[3], *kept(3, "a")]
+    return f"[{deleted[0]}, least({deleted[1]}, {', '.join(kept(1, 's'))}), least({', '.join(asked)}), least({', '.join(answered)})]"
+
+
+def repair_inserts(cells: str) -> str:
+    """SQL for the same after rows put in: a question first, then an answer to it, or a question behind an answer."""
+    asked = f"list_transform([{cells}], lambda x: [x[1], x[2], least(x[3], {', '.join(dearer(f'x[{p}]', 5, 'I') for p in (1, 2, 4))}), x[4]])[1]"
+    return f"list_transform([{asked}], lambda x: [x[1], x[2], x[3], least(x[4], {dearer('x[3]', 5, 'I')})])[1]"
+
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": f"""
+        with recursive worded as (
+            select doc_id, regexp_extract_all({FOLDED}, '[^\\x20\\x09-\\x0D]+') as w from documents
+        ),
+        grams as (
+            select distinct doc_id, unnest(
+                case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: w[k:k + 4])
+                    when len(w) > 0 then [w] else [] end
+            ) as gram
+            from worded
+        ),
+        sizes as (select doc_id, count(*) as n from grams group by doc_id),
+        shared as (
+            select a.doc_id as x, b.doc_id as y, count(*) as n
+            from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by all
+        ),
+        links as (
+            select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+            where 100 * shared.n >= 80 * (p.n + q.n - shared.n)
+        ),
+        edges as (select x, y from links union select y, x from links),
+        reach(doc_id, root) as (
+            select doc_id, doc_id from documents
+            union select y, root from reach join edges on x = doc_id
+        )
+        select doc_id, coalesce(any_value(n), 0) as n_shingles, min(root) as component_id
+        from reach left join sizes using (doc_id) group by doc_id
+    """,
+    "op5_exact_dedup": f"""
+        with d as (select doc_id, {FOLDED} as body from documents)
+        select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
+            row_number() over (partition by body order by doc_id desc nulls last) = 1 as kept, sha256(body) as text_sha256
+        from d window g as (partition by body)
+    """,
+    "op7_line_templates": r"""
+        with texts as (select distinct text from documents where text is not null),
+        split as (
+            select text, unnest(string_split(text, chr(10))) as line,
+                generate_subscripts(string_split(text, chr(10)), 1) as k
+            from texts
+        ),
+        worded as (
+            select text, line, k,
+                list_transform(
+                    regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+                    lambda w: case when regexp_matches(w, '[0-9]') then '< >' else w end
+                ) as words
+            from split
+        ),
+        entries as (
+            select distinct text, len(words) as n, words[1:3] as lead, words,
+                case when len(words) < 8 then 12 else greatest(2, 5 - (len(words) - 8) // 14) end as needed
+            from worded where len(words) >= 3
+        ),
+        busy as (
+            select * from entries semi join (
+                select n, lead from entries group by n, lead having count(distinct text) >= any_value(needed)
+            ) using (n, lead)
+        ),
+        places as (
+            select n, lead, words, needed, text, unnest(words) as word, generate_subscripts(words, 1) as place from busy
+        ),
+        common as (
+            select n, lead, place, word from places where word != '< >' group by all
+            having count(distinct text) >= least(5, any_value(needed))
+        ),
+        shaped as (
+            select n, lead, words, text, needed, list((place, word) order by place) as template
+            from places join common using (n, lead, place, word) group by n, lead, words, text, needed
+        ),
+        fixed as (select * from shaped where 100 * len(template) >= 50 * n),
+        often as (
+            select n, lead, template, arg_min(text, md5(text)) as keeper from fixed
+            group by all having count(distinct text) >= any_value(needed)
+        ),
+        recurring as (select distinct words, keeper from fixed join often using (n, lead, template)),
+        marked as (
+            select w.text, line, k, coalesce(keeper != w.text, false) as gone from worded w left join recurring using (words)
+        ),
+        cleaned as (
+            select text, coalesce(string_agg(line, chr(10) order by k) filter (not gone), '') as kept,
+                count(*) as n_lines, count(*) filter (gone) as n_dropped
+            from marked group by text
+        )
+        select doc_id, n_lines, n_dropped, kept as text from documents join cleaned using (text)
+        union all
+        select doc_id, 0, 0, null from documents where text is null
+    """,
+    "op11_repair": op11_repair,
+    "op12_simhash": op12_simhash,
+    "op13_importance": op13_importance,
+}
+
+# SQL translate() changes A-Z alone, as the operators do.
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# One entry per byte value, and the CRC-32 of a string by it.
+CRC_TABLE = """
+    select list_transform(range(256), lambda i: list_reduce(
+        range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t
+"""
+
+
 def crc_of(hexadecimal: str) -> str:
     """SQL for the CRC-32 of bytes written as hexadecimal digits, with the table ``crc`` at hand."""
     return f"""xor(list_reduce(

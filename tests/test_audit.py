@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from repo_signals.operators import audit
+from repo_signals.operators import audit, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -171,6 +171,34 @@ def test_leak_guard_has_a_row_for_every_feature(spark):
     assert rows == {"size": 0, "empty": 1}
 
 
+def test_binned_density(spark):
+    """As exact as it says, with many distinct values, gaps, and a far outlier; a constant has no density."""
+    rng = np.random.default_rng(7)
+    x = np.append(rng.gamma(2.0, 30.0, 3000), 5000.0)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    exact = {r.point: r for r in audit.density_curve(df, "x").collect()}
+    got = {r.point: r for r in audit.binned_density(df, "x").collect()}
+    assert set(got) == set(exact)
+    for k, r in got.items():
+        assert r.grid_x == pytest.approx(exact[k].grid_x) and r.density == pytest.approx(exact[k].density, abs=1e-9)
+    rough = audit.binned_density(df, "x", tolerance=1e-3).collect()
+    peak = max(r.density for r in exact.values())
+    assert max(abs(r.density - exact[r.point].density) for r in rough) < 1e-2 * peak
+    assert {r.density for r in audit.binned_density(df.withColumn("x", F.lit(2.0)), "x").collect()} == {None}
+
+
+def test_sketched_quantiles(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(v), int(v) % 3) for v in rng.exponential(1000.0, 5000)] + [(None, None), (float("nan"), 1)]
+    df = spark.createDataFrame(rows, "x double, k int").repartition(7)
+    got = quantiles.judged_sketch(df, ["x", "k"], [0.0, 0.1, 0.5, 0.999, 1.0], accuracy=200).collect()
+    assert len(got) == 10 and all(r.rank_ok == 1 for r in got)
+    values = sorted(v for v, _ in rows if v is not None and not np.isnan(v))
+    for r in got:
+        if r.column == "x":
+            assert abs(np.searchsorted(values, r.value, "right") - r.prob * 5000) <= 5000 / 200 + 1 and r.n == 5000
+
+
 def test_merged_moments(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(1e6, 1, 300)

@@ -25,6 +25,35 @@ def test_owner_reputation(small_repos):
     assert rows["google-lab"].owner_std_stars is None
 
 
+def test_owner_figures_without_the_row_itself(spark):
+    """Earlier rows only, or all other rows; one owner holds most rows, one has a single row, one is unknown."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(240):
+        owner = "big" if k % 4 else ("lone%d" % k if k % 8 else None)
+        stars = None if k % 31 == 5 else int(rng.integers(0, 300))
+        rows.append((k, owner, f"2024-01-{1 + int(rng.integers(0, 28)):02d}T00:00:00Z", stars, int(rng.integers(0, 9))))
+    df = spark.createDataFrame(rows, "id int, owner_login string, created_at string, stargazers_count int, forks_count int")
+    df = df.repartition(6)
+    before = {r.id: r for r in owners.owner_history(df).collect()}
+    others = {r.id: r for r in owners.owner_leave_one_out(df).collect()}
+    assert len(before) == len(others) == len(rows)
+    for k, owner, at, stars, _ in rows:
+        mine = [r for r in rows if owner is not None and r[1] == owner]
+        for got, part, prefix in (
+            (before[k], [r for r in mine if (r[2], r[0]) < (at, k)], "owner_prior"),
+            (others[k], [r for r in mine if r[0] != k], "owner_loo"),
+        ):
+            known = [r[3] for r in part if r[3] is not None]
+            figure = lambda name: got[f"{prefix}_{name}"]
+            assert (figure("count"), figure("total_stars")) == (len(known), sum(known))
+            assert figure("mean_stars") == (pytest.approx(np.mean(known)) if known else None)
+            assert figure("mean_forks") == (pytest.approx(np.mean([r[4] for r in part])) if part else None)
+            assert figure("success_rate") == (pytest.approx(np.mean([v is not None and v > 100 for *_, v, _f in part])) if part else None)
+        known = [r[3] for r in mine if (r[2], r[0]) < (at, k) and r[3] is not None]
+        assert before[k].owner_prior_std_stars == (pytest.approx(np.std(known, ddof=1)) if len(known) > 1 else None)
+
+
 def test_tenure_to_a_given_day(small_repos):
     rows = {r.owner_login: r.owner_tenure_days for r in owners.owner_reputation(small_repos, as_of="2024-02-01").collect()}
     assert rows["acme"] == 31

@@ -22,8 +22,11 @@ SKEWED = {
 
 NAMES = [
     "category_profile",
+    "category_top",
     "csv_roundtrip",
     "embedding_cache_incremental",
+    "embedding_store_incremental",
+    "family_share",
     "label_encode",
     "label_encode_holdout",
     "leak_guard",
@@ -31,6 +34,8 @@ NAMES = [
     "null_profile",
     "owner_features_joined",
     "owner_is_org",
+    "owner_reputation_as_of",
+    "owner_reputation_loo",
     "owner_stats_fallback",
     "owner_stats_serving",
     "rmsle",
@@ -40,6 +45,7 @@ NAMES = [
     "scoring_vector",
     "target_histogram",
     "target_kde",
+    "target_kde_binned",
     "target_summary",
     "time_row_index",
     "topic_flags_regex",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repo_signals.llm.text import id_and_text
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 0) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, per_class: int, seed: int = 0) -> DataFrame:
     """Whole texts of about ``per_class`` documents of each class: ``doc_id, text, label, weight``.
 
     A document is taken if the hash of its identifier, as a number from 0 to 1,
@@ -18,8 +18,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     choice does not depend on partitions, and a class with fewer documents is
     taken whole. Rows without identifier or label are left out; a document with
     several labels has the smallest one, one with several texts the greatest.
-    ``weight`` is the number of labelled documents that a sampled one stands for.
+    Without ``labels`` the documents carry the label themselves, and the text is
+    that of a row with it. ``weight`` is the number of labelled documents that a
+    sampled one stands for. What is broadcast has about ``per_class`` short rows
+    per class, for as many classes as there are labels (languages, or two).
     """
+    rows = id_and_text(docs)
+    if labels is None:
+        labels = docs
+        text, name = F.col("text").cast("string").alias("text"), F.col(label).alias("label")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, name)
     given = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -32,8 +40,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     # One row per class, and then about per_class rows for each.
     picked = given.join(F.broadcast(classes), "label").where(place * F.col("weight") < 1)
     return (
-        id_and_text(docs)
-        .join(F.broadcast(picked), "doc_id")
+        rows.join(F.broadcast(picked), [c for c in rows.columns if c != "text"])
         .groupBy("doc_id", "label", "weight")
         .agg(F.max("text").alias("text"))
         .select("doc_id", "text", "label", "weight")

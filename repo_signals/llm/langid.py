@@ -156,7 +156,7 @@ def train_langid(docs: DataFrame, where: Column | None = None, per_language: int
 
     known = docs if where is None else docs.where(where)
     rows = (
-        labelled_sample(known, known, "lang", per_language)
+        labelled_sample(known, None, "lang", per_language)
         .mapInArrow(hashed, "doc_id long, ids array<int>, counts array<int>, label string")
         .toArrow()
     )

@@ -116,7 +116,9 @@ def numbered(pieces: DataFrame) -> DataFrame:
     starts = counts.select("length", "part", (F.sum("n").over(inside) - F.col("n")).alias("before"))
     totals = counts.groupBy("length").agg(F.sum("n").alias("n"))
     buckets = totals.select("length", (F.sum("n").over(W.orderBy("length")) - F.col("n")).alias("bucket_start"))
-    placed = pieces.join(starts.join(F.broadcast(buckets), "length"), ["length", "part"])
+    # Written, so that Spark knows how few rows these are and broadcasts them where they are small: then no id moves.
+    numbers = materialize(starts.join(F.broadcast(buckets), "length"), "starts")
+    placed = pieces.join(numbers, ["length", "part"])
     kept = [c for c in pieces.columns if c not in ("part", "place")]
     sequence = F.col("bucket_start") + F.col("before") + F.col("place")
     return placed.select(*kept, sequence.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -16,7 +16,7 @@ from repo_signals.llm.fit import by_id, labelled_sample, lists_of
 from repo_signals.llm.text import FOLDED_CODE, chunks, id_and_text, python_ready, span_hashes, window_hashes, words
 
 # Labelled documents of each class the model is fitted on.
-FIT_PER_CLASS = 4000
+FIT_PER_CLASS = 2500
 BUCKET_BITS = 18
 KEEP_FROM = 0.3
 
@@ -186,9 +186,13 @@ def fit_quality_model(
     )
     order = by_id(rows)
     y = rows["y"].to_numpy()[order]
-    if len(set(y.tolist())) < 2 or len(y) < 10:
+    if len(set(y.tolist())) < 2:
         return None
-    return fit_linear([ids for (ids,) in lists_of(rows, "ids")], y, rows["w"].to_numpy()[order])
+    model = fit_linear([ids for (ids,) in lists_of(rows, "ids")], y, rows["w"].to_numpy()[order])
+    # The sample is the largest thing on the driver; its memory goes back before the next step.
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_of(docs: DataFrame, model: LinearModel | None) -> Column:

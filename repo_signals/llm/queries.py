@@ -232,12 +232,12 @@ ORACLES: dict[str, str] = {
         ),
         fixed as (select * from shaped where 100 * len(template) >= 50 * n),
         often as (
-            select n, lead, template, arg_min(text, md5(text)) as keeper from fixed
+            select n, lead, template, min(md5(text)) as keeper from fixed
             group by all having count(distinct text) >= any_value(needed)
         ),
         recurring as (select distinct words, keeper from fixed join often using (n, lead, template)),
         marked as (
-            select w.text, line, k, coalesce(keeper != w.text, false) as gone from worded w left join recurring using (words)
+            select w.text, line, k, coalesce(md5(w.text) > keeper, false) as gone from worded w left join recurring using (words)
         ),
         cleaned as (
             select text, coalesce(string_agg(line, chr(10) order by k) filter (not gone), '') as kept,

@@ -44,3 +44,21 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = now
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def with_more_links(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, component)`` after more links, as a written table: only the graph of the components that they touch is worked on."""
+    if components is None:
+        return materialize(connected_components(links), "components")
+
+    def component_of(end: str) -> DataFrame:
+        return components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+
+    ends = links.join(component_of("a"), "a", "left").join(component_of("b"), "b", "left")
+    parts = [F.coalesce(f"{end}_part", end).alias(end) for end in ("a", "b")]
+    joined = materialize(connected_components(ends.select(*parts)), "joined")
+    # What a component is now part of; nodes that are new are components of their own.
+    now = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    known = components.join(now, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    new = joined.join(components.select("node"), "node", "left_anti")
+    return materialize(known.union(new), "components")

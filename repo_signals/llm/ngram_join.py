@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repo_signals.llm.bitmaps import BUCKET, bitmap_rows, bits_of, is_set, slot_bitmap
-from repo_signals.llm.components import connected_components
+from repo_signals.llm.components import with_more_links
 from repo_signals.llm.text import FOLDED_CODE, U64, chunks, id_and_text, mix, span_hashes, window_hashes, words
 from repo_signals.session import materialize
 
@@ -468,7 +468,7 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
         if found.isEmpty():
             return False
         links = found if links is None else links.union(found)
-        components = materialize(connected_components(links), "components")
+        components = with_more_links(components, found)
         return True
 
     turn = 0

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from repo_signals.llm import exact_dedup, line_templates, ngram_join
-from repo_signals.llm.components import connected_components
+from repo_signals.llm.components import connected_components, with_more_links
 from repo_signals.llm.exact_dedup import exact_dedup as dedup
 
 linked = ngram_join.linked
@@ -208,6 +208,16 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, **{k: 90 for k in (90, 95, 100)}, **{500 + k: 500 for k in range(60)}}
 
 
+def test_components_with_more_links(spark):
+    """Links come in three lots; new nodes, links inside a component, and links that join several."""
+    lots = [[(1, 2), (5, 6), (8, 9)], [(2, 1), (6, 9), (20, 21)], [(21, 5), (30, 31), (2, 40)]]
+    components = None
+    for lot in lots:
+        components = with_more_links(components, spark.createDataFrame(lot, "a long, b long"))
+    whole = connected_components(spark.createDataFrame([e for lot in lots for e in lot], "a long, b long"))
+    assert dict(components.collect()) == dict(whole.collect()) and components.count() == whole.count()
+
+
 def plain_lines(rows):
     """The report of line_templates in plain Python, with real words instead of hashes and sets of texts instead of sums."""
     texts = {t for _, t in rows if t is not None}

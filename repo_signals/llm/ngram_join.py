@@ -319,7 +319,10 @@ def linked(held: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int)
     wide = materialize(wide.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))), "pairs")
 
     def with_grams(rows: DataFrame, name: str) -> DataFrame:
-        found = held.select(F.col("node").alias(name), "segment", F.col("grams").alias(f"{name}_grams"))
+        # Later rounds ask for few nodes; the others' n-grams are left where they are.
+        asked = pairs.select(F.col(name).alias("node")).distinct()
+        found = held.join(asked, "node", "left_semi")
+        found = found.select(F.col("node").alias(name), "segment", F.col("grams").alias(f"{name}_grams"))
         return rows.join(found, [name, "segment"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -329,3 +329,17 @@ def test_prefixes_meet(n):
         least = -(-80 * (n + m) // 180)
         assert ngram_join.prefix_length(n, 80) >= n - least + 1
         assert ngram_join.prefix_length(m, 80) >= m - least + 1
+
+
+def test_a_text_is_shuffled_once(spark):
+    """The join of the texts that lose lines moves each text in its row only."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    plan = line_templates.cleaned(docs)._jdf.queryExecution().optimizedPlan()
+    found, left = [plan], []
+    while found:
+        node = found.pop()
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join":
+            left.append(children[0].schema().simpleString())
+        found += children
+    assert left and all(columns.count("string") == 1 for columns in left)

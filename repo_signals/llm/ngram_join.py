@@ -38,6 +38,8 @@ SEGMENTS = 4
 LEVEL_BITS = 22
 # N-grams in fewer documents are not told apart by frequency.
 FREQUENT = 8
+# Pairs are no longer narrowed down by hubs once there are at most so many for each n-gram of the prefixes.
+PAIRS_PER_ROW = 4
 # Stands for a missing identifier in joins.
 NO_ID = -(1 << 63)
 
@@ -198,13 +200,35 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def with_partner(ids: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """The rows, sorted by n-gram, that another row of their n-gram may be ``reachable`` from, by its size.
+
+    With an n-gram at its place ``at``, a document of ``n`` can only be similar to
+    documents of ``percent * n / 100`` up to a size that falls with ``at``. Rows
+    without any other of such a size are dropped, and then those that are left
+    without one. Both rows of a reachable pair always stay.
+    """
+    left = np.arange(len(ids))
+    for _ in range(2):
+        order = np.lexsort((n[left], ids[left]))
+        left = left[order]
+        size, place = n[left].astype(np.int64), at[left].astype(np.int64)
+        group = np.cumsum(np.append(True, np.diff(ids[left]) != 0)[: len(left)]) << np.int64(33)
+        least = -(-percent * size // 100)
+        most = np.minimum(100 * size // percent, np.maximum((100 + percent) * (size - place) // percent - size, 0))
+        keys = group | size
+        others = np.searchsorted(keys, group | most, "right") - np.searchsorted(keys, group | least) - (most >= size)
+        left = left[others > 0]
+    return left
+
+
 def postings(docs: DataFrame, width: int, percent: int, bits: int, levels: np.ndarray) -> DataFrame:
     """``(ngram, node, n, at)``: n-grams that lie in the prefix of two or more nodes.
 
     A document's n-grams are ordered from rare to frequent and by hash; ``at`` is
     the place in that order. N-grams that are not frequent go to their fragment,
-    where those of a single node are dropped. The frequent ones, which may have
-    very many nodes, are dealt out evenly as they are.
+    where rows that no other can be similar to are dropped. The frequent ones,
+    which may have very many nodes, are dealt out evenly as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2^22 bytes
     first_spare = 1 << bits
@@ -264,9 +288,8 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, levels: np.nd
         if fragment < first_spare:
             fresh = np.append(True, (ids[1:] != ids[:-1]) | (node[1:] != node[:-1]))
             ids, node, n, at = ids[fresh], node[fresh], n[fresh], at[fresh]
-            start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            several = np.repeat(np.diff(np.append(start, len(ids))) > 1, np.diff(np.append(start, len(ids))))
-            ids, node, n, at = ids[several], node[several], n[several], at[several]
+            met = with_partner(ids, n, at, percent)
+            ids, node, n, at = ids[met], node[met], n[met], at[met]
         for low in range(0, len(ids), 1 << 16):
             part = slice(low, low + (1 << 16))
             yield pa.RecordBatch.from_arrays(
@@ -363,15 +386,16 @@ def with_centrality(prefixes: DataFrame) -> DataFrame:
 def mixed_ngrams(members: DataFrame, turn: int = 0) -> DataFrame:
     """``ngram, main, hub, hub_n, hub_at`` of n-grams whose nodes lie in several components: the largest and its most central node.
 
-    In every later ``turn`` another half of the nodes comes first, so that further hubs have their turn.
+    ``meetings`` bounds the pairs that the nodes outside the largest would make with all others. In every later ``turn`` another half of the nodes comes first, so that further hubs have their turn.
     """
     first = F.lit(0) if not turn else F.xxhash64("node", F.lit(turn)).bitwiseAND(1).cast("int")
     hub = F.max(F.struct(first.alias("first"), "central", "node", "n", "at")).alias("hub")
     parts = members.groupBy("ngram", "component").agg(F.count(F.lit(1)).alias("size"), hub)
     largest = F.max(F.struct("size", "component", "hub")).alias("main")
-    several = parts.groupBy("ngram").agg(largest, F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = parts.groupBy("ngram").agg(largest, F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    meetings = ((F.col("nodes") - F.col("main.size")) * F.col("nodes")).cast("double").alias("meetings")
     columns = [F.col(f"main.hub.{c}").alias(f"hub{'_' + c if c != 'node' else ''}") for c in ("node", "n", "at")]
-    return several.select("ngram", F.col("main.component").alias("main"), *columns)
+    return several.select("ngram", F.col("main.component").alias("main"), *columns, meetings)
 
 
 def reachable(percent: int, n: str, at: str, other_n: str, other_at: str) -> Column:
@@ -389,13 +413,13 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def hub_pairs(members: DataFrame, percent: int, tried: DataFrame | None, turn: int = 0) -> DataFrame:
+def hub_pairs(members: DataFrame, mixed: DataFrame, percent: int, tried: DataFrame | None, turn: int = 0) -> DataFrame:
     """For each node the hubs that it meets in the most n-grams where its own component is not the main one.
 
     One hub in the first two turns, then 2, 4, 8 ... as fewer nodes are left.
     Pairs that were tried before are not tried again.
     """
-    met = members.join(mixed_ngrams(members, turn), "ngram").where(
+    met = members.join(mixed, "ngram").where(
         (F.col("component") != F.col("main")) & reachable(percent, "n", "at", "hub_n", "hub_at")
     )
     counts = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
@@ -408,13 +432,13 @@ def hub_pairs(members: DataFrame, percent: int, tried: DataFrame | None, turn: i
     return picked.select("a", "b").distinct()
 
 
-def open_pairs(members: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
+def open_pairs(members: DataFrame, mixed: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
     """All pairs of nodes from different components that share an n-gram and can still reach the similarity.
 
     Of an n-gram only the nodes outside its main component are paired with all
     others, so a group of copies that is one component already costs nothing.
     """
-    here = members.join(mixed_ngrams(members).select("ngram", "main"), "ngram")
+    here = members.join(mixed.select("ngram", "main"), "ngram")
     left = here.where(F.col("component") != F.col("main")).select(
         "ngram", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_part")
     )
@@ -442,10 +466,12 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
 
     Every link between nodes shows as an n-gram in the prefixes of both. Rounds
     pair each node with a few hubs, members of the largest component that it
-    shares an n-gram with, and go on as long as that joins components: groups of
-    near copies are joined without pairing their members. Then every pair that
+    shares an n-gram with, and go on as long as that joins components and pairing
+    the rest could make four times as many pairs as the prefixes have rows: groups
+    of near copies are joined without pairing their members. Then every pair that
     shares an n-gram across what are still different components is counted. No
-    pair is left out by a cap.
+    pair is left out by a cap. An n-gram whose nodes have come to lie in one
+    component has nothing to say any more and is not read again.
     """
     docs = id_and_text(docs)
     known = materialize(fingerprints(docs, width), "fingerprints")
@@ -456,6 +482,7 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
     levels = level_table(materialize(frequent_ngrams(docs, width, bits), "frequent"))
     prefixes = materialize(postings(docs, width, percent, bits, levels), "postings")
     prefixes = materialize(with_centrality(prefixes), "prefixes")
+    few = PAIRS_PER_ROW * prefixes.count()
     asked = classes.join(prefixes.select("node").distinct(), "node", "left_semi").select("node", "doc")
     held = materialize(segments(docs, asked, width), "segments")
     links, components, tried = None, None, None
@@ -474,10 +501,18 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
         components = with_more_links(components, found)
         return True
 
-    turn = 0
-    while count(hub_pairs(with_component(prefixes, components), percent, tried, turn)):
+    turn, more = 0, True
+    while more:
+        members = with_component(prefixes, components)
+        mixed = materialize(mixed_ngrams(members, turn), "mixed")
+        if components is not None:
+            # Components only grow, so what is left out here can never be asked for.
+            prefixes = materialize(prefixes.join(mixed.select("ngram"), "ngram", "left_semi"), "prefixes")
+            members = with_component(prefixes, components)
+        meetings = mixed.agg(F.sum("meetings").alias("n")).first()["n"] or 0
+        more = meetings > few and count(hub_pairs(members, mixed, percent, tried, turn))
         turn += 1
-    count(open_pairs(with_component(prefixes, components), percent, tried))
+    count(open_pairs(members, mixed, percent, tried))
     return Join(known, classes, links, components)
 
 

@@ -343,3 +343,22 @@ def test_a_text_is_shuffled_once(spark):
             left.append(children[0].schema().simpleString())
         found += children
     assert left and all(columns.count("string") == 1 for columns in left)
+
+
+def test_partners_are_those_within_reach():
+    """Rows of an n-gram stay if another may be similar, and no reachable pair is lost."""
+    rng = np.random.default_rng(5)
+    ids = np.sort(rng.integers(0, 60, 400))
+    n = rng.integers(1, 60, 400).astype(np.uint32)
+    at = (rng.random(400) * (n * 0.2 + 1)).astype(np.uint32)
+    left = set(ngram_join.with_partner(ids, n, at, 80).tolist())
+    pairs = {
+        (x, y)
+        for x in range(400)
+        for y in range(400)
+        if x != y and ids[x] == ids[y] and 100 * min(n[x], n[y]) >= 80 * max(n[x], n[y])
+        and 180 * min(int(n[x]) - int(at[x]), int(n[y]) - int(at[y])) >= 80 * (int(n[x]) + int(n[y]))
+    }
+    assert pairs and {x for x, _ in pairs} <= left and len(left) < 400
+    assert len(ngram_join.with_partner(ids[:0], n[:0], at[:0], 80)) == 0
+    assert len(ngram_join.with_partner(np.array([7, 7]), np.array([100, 10], np.uint32), np.zeros(2, np.uint32), 80)) == 0

@@ -6,10 +6,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from repo_signals.llm import exact_dedup, line_templates, ngram_join
 from repo_signals.llm.components import connected_components, with_more_links
 from repo_signals.llm.exact_dedup import exact_dedup as dedup
+from repo_signals.session import materialize
 
 linked = ngram_join.linked
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -362,3 +364,12 @@ def test_partners_are_those_within_reach():
     assert pairs and {x for x, _ in pairs} <= left and len(left) < 400
     assert len(ngram_join.with_partner(ids[:0], n[:0], at[:0], 80)) == 0
     assert len(ngram_join.with_partner(np.array([7, 7]), np.array([100, 10], np.uint32), np.zeros(2, np.uint32), 80)) == 0
+
+
+def test_asked_only_is_exact(spark, monkeypatch):
+    """A short list and a long one, which goes by a bitmap, keep the same rows."""
+    rows = spark.range(4000).select(F.xxhash64("id").alias("at"), F.col("id").alias("entry"))
+    wanted = materialize(rows.where("entry % 3 = 0").select("at"), "wanted")
+    for most in (1 << 16, 10):
+        monkeypatch.setattr(line_templates, "SENT_WHOLE", most)
+        assert {r.entry for r in line_templates.asked_only(rows, wanted, "at").collect()} == set(range(0, 4000, 3))

@@ -373,3 +373,13 @@ def test_asked_only_is_exact(spark, monkeypatch):
     for most in (1 << 16, 10):
         monkeypatch.setattr(line_templates, "SENT_WHOLE", most)
         assert {r.entry for r in line_templates.asked_only(rows, wanted, "at").collect()} == set(range(0, 4000, 3))
+
+
+def test_texts_are_read_twice_for_their_lines(spark, monkeypatch):
+    """Once to count the entries, once for the lines of those that are busy enough; every read costs as much as the whole rest."""
+    reads, keyed = [], line_templates.keyed
+    monkeypatch.setattr(line_templates, "keyed", lambda docs: reads.append(1) or keyed(docs))
+    line = "a notice of ten words that stands in every document"
+    df = spark.createDataFrame([(k, f"text {chr(97 + k) * 4} is here\n{line}") for k in range(9)], "doc_id long, text string")
+    kept = [r.text for r in line_templates.without_recurring_lines(df).collect()]
+    assert len(kept) == 9 and sum(line in t for t in kept) == 1 and len(reads) == 2

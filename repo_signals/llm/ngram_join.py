@@ -11,7 +11,9 @@ the sum over its fragments.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, log2
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from repo_signals.llm.bitmaps import BUCKET, bitmap_rows, bits_of, is_set, slot_bitmap
 from repo_signals.llm.components import with_more_links
 from repo_signals.llm.text import FOLDED_CODE, U64, chunks, id_and_text, mix, span_hashes, window_hashes, words
+from repo_signals.operators.bitmap import asked_slots, is_asked
 from repo_signals.session import materialize
 
 WIDTH = 5
@@ -38,6 +41,12 @@ SEGMENTS = 4
 LEVEL_BITS = 22
 # N-grams in fewer documents are not told apart by frequency.
 FREQUENT = 8
+# Bits of the smallest sketch, as a power of two.
+SKETCH_BITS = 6
+# So many nodes are sent to every task as they are.
+SENT_WHOLE = 1 << 15
+# A round of hubs that leaves more than this share of the possible pairs is the last.
+LEFT_BY_A_ROUND = 0.75
 # Pairs are no longer narrowed down by hubs once there are at most so many for each n-gram of the prefixes.
 PAIRS_PER_ROW = 4
 # Stands for a missing identifier in joins.
@@ -71,6 +80,25 @@ def node_of(grams: np.ndarray) -> int | None:
         return int(mix(np.array([mix(grams ^ U64(0x5851F42D4C957F2D)).sum() + U64(len(grams))], U64)).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """A bit for each stretch of the global order in which the set has an n-gram: two to four stretches for each of its n-grams."""
+    bits = max(SKETCH_BITS, (len(grams) - 1).bit_length() + 1)
+    found = np.zeros(1 << bits, bool)
+    found[grams >> U64(64 - bits)] = True
+    return np.packbits(found).tobytes()
+
+
+def most_shared(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """No fewer n-grams than two sets of ``n_x`` and ``n_y`` share: where only one has any in a stretch, one at least is its own."""
+    if len(x) < len(y):
+        x, n_x, y, n_y = y, n_y, x, n_x
+    if len(x) > len(y):
+        x = np.packbits(np.unpackbits(np.frombuffer(x, np.uint8)).reshape(8 * len(y), -1).any(axis=1)).tobytes()
+    p, q = int.from_bytes(x), int.from_bytes(y)
+    both = (p & q).bit_count()
+    return min(n_x - p.bit_count(), n_y - q.bit_count()) + both
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, node`` of every row; rows without n-grams have no node."""
 
@@ -302,10 +330,11 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, levels: np.nd
 
 
 def segments(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """``(node, segment, grams)`` of the asked ``(node, doc)``, one row per segment that is not empty.
+    """``(node, segment, grams, n, sketch)`` of the asked ``(node, doc)``, one row per segment that is not empty.
 
-    A bitmap of fixed size says which are asked for. The few others that share a
-    bit do no harm, as equal nodes have equal n-grams.
+    The first row of a node has its number of n-grams and its sketch. A bitmap of
+    fixed size says which are asked for. The few others that share a bit do no
+    harm, as equal nodes have equal n-grams.
     """
     key = F.col("node").bitwiseXOR(F.coalesce("doc", F.lit(NO_ID)))
     shared = docs.sparkSession.sparkContext.broadcast(slot_bitmap(asked.select(key.alias("key")), "key"))  # 2^20 bytes
@@ -320,33 +349,62 @@ def segments(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                     continue
                 if is_set(bits, np.int64(node) ^ np.int64(NO_ID if doc is None else doc)):
                     segment = (grams >> U64(64 - int(log2(SEGMENTS)))).astype(np.int64)
-                    out += [(node, key, grams[part].tobytes()) for key, part in pieces_by(segment)]
-            columns = zip(*out) if out else ([] for _ in range(3))
-            types = [pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["node", "segment", "grams"])
+                    known = (len(grams), sketch(grams))
+                    for key, part in pieces_by(segment):
+                        out.append((node, key, grams[part].tobytes(), *known))
+                        known = (None, None)
+            columns = zip(*out) if out else ([] for _ in range(5))
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+            names = ["node", "segment", "grams", "n", "sketch"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
-    return id_and_text(docs).mapInArrow(run, "node long, segment int, grams binary")
+    return id_and_text(docs).mapInArrow(run, "node long, segment int, grams binary, n long, sketch binary")
 
 
-def linked(held: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the candidate pairs ``(a, b)`` of nodes that reach the similarity, ``(a, b, both)``, as a written table.
+def sketches(held: DataFrame) -> DataFrame:
+    """``(node, n, sketch)``, each node once."""
+    return held.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
 
-    For every pair and segment the two nodes' n-grams meet and are counted; the
-    sum of these partial overlaps decides.
+def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, a_n, b_n)`` of the pairs whose sketches do not rule out the similarity, as a written table.
+
+    A sketch has a thirtieth of the size of the n-grams, and most pairs that meet
+    in a common passage end here. No pair that reaches the similarity does.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_sketch", "a_n", "b_sketch", "b_n")))
+            most = [most_shared(*row) for row in rows]
+            sizes = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            yield batch.select(["a", "b", "a_n", "b_n"]).filter(pa.array((100 + percent) * np.array(most, np.int64) >= percent * sizes))
+
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"))
+        return sketched.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
+
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    return materialize(rows.mapInArrow(run, "a long, b long, a_n long, b_n long"), "likely")
+
 
-    wide = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    wide = materialize(wide.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))), "pairs")
+def linked(held: DataFrame, pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Those of the candidate pairs ``(a, b)`` of nodes that reach the similarity, ``(a, b, both)``, as a written table.
+
+    For every pair and segment that the sketches leave, the two nodes' n-grams
+    meet and are counted; the sum of these partial overlaps decides.
+    """
+    pairs = likely(pairs, sketched, percent)
+    n = pairs.count()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    if 2 * n <= SENT_WHOLE:
+        found = held.join(F.broadcast(asked), "node", "left_semi")
+    else:
+        slots = asked_slots(asked, "node", 2 * n)
+        found = held.where(F.coalesce(is_asked(held, slots, F.col("node")), F.lit(False)))
+    wide = pairs.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
 
     def with_grams(rows: DataFrame, name: str) -> DataFrame:
-        # Later rounds ask for few nodes; the others' n-grams are left where they are.
-        asked = pairs.select(F.col(name).alias("node")).distinct()
-        found = held.join(asked, "node", "left_semi")
-        found = found.select(F.col("node").alias(name), "segment", F.col("grams").alias(f"{name}_grams"))
-        return rows.join(found, [name, "segment"])
+        return rows.join(found.select(F.col("node").alias(name), "segment", F.col("grams").alias(f"{name}_grams")), [name, "segment"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,9 +419,9 @@ def linked(held: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int)
     partials = with_grams(with_grams(wide, "a"), "b").mapInArrow(
         overlap, "a long, b long, a_n long, b_n long, segment int, partial long"
     )
-    # A repeated row gives the same partial overlap again.
-    once = partials.groupBy("a", "b", "a_n", "b_n", "segment").agg(F.max("partial").alias("partial"))
-    total = once.groupBy("a", "b", "a_n", "b_n").agg(F.sum("partial").alias("both"))
+    # A repeated row gives the same partial overlap again; only the places of four segments are summed.
+    sums = [F.coalesce(F.max(F.when(F.col("segment") == k, F.col("partial"))), F.lit(0)) for k in range(SEGMENTS)]
+    total = partials.groupBy("a", "b", "a_n", "b_n").agg(reduce(add, sums).alias("both"))
     enough = 100 * F.col("both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("both"))
     return materialize(total.where(enough).select("a", "b", "both"), "links")
 
@@ -413,15 +471,14 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def hub_pairs(members: DataFrame, mixed: DataFrame, percent: int, tried: DataFrame | None, turn: int = 0) -> DataFrame:
+def hub_pairs(mixed: DataFrame, percent: int, tried: DataFrame | None, turn: int = 0) -> DataFrame:
     """For each node the hubs that it meets in the most n-grams where its own component is not the main one.
 
+    ``mixed`` are the prefixes with what ``mixed_ngrams`` says of their n-gram.
     One hub in the first two turns, then 2, 4, 8 ... as fewer nodes are left.
     Pairs that were tried before are not tried again.
     """
-    met = members.join(mixed, "ngram").where(
-        (F.col("component") != F.col("main")) & reachable(percent, "n", "at", "hub_n", "hub_at")
-    )
+    met = mixed.where((F.col("component") != F.col("main")) & reachable(percent, "n", "at", "hub_n", "hub_at"))
     counts = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
     counts = counts.select("node", "hub", "shared", *ordered("node", "hub"))
     if tried is not None:
@@ -432,17 +489,16 @@ def hub_pairs(members: DataFrame, mixed: DataFrame, percent: int, tried: DataFra
     return picked.select("a", "b").distinct()
 
 
-def open_pairs(members: DataFrame, mixed: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
+def open_pairs(mixed: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
     """All pairs of nodes from different components that share an n-gram and can still reach the similarity.
 
     Of an n-gram only the nodes outside its main component are paired with all
     others, so a group of copies that is one component already costs nothing.
     """
-    here = members.join(mixed.select("ngram", "main"), "ngram")
-    left = here.where(F.col("component") != F.col("main")).select(
+    left = mixed.where(F.col("component") != F.col("main")).select(
         "ngram", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_part")
     )
-    right = here.select(
+    right = mixed.select(
         "ngram", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("component").alias("y_part")
     )
     met = left.join(right, "ngram").where(
@@ -466,9 +522,11 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
 
     Every link between nodes shows as an n-gram in the prefixes of both. Rounds
     pair each node with a few hubs, members of the largest component that it
-    shares an n-gram with, and go on as long as that joins components and pairing
-    the rest could make four times as many pairs as the prefixes have rows: groups
-    of near copies are joined without pairing their members. Then every pair that
+    shares an n-gram with, and go on as long as that joins components, takes a
+    quarter off the pairs that the rest could make, and these are more than four
+    times the rows of the prefixes: groups of near copies are joined without
+    pairing their members, in rounds whose number grows with the logarithm of the
+    pairs. Every round reads its prefixes with their components once. Then every pair that
     shares an n-gram across what are still different components is counted. No
     pair is left out by a cap. An n-gram whose nodes have come to lie in one
     component has nothing to say any more and is not read again.
@@ -485,6 +543,7 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
     few = PAIRS_PER_ROW * prefixes.count()
     asked = classes.join(prefixes.select("node").distinct(), "node", "left_semi").select("node", "doc")
     held = materialize(segments(docs, asked, width), "segments")
+    sketched = materialize(sketches(held), "sketches")
     links, components, tried = None, None, None
 
     def count(pairs: DataFrame) -> bool:
@@ -494,25 +553,27 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
         if pairs.isEmpty():
             return False
         tried = pairs if tried is None else tried.union(pairs)
-        found = linked(held, pairs, classes, percent)
+        found = linked(held, pairs, sketched, percent)
         if found.isEmpty():
             return False
         links = found if links is None else links.union(found)
         components = with_more_links(components, found)
         return True
 
-    turn, more = 0, True
+    columns = prefixes.columns
+    turn, more, before = 0, True, None
     while more:
-        members = with_component(prefixes, components)
-        mixed = materialize(mixed_ngrams(members, turn), "mixed")
-        if components is not None:
-            # Components only grow, so what is left out here can never be asked for.
-            prefixes = materialize(prefixes.join(mixed.select("ngram"), "ngram", "left_semi"), "prefixes")
-            members = with_component(prefixes, components)
-        meetings = mixed.agg(F.sum("meetings").alias("n")).first()["n"] or 0
-        more = meetings > few and count(hub_pairs(members, mixed, percent, tried, turn))
-        turn += 1
-    count(open_pairs(members, mixed, percent, tried))
+        # Components only grow, so n-grams that are left out here can never be asked for.
+        members = with_component(prefixes.select(columns), components)
+        members = members if components is None else materialize(members, "members")
+        told = materialize(mixed_ngrams(members, turn), "told")
+        meetings = told.agg(F.sum("meetings").alias("n")).first()["n"] or 0
+        prefixes = materialize(members.join(told.drop("meetings"), "ngram"), "mixed")
+        # The first two turns have other hubs, so that the second is always tried.
+        worth = meetings > few and (turn < 2 or meetings <= LEFT_BY_A_ROUND * before)
+        more = worth and count(hub_pairs(prefixes, percent, tried, turn))
+        turn, before = turn + 1, meetings
+    count(open_pairs(prefixes, percent, tried))
     return Join(known, classes, links, components)
 
 

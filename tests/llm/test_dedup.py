@@ -383,3 +383,50 @@ def test_texts_are_read_twice_for_their_lines(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"text {chr(97 + k) * 4} is here\n{line}") for k in range(9)], "doc_id long, text string")
     kept = [r.text for r in line_templates.without_recurring_lines(df).collect()]
     assert len(kept) == 9 and sum(line in t for t in kept) == 1 and len(reads) == 2
+
+
+def test_sketches_never_rule_out_a_link():
+    """The bound holds for sets of any two sizes, and is close enough to end pairs that share a third."""
+    rng = np.random.default_rng(11)
+    for n, m, both in [(1, 1, 1), (1, 1, 0), (5, 4, 4), (40, 70, 40), (500, 500, 160), (900, 1100, 900), (3000, 9, 9), (513, 512, 480)]:
+        grams = rng.integers(0, 1 << 63, n + m - both, np.uint64) << np.uint64(1)
+        x, y = np.sort(grams[:n]), np.sort(grams[n - both :])
+        assert len(np.intersect1d(x, y)) == both and len(y) == m
+        most = ngram_join.most_shared(ngram_join.sketch(x), n, ngram_join.sketch(y), m)
+        assert most == ngram_join.most_shared(ngram_join.sketch(y), m, ngram_join.sketch(x), n)
+        assert both <= most <= min(n, m)
+        assert both > 160 or n < 500 or m < 500 or 180 * most < 80 * (n + m)
+
+
+def test_ngrams_meet_for_likely_pairs_only(spark):
+    """Texts that share a passage are told apart by their sketches: their n-grams are not sent to meet."""
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([f"o{k}_{j}" for j in range(140)] + passage)) for k in range(8)]
+    rows += [(100 + k, t) for k, t in near_copies(2, 2, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = {r.doc_id: r.node for r in ngram_join.fingerprints(docs, 5).collect()}
+    held = ngram_join.segments(docs, ngram_join.fingerprints(docs, 5).selectExpr("node", "doc_id as doc"), 5)
+    pairs = [(nodes[a], nodes[b]) for a in nodes for b in nodes if a < b]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    left = {(r.a, r.b) for r in ngram_join.likely(pairs, ngram_join.sketches(held), 80).collect()}
+    assert left == {(nodes[100], nodes[101])}
+    found = ngram_join.linked(held, pairs, ngram_join.sketches(held), 80).collect()
+    assert {(r.a, r.b) for r in found} == left
+
+
+def test_rounds_and_components_read_few_tables(spark, monkeypatch):
+    """A round reads its prefixes with their components once, and a graph that is stars is not contracted again."""
+    from repo_signals.llm import components
+
+    calls, written = [], []
+    joined, write = ngram_join.with_component, components.materialize
+    monkeypatch.setattr(ngram_join, "with_component", lambda rows, found: calls.append(1) or joined(rows, found))
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or write(df, name))
+    rounds, hubs = [], ngram_join.hub_pairs
+    monkeypatch.setattr(ngram_join, "hub_pairs", lambda *a: rounds.append(1) or hubs(*a))
+    df = spark.createDataFrame(near_copies(60, 1, 7), "doc_id long, text string")
+    assert len({r.component_id for r in ngram_join.similar_documents(df).collect()}) == 1
+    assert len(calls) <= len(rounds) + 2
+    written.clear()
+    star = spark.createDataFrame([(k, 1) for k in range(2, 30)], "a long, b long")
+    assert set(connected_components(star).collect()) == {(k, 1) for k in range(1, 30)} and written == ["edges"]

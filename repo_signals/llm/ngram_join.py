@@ -47,7 +47,7 @@ SKETCH_BITS = 6
 SENT_WHOLE = 1 << 15
 # A round of hubs that leaves more than this share of the possible pairs is the last.
 LEFT_BY_A_ROUND = 0.75
-# Pairs are no longer narrowed down by hubs once there are at most so many for each n-gram of the prefixes.
+# Pairs are no longer narrowed down by hubs once there are at most so many for each row of an n-gram, or of all prefixes.
 PAIRS_PER_ROW = 4
 # Stands for a missing identifier in joins.
 NO_ID = -(1 << 63)
@@ -444,7 +444,7 @@ def with_centrality(prefixes: DataFrame) -> DataFrame:
 def mixed_ngrams(members: DataFrame, turn: int = 0) -> DataFrame:
     """``ngram, main, hub, hub_n, hub_at`` of n-grams whose nodes lie in several components: the largest and its most central node.
 
-    ``meetings`` bounds the pairs that the nodes outside the largest would make with all others. In every later ``turn`` another half of the nodes comes first, so that further hubs have their turn.
+    ``nodes`` is their number, and ``meetings`` bounds the pairs that the nodes outside the largest would make with all others. In every later ``turn`` another half of the nodes comes first, so that further hubs have their turn.
     """
     first = F.lit(0) if not turn else F.xxhash64("node", F.lit(turn)).bitwiseAND(1).cast("int")
     hub = F.max(F.struct(first.alias("first"), "central", "node", "n", "at")).alias("hub")
@@ -453,7 +453,7 @@ def mixed_ngrams(members: DataFrame, turn: int = 0) -> DataFrame:
     several = parts.groupBy("ngram").agg(largest, F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     meetings = ((F.col("nodes") - F.col("main.size")) * F.col("nodes")).cast("double").alias("meetings")
     columns = [F.col(f"main.hub.{c}").alias(f"hub{'_' + c if c != 'node' else ''}") for c in ("node", "n", "at")]
-    return several.select("ngram", F.col("main.component").alias("main"), *columns, meetings)
+    return several.select("ngram", F.col("main.component").alias("main"), *columns, "nodes", meetings)
 
 
 def reachable(percent: int, n: str, at: str, other_n: str, other_at: str) -> Column:
@@ -526,10 +526,11 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
     quarter off the pairs that the rest could make, and these are more than four
     times the rows of the prefixes: groups of near copies are joined without
     pairing their members, in rounds whose number grows with the logarithm of the
-    pairs. Every round reads its prefixes with their components once. Then every pair that
-    shares an n-gram across what are still different components is counted. No
-    pair is left out by a cap. An n-gram whose nodes have come to lie in one
-    component has nothing to say any more and is not read again.
+    pairs. A round reads only crowded n-grams, those that could make more than four
+    pairs a row; all others wait for the end, where they make four a row at most.
+    Then every n-gram is read with its final components, and every pair that
+    shares one across what are still different components is counted. No pair is
+    left out by a cap.
     """
     docs = id_and_text(docs)
     known = materialize(fingerprints(docs, width), "fingerprints")
@@ -561,19 +562,33 @@ def self_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Jo
         return True
 
     columns = prefixes.columns
-    turn, more, before = 0, True, None
-    while more:
-        # Components only grow, so n-grams that are left out here can never be asked for.
-        members = with_component(prefixes.select(columns), components)
-        members = members if components is None else materialize(members, "members")
-        told = materialize(mixed_ngrams(members, turn), "told")
+
+    def told_of(members: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+        return members, materialize(mixed_ngrams(members, turn), "told")
+
+    def parted(rows: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+        """The rows with their components, and what ``mixed_ngrams`` says of them."""
+        return told_of(materialize(with_component(rows.select(columns), components), "members"), turn)
+
+    def with_main(members: DataFrame, told: DataFrame, name: str) -> DataFrame:
+        return materialize(members.join(told.drop("nodes", "meetings"), "ngram"), name)
+
+    # Each node is a component of its own as yet.
+    first = members, told = told_of(prefixes.withColumn("component", F.col("node")))
+    turn, before = 0, None
+    while True:
+        told = told.where(F.col("meetings") > PAIRS_PER_ROW * F.col("nodes"))
         meetings = told.agg(F.sum("meetings").alias("n")).first()["n"] or 0
-        prefixes = materialize(members.join(told.drop("meetings"), "ngram"), "mixed")
         # The first two turns have other hubs, so that the second is always tried.
-        worth = meetings > few and (turn < 2 or meetings <= LEFT_BY_A_ROUND * before)
-        more = worth and count(hub_pairs(prefixes, percent, tried, turn))
+        if not (meetings > few and (turn < 2 or meetings <= LEFT_BY_A_ROUND * before)):
+            break
+        # Components only grow, so a crowded n-gram that is left out here can never become one again.
+        crowded = with_main(members, told, "crowded")
+        if not count(hub_pairs(crowded, percent, tried, turn)):
+            break
         turn, before = turn + 1, meetings
-    count(open_pairs(prefixes, percent, tried))
+        members, told = parted(crowded, turn)
+    count(open_pairs(with_main(*(first if components is None else parted(prefixes)), "mixed"), percent, tried))
     return Join(known, classes, links, components)
 
 

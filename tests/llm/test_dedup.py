@@ -430,3 +430,30 @@ def test_rounds_and_components_read_few_tables(spark, monkeypatch):
     written.clear()
     star = spark.createDataFrame([(k, 1) for k in range(2, 30)], "a long, b long")
     assert set(connected_components(star).collect()) == {(k, 1) for k in range(1, 30)} and written == ["edges"]
+
+
+def test_rounds_of_hubs_read_crowded_ngrams_only(spark, monkeypatch):
+    """Pairs of texts that share a passage wait for the end, while the rounds join a large group of near copies."""
+    rng = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for k in range(40):
+        text = list(base)
+        for at in rng.choice(90, size=rng.integers(0, 3), replace=False):
+            text[at] = f"x{k}_{at}"
+        rows.append((1000 + k, " ".join(text)))
+    for k in range(60):
+        passage, own = [f"p{k // 2}_{j}" for j in range(30)], [f"o{k}_{j}" for j in range(6)]
+        rows.append((5000 + k, " ".join(own + passage)))
+    read, hubs = [], ngram_join.hub_pairs
+
+    def seen(mixed, *rest):
+        sizes = mixed.groupBy("ngram").count().collect()
+        read.append(min(r["count"] for r in sizes))
+        return hubs(mixed, *rest)
+
+    monkeypatch.setattr(ngram_join, "hub_pairs", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+    assert got == plain_components(rows)
+    assert read and min(read) > ngram_join.PAIRS_PER_ROW
